@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from veristrata.plans import analytics, detection
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in (*detection.QUERIES, *analytics.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return detection.ORACLES | analytics.ORACLES
