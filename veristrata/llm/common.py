@@ -36,3 +36,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def text_of(col: str = "text"):
     """The text column with null as the empty string."""
     return F.coalesce(F.col(col), F.lit(""))
+
+
+#: Stands for a null id inside operators that compare ids; it is smaller than any other id.
+NO_ID = -(1 << 63)
+
+
+def some_id(col: str):
+    return F.coalesce(F.col(col), F.lit(NO_ID).cast("long")).alias(col)
+
+
+def given_id(col: str):
+    return F.nullif(F.col(col), F.lit(NO_ID).cast("long")).alias(col)

@@ -12,7 +12,7 @@ Filters only save work: when they fill up at larger inputs, more entries go thro
 stays the same.
 
 Cases: null text counts as empty; empty texts are equal to each other; repeated rows (same doc_id and text)
-count once each in group_size; an empty table gives an empty result; other columns of the input are ignored.
+count once each in group_size and are flagged alike; a null doc_id is smaller than all others; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import given_id, materialize, some_id
 
 RUN_SCHEMA = "run long, digest binary, variant int, doc_id long, entry boolean, keep long, n long, filter binary"
 MEMTABLE_ROWS = 50_000
@@ -168,7 +169,7 @@ def _filtered(df: DataFrame, held: np.ndarray, column: str, keys, want: bool) ->
 
 def exact_dedup(docs: DataFrame, keep_largest: bool = True) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs (doc_id long, text string)."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(some_id("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     best = F.max if keep_largest else F.min
     runs = materialize(build_runs(docs, keep_largest), "dedup-runs")
     both = shared_bits(runs)
@@ -217,6 +218,15 @@ def _differing(docs: DataFrame, hits: DataFrame) -> DataFrame | None:
 
 def _out(df: DataFrame) -> DataFrame:
     return df.select(
-        "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"),
+        given_id("doc_id"), given_id("keep_id"), F.col("group_size").cast("long").alias("group_size"),
         (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def drop_copies(docs: DataFrame, keep_largest: bool = True) -> DataFrame:
+    """docs with one row of each group of equal texts, all columns."""
+    flags = exact_dedup(docs, keep_largest).where("group_size > 1").groupBy(F.col("doc_id").alias("_vs_id")).agg(F.max("kept").alias("_vs_kept"))
+    joined = docs.join(flags, docs["doc_id"].eqNullSafe(flags["_vs_id"]), "left").where("_vs_kept is null or _vs_kept")
+    again = F.row_number().over(W.partitionBy("doc_id", "_vs_kept").orderBy(F.lit(1)))
+    # rows of one id are copies of each other only where the id is flagged
+    return joined.withColumn("_vs_row", F.when(F.col("_vs_kept"), again).otherwise(1)).where("_vs_row = 1").select(docs.columns)

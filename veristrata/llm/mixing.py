@@ -13,8 +13,8 @@ holds a whole leaf. Buckets follow the row count.
 
 Cases: null lang or source is the value '' and null text has no tokens; a document without tokens is taken
 with any leaf that has a budget at its place in the order; a weight missing from the table is 1; non-positive
-weights give nothing; an empty table gives an empty result; other columns of the input pass through `sample`
-or are ignored by `plan`.
+weights give nothing; an empty table gives an empty result; other columns of the input pass through `mix`
+and are ignored by `plan`.
 """
 
 from __future__ import annotations
@@ -109,3 +109,10 @@ def plan(docs: DataFrame, seed: str = SEED, budget_fraction: float = BUDGET_FRAC
     running = F.col("before") + F.sum("n_tokens").over(W.partitionBy(*group).orderBy("key", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, W.currentRow))
     dealt = dealt.withColumn("taken", (running <= F.col("left")) & (F.col("left") > 0))
     return dealt.groupBy("doc_id", *leaf, "n_tokens", "leaf_budget").agg(F.sum(F.col("taken").cast("long")).alias("copies"), F.count("*").alias("_n")).drop("_n")
+
+
+def mix(docs: DataFrame, **parameters) -> DataFrame:
+    """Rows of docs as often as the plan takes them, all columns."""
+    taken = plan(docs, **parameters).where("copies > 0").groupBy(F.col("doc_id").alias("_vs_id")).agg(F.max("copies").alias("_vs_copies"))
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_vs_id"]))
+    return joined.withColumn("_vs_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_vs_copies")))).select(docs.columns)

@@ -110,20 +110,39 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
     return np.frombuffer(got[0].weights, np.float32) if got else None
 
 
+def _scorer(docs: DataFrame, labels: DataFrame, train_rows: int):
+    """A function from a string column's values to scores, for tasks."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, train_rows))
+
+    def score(column: pa.Array) -> np.ndarray:
+        w = shared.value
+        raw, offsets = H.buffers(column)
+        if w is None:
+            return np.full(len(column), 0.5)
+        sums = [float(w[s] @ v) for a, b in H.chunks(offsets) for s, v in features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
+        return 1 / (1 + np.exp(-np.clip(np.array(sums, np.float64), -35, 35)))
+
+    return score
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: label 1 is likelier), predicted (1 if score >= threshold)."""
-    weights = train(docs, labels, train_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    score = _scorer(docs, labels, train_rows)
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
         for batch in batches:
-            raw, offsets = H.buffers(batch.column(1))
-            scores = []
-            for a, b in H.chunks(offsets):
-                part = raw[offsets[a] : offsets[b]]
-                scores += [0.5 if w is None else 1 / (1 + np.exp(-np.clip(float(w[s] @ v), -35, 35))) for s, v in features(part, offsets[a : b + 1] - offsets[a])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1)), pa.float64())], names=["doc_id", "score"])
 
     out = docs.select("doc_id", "text").mapInArrow(tasks, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """Rows of docs that score at least threshold, all columns, without a join."""
+    score, at = _scorer(docs, labels, train_rows), docs.columns.index("text")
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(score(batch.column(at)) >= threshold))
+
+    return docs.mapInArrow(tasks, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, mixing, pii, quality, sentencepiece_bpe, token_counts, url_filter
+from . import embedding_dedup, exact_dedup, html_text, jaccard_join, mixing, pii, quality, sentencepiece_bpe, token_counts, url_filter
 from .common import table
 
 
@@ -43,6 +43,14 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
@@ -52,7 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_exact_dedup, op4_html_text, op5_quality, op6_url_filter, op9_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_exact_dedup, op4_html_text, op5_quality, op6_url_filter, op7_embedding_dedup, op8_jaccard_join, op9_mixing, op10_token_counts)}
 
 
 OP3_SQL = """
