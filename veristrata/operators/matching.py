@@ -50,7 +50,7 @@ def greedy_match(preds: Column, gts: Column, least: float = 0.5, high_index_wins
 
 def global_match(a: Column, b: Column, least: float) -> Column:
     """One-to-one pairs of two arrays of indexed boxes (index i), best overlap first; overlaps must exceed 0 and reach least."""
-    pairs = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.struct(iou(x, y).alias("iou"), x["i"].alias("ai"), y["i"].alias("bi")))))
+    pairs = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.named_struct(F.lit("iou"), iou(x, y), F.lit("ai"), x["i"], F.lit("bi"), y["i"]))))
     pairs = F.reverse(F.array_sort(F.filter(pairs, lambda p: (p["iou"] >= least) & (p["iou"] > 0))))
 
     def step(acc: Column, p: Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from veristrata.plans import analytics, detection
+from veristrata.plans import analytics, detection, extended
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (*detection.QUERIES, *analytics.QUERIES)}
+    return {f.__name__: f for f in (*detection.QUERIES, *analytics.QUERIES, *extended.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return detection.ORACLES | analytics.ORACLES
+    return detection.ORACLES | analytics.ORACLES | extended.ORACLES
