@@ -2,10 +2,10 @@
 
 The encoder keeps an agenda of adjacent symbol pairs that form a vocabulary piece, ordered by score and then
 position; it merges the best live pair, pushes the pairs this creates, and ends with byte pieces for symbols
-outside the vocabulary. Where no piece has white space after another character (checked at load), a text falls
-apart before each run of spaces, and before and after characters that no longer piece contains, without changing
-the result; such segments are encoded once for each worker's cache. In each Arrow batch all segments that were not cached
-are encoded and decoded by the library as well, and a difference is an error.
+outside the vocabulary. Where no piece has a space mark after another character (checked at load), a text falls
+apart before each run of spaces, and before line ends and marks that no piece joins to what is before them, without changing
+the result; such tokens are encoded once for each worker's cache. In each Arrow batch the tokens that were not cached are
+encoded by the library as well, one whole text of every 200 is encoded and decoded by it, and a difference is an error.
 
 Cases: null counts as empty; an empty text gives the end id alone and decodes to ''; repeated rows are encoded
 each; extra columns are ignored. Very long texts cost time and memory in proportion.
@@ -15,16 +15,23 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import pairwise, repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Segments in a generation of the worker's cache; two generations are held.
-CACHE = 250_000
+CACHE = 300_000
+#: Numbers of symbols up to which rows share an agenda table (longer rows have a heap), and the rank of a pair that is no piece.
+SHORT, NONE = (6, 9, 12, 16, 24, 40), 1 << 62
+#: In front of a token that has no space mark before it.
+JOIN = "\x00"
 
 
 class MergeModel:
@@ -39,6 +46,8 @@ class MergeModel:
         plain = [i for i in range(size) if not (lib.is_control(i) or lib.is_byte(i) or lib.is_unknown(i) or lib.is_unused(i))]
         self.names, self.plain = names, set(plain)
         self.id_of = {names[i]: i for i in plain}
+        self.char_ids = self.id_of.get
+        self.spelled = [names[i].replace(SPACE, " ") if i in self.plain else None for i in range(size)]
         # best score first; equal scores share a rank and then the position decides
         level = {s: r for r, s in enumerate(sorted({lib.get_score(i) for i in plain}, reverse=True), 1)}
         self.rank = {names[i]: level[lib.get_score(i)] << 32 for i in plain}
@@ -46,24 +55,24 @@ class MergeModel:
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         self.end, self.unknown = lib.eos_id(), lib.unk_id()
         self.pair_rank, self.pair_id = self._pairs()
-        self.segments = self._segments([p for p in self.id_of if len(p) > 1])
+        self.keys = np.array(sorted(self.pair_rank), np.int64)
+        self.ranks, self.ids = (np.array([d[k] for k in self.keys.tolist()], np.int64) for d in (self.pair_rank, self.pair_id))
+        self.apart = self._apart([p for p in self.id_of if len(p) > 1])
 
     @staticmethod
-    def _segments(longer: list[str]) -> re.Pattern | None:
-        """A pattern for stretches that never merge with each other; None if the vocabulary doesn't allow for one.
+    def _apart(longer: list[str]) -> re.Pattern | None:
+        """Matches where a text may be cut without changing its ids, besides before a single space; None if it may not be cut.
 
-        The cuts are: between a letter and a mark that follows a letter in no piece (the space mark has to be one
-        of those), and around characters that are in no longer piece.
+        The places are: before a line end, where no longer piece has one; before marks that follow a letter in no piece. (The
+        space mark has to be first or after another one in each piece.)
         """
-        letter, marks = r"[^\W\d_]", f"{SPACE}\n\t" + "".join(map(chr, range(33, 48))) + ":;<=>?@[]^{|}~"
-        after = {b for p in longer for a, b in zip(p, p[1:], strict=False) if re.match(letter, a)}
-        if SPACE in after:
+        letter = r"[^\W\d_]"
+        if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in longer):
             return None
-        cut = "".join(re.escape(c) for c in marks if c not in after)
-        alone = "".join(re.escape(c) for c in "\n\t" if not any(c in p for p in longer))
-        alone = f"[{alone}]" if alone else "(?!)"
-        rest = f"(?:(?!{letter}|{alone}).)"
-        return re.compile(f"{alone}|{rest}+(?:{letter}+(?![{cut}]|{letter}){rest}+)*{letter}*|{letter}+(?:(?![{cut}]|{letter}){rest}+{letter}*)*", re.DOTALL)
+        after = {b for p in longer for a, b in pairwise(p) if re.match(letter, a)}
+        marks = "".join(re.escape(c) for c in ".,;:!?)" if c not in after)
+        line = [] if any("\n" in p for p in longer) else [r"\n"]
+        return re.compile("|".join(line + ([f"(?<={letter})[{marks}]"] if marks else [])) or "(?!)")
 
     def _pairs(self) -> tuple[dict[int, int], dict[int, int]]:
         """(left id, right id) in one number -> rank in the agenda, and -> id of the piece that the two form."""
@@ -76,56 +85,135 @@ class MergeModel:
 
     def encode_segment(self, text: str) -> list[int]:
         """Ids of one stretch of normalised text."""
-        id_of, rank, n = self.id_of, self.pair_rank.get, len(text)
         # a character outside the vocabulary is -1 and is in no pair
-        symbols = [id_of.get(c, -1) for c in text]
-        agenda = [r | i for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a >= 0 and (r := rank(a << 24 | b))]
-        if agenda:
-            heapify(agenda)
-            # a symbol that was merged into its left neighbour is -2; a sentinel stands at the end
-            right, left = list(range(1, n + 2)), list(range(-1, n))
-            symbols.append(-1)
-            while agenda:
-                top = heappop(agenda)
-                i = top & 0xFFFFFFFF
-                a, j = symbols[i], right[i]
-                if a < 0 or rank(pair := a << 24 | symbols[j]) != top - i:
-                    continue  # one of the two has changed since
-                symbols[i], symbols[j] = (a := self.pair_id[pair]), -2
-                right[i] = k = right[j]
-                left[k] = i
-                if r := rank(a << 24 | symbols[k]):
-                    heappush(agenda, r | i)
-                if (h := left[i]) >= 0 and (b := symbols[h]) >= 0 and (r := rank(b << 24 | a)):
-                    heappush(agenda, r | h)
-            symbols.pop()
-            if -1 not in symbols:
-                return [x for x in symbols if x >= 0]
+        symbols = list(map(self.char_ids, text, repeat(-1)))
+        self.merge_long(symbols)
+        return self.with_bytes(symbols, text)
+
+    def encode_segments(self, texts: list[str]) -> list[list[int]]:
+        """The same for many stretches; short ones of like length share one agenda table."""
+        rows = [list(map(self.char_ids, t, repeat(-1))) for t in texts]
+        order = sorted(range(len(rows)), key=lambda k: len(rows[k]))
+        start = 0
+        for end in [*SHORT, None]:
+            stop = len(order) if end is None else bisect_right(order, end, start, key=lambda k: len(rows[k]))
+            part = order[start:stop]
+            if end is None:
+                for k in part:
+                    self.merge_long(rows[k])
+            elif part:
+                for k, row in zip(part, self.merge_table([rows[k] for k in part]), strict=True):
+                    rows[k] = row
+            start = stop
+        return [self.with_bytes(r, t) for r, t in zip(rows, texts, strict=True)]
+
+    def with_bytes(self, symbols: list[int], text: str) -> list[int]:
+        """Byte pieces (or the unknown id) for the characters that stayed -1."""
+        if -1 not in symbols:
+            return symbols
         out: list[int] = []
-        for x, c in zip(symbols, text, strict=True):
+        at = 0
+        for x in symbols:
             if x >= 0:
                 out.append(x)
-            elif x == -1 and self.byte_ids:
-                out += [self.byte_ids[b] for b in c.encode()]
-            elif x == -1 and (not out or out[-1] != self.unknown):
+                at += len(self.names[x])
+                continue
+            if self.byte_ids:
+                out += [self.byte_ids[b] for b in text[at].encode()]
+            elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
+            at += 1
         return out
 
-    def normalise(self, text: str) -> str:
-        return SPACE + text.replace(" ", SPACE) if text else ""
-
-    def cut(self, normalised: str) -> list[str]:
-        return self.segments.findall(normalised) if self.segments else [normalised] if normalised else []
+    def look_up(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks and ids of pairs; NONE where a pair is no piece."""
+        pairs = (a << 24) | b
+        at = np.minimum(np.searchsorted(self.keys, pairs), self.keys.size - 1)
+        held = (self.keys[at] == pairs) & (a >= 0) & (b >= 0)
+        return np.where(held, self.ranks[at], NONE), self.ids[at]
+
+    def merge_table(self, rows: list[list[int]]) -> list[list[int]]:
+        """Merges many rows at once. A row's agenda holds the rank of each adjacent pair; in each turn the best, leftmost entry
+        of every row goes first, its pair becomes one symbol, and the entries on both sides of it are renewed."""
+        width = max(map(len, rows)) + 1
+        symbols = np.full((len(rows), width), -3, np.int64)  # -3 after a row's end
+        for k, r in enumerate(rows):
+            symbols[k, : len(r)] = r
+        agenda = self.look_up(symbols[:, :-1], symbols[:, 1:])[0]
+        columns = np.arange(width)
+        live = np.arange(len(rows))
+        while live.size:
+            part = agenda[live]
+            best = part.argmin(axis=1)
+            more = part[np.arange(live.size), best] < NONE
+            live, best = live[more], best[more]
+            if not live.size:
+                break
+            row = symbols[live]
+            each = np.arange(live.size)
+            new = self.look_up(row[each, best], row[each, best + 1])[1]
+            after = np.minimum(columns[None, :] + (columns[None, :] > best[:, None]), width - 1)
+            row = np.take_along_axis(row, after, axis=1)
+            row[:, -1] = -3
+            row[each, best] = new
+            entries = np.take_along_axis(agenda[live], np.minimum(after[:, :-1], width - 2), axis=1)
+            entries[:, -1] = NONE
+            entries[each, best] = self.look_up(new, row[each, np.minimum(best + 1, width - 1)])[0]
+            left = np.flatnonzero(best)
+            entries[left, best[left] - 1] = self.look_up(row[left, best[left] - 1], new[left])[0]
+            symbols[live], agenda[live] = row, entries
+        return [r[: r.index(-3)] for r in symbols.tolist()]
+
+    def merge_long(self, symbols: list[int]) -> None:
+        """The same with the agenda as a heap, for long stretches."""
+        rank, n = self.pair_rank.get, len(symbols)
+        agenda = [r | i for i, (a, b) in enumerate(pairwise(symbols)) if (r := rank(a << 24 | b))]
+        heapify(agenda)
+        # a symbol that was merged into its left neighbour is -2; a sentinel stands at the end
+        right, left = list(range(1, n + 2)), list(range(-1, n))
+        symbols.append(-1)
+        while agenda:
+            top = heappop(agenda)
+            i = top & 0xFFFFFFFF
+            a, j = symbols[i], right[i]
+            if a < 0 or rank(pair := a << 24 | symbols[j]) != top - i:
+                continue  # one of the two has changed since
+            symbols[i], symbols[j] = (a := self.pair_id[pair]), -2
+            right[i] = k = right[j]
+            left[k] = i
+            if r := rank(a << 24 | symbols[k]):
+                heappush(agenda, r | i)
+            if (h := left[i]) >= 0 and (b := symbols[h]) >= 0 and (r := rank(b << 24 | a)):
+                heappush(agenda, r | h)
+        symbols[:] = [x for x in symbols[:n] if x != -2]
+
+    def cut(self, text: str) -> list[str]:
+        """Tokens that are encoded one by one: each has a space mark in front, unless it starts with JOIN."""
+        if not text:
+            return []
+        if self.apart is None or JOIN in text:
+            return [JOIN + SPACE + text.replace(" ", SPACE)]
+        tokens = self.apart.sub(f" {JOIN}\\g<0>", text).split(" ")
+        if "" in tokens or SPACE in text:
+            # a run of spaces belongs to what follows it
+            return [t[1:] for t in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
+        return tokens
+
+    def symbols_of(self, token: str) -> str:
+        return token[1:] if token.startswith(JOIN) else SPACE + token.replace(" ", SPACE)
 
     def encode(self, text: str, add_end: bool = True) -> list[int]:
-        out = [i for s in self.cut(self.normalise(text)) for i in self.encode_segment(s)]
+        out = [i for t in self.cut(text) for i in self.encode_segment(self.symbols_of(t))]
         return out + [self.end] if add_end else out
 
     def decode(self, ids: list[int], strip: bool = True) -> str:
         """Text of ids: runs of byte pieces are read as UTF-8, control ids give nothing, one leading space goes."""
-        if not self.byte_of.keys() & set(ids):
-            text = "".join([self.names[i] for i in ids if i in self.plain]).replace(SPACE, " ")
+        spelled = self.spelled
+        try:
+            text = "".join([spelled[i] for i in ids])
             return text[1:] if strip and text.startswith(" ") else text
+        except TypeError:  # a byte or control piece
+            pass
         out: list[str] = []
         held = bytearray()
         for i in [*ids, None]:
@@ -141,55 +229,63 @@ class MergeModel:
         return text[1:] if strip and text.startswith(" ") else text
 
 
+def _own(token: str) -> str:
+    """The characters of a token, a space in front unless it is joined."""
+    return token[1:] if token.startswith(JOIN) else " " + token
+
+
 class SegmentCache:
-    """segment -> (number of ids, ids as text), two generations; misses are checked with the library.
+    """token -> its ids as text, two generations; misses are checked with the library.
 
-    The decoded text of a segment is kept in `texts` where it isn't the segment with its space marks as spaces.
+    The decoded text of a token is kept in `texts` where it isn't the token's own characters.
     """
 
     def __init__(self, model: MergeModel):
         self.model, self.new, self.old, self.texts = model, {}, {}, {}
 
     def check(self, misses: list[str], found: list[list[int]], texts: list[str]) -> None:
-        """The library puts a space mark before what it gets; where a segment starts with one, that is taken off first.
-
-        Other segments are checked behind a space mark, from which a vocabulary with cuts keeps them apart, or not at all.
-        """
-        lib, at = self.model.lib, [k for k, s in enumerate(misses) if s[0] == SPACE and len(s) > 1]
-        said = lib.encode([misses[k][1:].replace(SPACE, " ") for k in at], num_threads=1)
+        """Tokens with a space mark in front are what the library makes of them alone; the others are part of the whole texts that check_text compares."""
+        lib, at = self.model.lib, [k for k, t in enumerate(misses) if t and not t.startswith(JOIN)]
+        said = lib.encode([misses[k] for k in at], num_threads=1)
         for k, ids in zip(at, said, strict=True):
             if ids != found[k]:
                 raise ValueError(f"encoding differs from the library: {misses[k]!r}: {found[k]} and {ids}")
-        for k, text in zip(at, lib.decode(said, num_threads=1), strict=True):
-            if " " + text != texts[k]:
-                raise ValueError(f"decoding differs from the library: {misses[k]!r}: {texts[k]!r} and {text!r}")
+            if texts[k] != " " + misses[k] and " " + lib.decode(ids) != texts[k]:
+                raise ValueError(f"decoding differs from the library: {misses[k]!r}: {texts[k]!r}")
 
-    def fill(self, segments: set[str]) -> None:
+    def check_text(self, text: str, ids: str, decoded: str) -> None:
+        """One whole text and its decoding against the library."""
+        said = self.model.lib.encode(text)
+        if " ".join(map(str, said)) != ids or self.model.lib.decode(said) != decoded:
+            raise ValueError(f"a text's encoding or decoding differs from the library: {text[:200]!r}")
+
+    def fill(self, tokens: set[str]) -> None:
         new, old = self.new, self.old
-        unknown = segments.difference(new)
+        unknown = tokens.difference(new)
         kept = unknown.intersection(old)
-        new.update((s, old[s]) for s in kept)
+        new.update((t, old[t]) for t in kept)
         misses = list(unknown - kept)
-        found = [self.model.encode_segment(s) for s in misses]
+        found = self.model.encode_segments([self.model.symbols_of(t) for t in misses])
         texts = [self.model.decode(ids, strip=False) for ids in found]
         self.check(misses, found, texts)
-        new.update((s, (len(ids), " ".join(map(str, ids)))) for s, ids in zip(misses, found, strict=True))
-        self.texts.update((s, t) for s, t in zip(misses, texts, strict=True) if t != s.replace(SPACE, " "))
+        new.update((t, " ".join(map(str, ids))) for t, ids in zip(misses, found, strict=True))
+        self.texts.update((t, x) for t, x in zip(misses, texts, strict=True) if x != _own(t))
 
     def trim(self) -> None:
         if len(self.new) > CACHE:
             self.old, self.new = self.new, {}
-            self.texts = {s: t for s, t in self.texts.items() if s in self.old}
+            self.texts = {t: x for t, x in self.texts.items() if t in self.old}
+
+    def run(self, tokens: list[str]) -> tuple[str, str]:
+        """Ids as text and decoded text of one document."""
+        ids = " ".join(map(self.new.__getitem__, tokens))
+        if self.texts.keys().isdisjoint(tokens):
+            return ids, " ".join(tokens).replace(f" {JOIN}", "")
+        text = "".join([self.texts[t] if t in self.texts else _own(t) for t in tokens])
+        return ids, text[1:] if text.startswith(" ") else text
 
 
-def run_segments(cache: SegmentCache, parts: list[str]) -> tuple[int, str, str]:
-    """Number of ids, ids as text and decoded text of one document."""
-    got = list(map(cache.new.__getitem__, parts))
-    ids = " ".join([g[1] for g in got])
-    if cache.texts and not cache.texts.keys().isdisjoint(parts):
-        parts = [cache.texts.get(s, s.replace(SPACE, " ")) for s in parts]
-    text = "".join(parts).replace(SPACE, " ")
-    return sum([g[0] for g in got]), ids, text[1:] if text.startswith(" ") else text
+_caches: dict[str, SegmentCache] = {}
 
 
 def sentencepiece_roundtrip(docs: DataFrame, model_file: str, keep: bool = False) -> DataFrame:
@@ -197,18 +293,22 @@ def sentencepiece_roundtrip(docs: DataFrame, model_file: str, keep: bool = False
     schema = SCHEMA + (", ids array<int>, decoded string" if keep else "")
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = MergeModel(model_file)
-        cache = SegmentCache(model)
+        if model_file not in _caches:  # kept by the worker for its next tasks
+            _caches[model_file] = SegmentCache(MergeModel(model_file))
+        cache = _caches[model_file]
+        model = cache.model
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 ids, texts = batch.column(0).slice(start, 200), batch.column(1).slice(start, 200).to_pylist()
-                parts = [model.cut(model.normalise(t or "")) for t in texts]
-                cache.fill({s for p in parts for s in p})
+                parts = [model.cut(t or "") for t in texts]
+                cache.fill(set().union(*parts))
                 cols: tuple[list, ...] = ([], [], [], [], [])
-                for p in parts:
-                    n, said, text = run_segments(cache, p)
+                for k, p in enumerate(parts):
+                    said, text = cache.run(p)
+                    if not k:
+                        cache.check_text(texts[0] or "", said, text)
                     said = f"{said} {model.end}" if said else str(model.end)
-                    for c, v in zip(cols, (n + 1, hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), said, text), strict=True):
+                    for c, v in zip(cols, (said.count(" ") + 1, hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), said, text), strict=True):
                         c.append(v)
                 cache.trim()
                 out = [ids, pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])]
