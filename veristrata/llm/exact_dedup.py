@@ -185,13 +185,18 @@ def exact_dedup(docs: DataFrame, keep_largest: bool = True) -> DataFrame:
         resolved = resolved.unionByName(alone.select("run", "digest", F.col("keep").alias("keep_id"), F.col("n").alias("group_size")))
         return _out(members.join(resolved, ["run", "digest"]))
     # unequal texts behind one digest: those groups are formed by the text itself
-    bad = members.join(differing, "digest", "left_semi").select("doc_id", "digest").join(docs, "doc_id")
+    bad = _with_digest(docs).join(differing, "digest", "left_semi")
     by_text = bad.groupBy("digest", "text").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     rest = members.join(differing, "digest", "left_anti").join(
         merged.select("digest", "keep_id", "group_size").unionByName(alone.select("digest", F.col("keep").alias("keep_id"), F.col("n").alias("group_size"))).join(differing, "digest", "left_anti"), "digest")
     return _out(rest).unionByName(_out(bad.join(by_text, ["digest", "text"])))
 
 
+def _with_digest(docs: DataFrame) -> DataFrame:
+    """Rows of one doc_id can have different texts, so texts are found by both."""
+    return docs.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+
+
 def _differing(docs: DataFrame, hits: DataFrame) -> DataFrame | None:
     """Digests whose texts in different runs are not the same bytes; None if there are none."""
     hits = materialize(hits.select("doc_id", "digest", "variant", "run"), "dedup-hits")
@@ -210,7 +215,7 @@ def _differing(docs: DataFrame, hits: DataFrame) -> DataFrame | None:
     for r in hits.select("doc_id").coalesce(8).mapInArrow(build, "held binary").collect():
         held |= np.frombuffer(r.held, np.uint8)
     wanted = _filtered(docs, held, "doc_id", lambda c: id_keys(c.to_numpy()).ravel(), True)
-    texts = wanted.join(hits, "doc_id").groupBy("digest", F.pmod("run", F.lit(64)).alias("salt")).agg(F.min("text").alias("lo"), F.max("text").alias("hi"), F.max("variant").alias("v"))
+    texts = _with_digest(wanted).join(hits, ["doc_id", "digest"]).groupBy("digest", F.pmod("run", F.lit(64)).alias("salt")).agg(F.min("text").alias("lo"), F.max("text").alias("hi"), F.max("variant").alias("v"))
     bad = texts.groupBy("digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("v").alias("v")).where("lo <> hi or v > 0").select("digest")
     bad = materialize(bad, "dedup-clash")
     return bad if bad.take(1) else None
