@@ -12,7 +12,7 @@ Running sums are two-level: sums of buckets of the seeded hash, then sums inside
 holds a whole leaf. Buckets follow the row count.
 
 Cases: null lang or source is the value '' and null text has no tokens; a document without tokens is taken
-with any leaf that has a budget at its place in the order; a weight missing from the table is 1; non-positive
+with any leaf that has a budget at its place in the order; rows of one doc_id count as rows of their own and get one line of the plan; a weight missing from the table is 1; non-positive
 weights give nothing; an empty table gives an empty result; other columns of the input pass through `mix`
 and are ignored by `plan`.
 """
@@ -112,7 +112,10 @@ def plan(docs: DataFrame, seed: str = SEED, budget_fraction: float = BUDGET_FRAC
 
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
-    """Rows of docs as often as the plan takes them, all columns."""
-    taken = plan(docs, **parameters).where("copies > 0").groupBy(F.col("doc_id").alias("_vs_id")).agg(F.max("copies").alias("_vs_copies"))
+    """Rows of docs as often as the plan takes them, all columns. Rows of one doc_id share its copies."""
+    taken = plan(docs, **parameters).where("copies > 0").groupBy(F.col("doc_id").alias("_vs_id")).agg(F.sum("copies").alias("_vs_copies"))
     joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_vs_id"]))
-    return joined.withColumn("_vs_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_vs_copies")))).select(docs.columns)
+    rows = W.partitionBy("_vs_id")
+    share = F.floor((F.col("_vs_copies") + F.count("*").over(rows) - F.row_number().over(rows.orderBy("n_chars", "text"))) / F.count("*").over(rows))
+    joined = joined.withColumn("_vs_share", share.cast("long")).where("_vs_share > 0")
+    return joined.withColumn("_vs_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_vs_share")))).select(docs.columns)
