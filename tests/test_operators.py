@@ -161,3 +161,11 @@ def test_box_expressions(spark):
     df = spark.createDataFrame([(" TRUE ", "1e400", ""), ("no", "7", "b")], "t string, n string, s string")
     got = [tuple(r) for r in df.select(E.is_true(F.col("t")).alias("a"), E.number(F.col("n")).alias("b"), E.first_filled(F.col("s"), F.lit("z")).alias("c")).collect()]
     assert got == [(True, None, "z"), (False, 7.0, "b")]
+
+
+def test_optimizer_updates():
+    from veristrata.operators.selection import optimizer_updates
+
+    got = optimizer_updates(376, 8, 3, warmup_epochs=0)
+    assert got == {"batches_per_epoch": 47, "micro_batches": 141, "warmup": 0, "updates": 17}
+    assert optimizer_updates(376, 8, 3)["updates"] > 17

@@ -10,6 +10,7 @@ from veristrata.operators import matching as M
 from veristrata.operators import metrics as X
 from veristrata.operators import resample as R
 from veristrata.operators import stats as S
+from veristrata.operators.selection import best_epoch, gated_choice
 from veristrata.plans import fixtures as FX
 from veristrata.plans.detection import _NMS_FOLD, _OUTCOMES, _RATIOS, HIGH, REPORT, STEPS, _matched, iou_sql, match_sql, sweep_sql
 from veristrata.plans.fixtures import read
@@ -238,7 +239,22 @@ def stable_shift(spark, d):
     return r.agg(F.round(F.percentile(F.abs(F.col("a") - F.col("b")), F.lit(0.5)), 6).alias("median_abs"), F.round(F.avg(F.col("b") - F.col("a")), 4).alias("bias"), F.round(S.safe_corr(F.col("ra"), F.col("rb")), 6).alias("spearman"))
 
 
-QUERIES = [geometry_columns, box_transforms, candidate_geometry, nearest_candidate, strategy_chain, quintile_bins, factor_table, outcome_quantiles, worst_patterns, fp_concentration, gt_count_distribution, tile_labels, patch_fusion,
+def scheme_selection(spark, d):
+    """The largest number of folds up to 4 whose shares are even and whose (fold, priority) cells are all filled."""
+    o = read(spark, d, "orders").select("o_custkey", "o_orderpriority", F.explode(F.array(F.lit(3), F.lit(4), F.lit(5))).alias("folds"))
+    cells = o.groupBy("folds", (F.col("o_custkey") % F.col("folds")).alias("fold"), "o_orderpriority").agg(F.count("*").alias("n"))
+    shares = cells.groupBy("folds", "fold").agg(F.sum("n").alias("n"), F.count("*").alias("cells"))
+    total = F.sum("n").over(W.partitionBy("folds"))
+    per = shares.withColumn("off", F.abs(F.col("n") / total - 1 / F.col("folds"))).groupBy("folds").agg(F.max("off").alias("off"), F.min("cells").alias("cells"))
+    return gated_choice(per, [F.col("off") <= 0.02, F.col("cells") == 5, F.col("folds") <= 4], [-F.col("folds")], "folds", 3)
+
+
+def fitness_by_step(spark, d):
+    """The sweep step with the best fitness of precision (as AP50) and recall (as mAP)."""
+    return best_epoch(X.sweep(_matched(spark, d), STEPS), "precision", "recall", "threshold_id")
+
+
+QUERIES = [scheme_selection, fitness_by_step, geometry_columns, box_transforms, candidate_geometry, nearest_candidate, strategy_chain, quintile_bins, factor_table, outcome_quantiles, worst_patterns, fp_concentration, gt_count_distribution, tile_labels, patch_fusion,
            refine_policy, rescue_trajectory, routing_burden, composite_risk, instability, detect_reinspect_grid, policy_invariance, best_configuration, budget_reaches, case_table, duplicate_collapse, bootstrap_gap, bootstrap_median, stable_shift]
 
 _TOP = FX.FX + ", i AS (SELECT DISTINCT img FROM fx_obj), t AS (SELECT i.img, count(p.conf) AS cnt, max(p.conf) AS top FROM i LEFT JOIN fx_pred p ON p.img = i.img GROUP BY i.img)"
@@ -246,6 +262,8 @@ _DRAW = f"(({R.LCG_A} * (({R.LCG_A} * ((i // 60 * 7919 + i % 60 * 104729 + 7) %
 _STATUS = lambda c: f"CASE WHEN len(list_filter(m, lambda x: x.j = g.j AND x.conf >= {c})) > 0 THEN 'TP' ELSE 'FN' END"
 
 ORACLES = {
+    "scheme_selection": "WITH c AS (SELECT folds, o_custkey % folds AS fold, o_orderpriority, count(*) AS n FROM orders, (VALUES (3), (4), (5)) k(folds) GROUP BY ALL), s AS (SELECT folds, fold, sum(n) AS n, count(*) AS cells FROM c GROUP BY ALL), p AS (SELECT folds, abs(n / sum(n) OVER (PARTITION BY folds) - 1 / folds::DOUBLE) AS off, cells FROM s), q AS (SELECT folds, max(off) AS off, min(cells) AS cells FROM p GROUP BY folds) SELECT coalesce(max(folds) FILTER (WHERE off <= 0.02 AND cells = 5 AND folds <= 4), 3)::INT AS folds, count_if(off <= 0.02 AND cells = 5 AND folds <= 4)::BIGINT AS qualifying FROM q",
+    "fitness_by_step": f"WITH s AS ({sweep_sql(1)}) SELECT threshold_id AS epoch, round(0.1::DOUBLE * precision + 0.9::DOUBLE * recall, 9) AS fitness FROM s ORDER BY fitness DESC, threshold_id LIMIT 1",
     "geometry_columns": FX.FX + """, b AS (SELECT img, gt_index, x1 - x0 AS w, y1 - y0 AS h, (x1 - x0) * (y1 - y0) AS area, round((x1 - x0) / (y1 - y0)::DOUBLE, 9) AS aspect, least(x1 - x0, y1 - y0) AS min_side, (x0 + x1) / 128.0::DOUBLE AS cx, least(x0, y0, 64 - x1, 64 - y1) AS edge FROM fx_gt)
 SELECT *, min_side * (target / 64.0::DOUBLE) AS scaled, min_side * (target / 64.0::DOUBLE) < 8 AS below_8 FROM b, (VALUES (32), (64), (128)) t(target)""",
     "box_transforms": FX.FX + " SELECT img, gt_index, greatest(0, least(50, x0)) AS clip_x0, floor((x0 + x1) / 2.0::DOUBLE - (x1 - x0) * 0.75::DOUBLE)::BIGINT AS grown_x0, ceil((x0 + x1) / 2.0::DOUBLE + (x1 - x0) * 0.75::DOUBLE)::BIGINT AS grown_x1, 64 - x1 AS flip_x0, 64 - x0 AS flip_x1, round(sqrt(((x0 + x1) / 2.0::DOUBLE - 32) ** 2 + ((y0 + y1) / 2.0::DOUBLE - 32) ** 2), 9) AS from_centre, x0 AS back_x0 FROM fx_gt",
