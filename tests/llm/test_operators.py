@@ -229,8 +229,7 @@ def brute_components(rows):
 
 
 @pytest.mark.parametrize("long_list", [32, 3])
-def test_jaccard_components(spark, monkeypatch, long_list):
-    monkeypatch.setattr(jaccard_join, "LONG", long_list)
+def test_jaccard_components(spark, long_list):
     r = random.Random(5)
     vocabulary = [f"w{k}" for k in range(300)]
     base = [[r.choice(vocabulary) for _ in range(r.randint(1, 60))] for _ in range(10)]
@@ -243,7 +242,7 @@ def test_jaccard_components(spark, monkeypatch, long_list):
                 w[r.randrange(len(w))] = r.choice(vocabulary)
         w = w + common if r.random() < 0.2 else common + w[:3] if r.random() < 0.1 else w
         rows.append((10 + k, " ".join(w)))
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(table(spark, rows).repartition(4)).collect()}
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(table(spark, rows).repartition(4), long_list=long_list, tile=20).collect()}
     assert got == brute_components(rows)
     kept = jaccard_join.drop_similar(table(spark, rows))
     assert {x.doc_id for x in kept.collect()} == {i for i, (_, c) in got.items() if i == c}
@@ -260,6 +259,13 @@ def test_merging_lists():
     assert list(jaccard_join.merge_lists(lists)) == [(1, 2), (5, 4), (9, 1)]
 
 
+def test_tiles_link_components():
+    blob = lambda *x: np.array(x, np.uint64).tobytes()
+    rows = [{"side": s, "node": n, "c": c, "blob": b} for s, n, c, b in [(0, 1, 1, blob(1, 2, 3, 4)), (0, 2, 1, blob(1, 2, 3, 9)), (0, 3, 3, blob(7, 8)), (1, 4, 4, blob(1, 2, 3, 4)), (1, 5, 5, blob(7, 9))]]
+    got = [r for batch in jaccard_join.tile_links(rows, 75) for r in batch.to_pylist()]
+    assert got == [{"a": 4, "b": 1}]
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 180)] + [(-5, -9)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long"), "t").collect()}

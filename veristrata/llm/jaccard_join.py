@@ -1,7 +1,7 @@
 """N-gram Jaccard join by T-occurrence search with divided lists (short ones merged, long ones probed).
 
 A document's set is its distinct shingles of N words, hashed to 64 bits. Documents with equal sets form one class
-with one node. Shingles have one order for all: those in few documents first, the HEAVY most frequent ones last. In
+with one node. Shingles have one order for all: those in few sets first, the HEAVY most frequent ones last. In
 that order, two sets that reach the similarity share l elements among the first n - ceil(s n) + l of each (l is the
 smaller of the two LEVELs), so only those prefixes are indexed.
 
@@ -12,7 +12,7 @@ smaller of the two LEVELs), so only those prefixes are indexed.
    occurrences. A pair stays if its occurrences, with all the long lists that it may share, reach l, and its sizes allow it.
 3. Long lists are not merged. Candidates are verified by probing one set in the other by binary search. Nodes of
    long lists are paired with the leader of most of their lists, then, where a list still holds several components, with
-   probes from its largest component, and at last with every node of another component (an exact end that is
+   probes from its largest component, and at last with every node of another component, in tiles (an exact end that is
    small because near copies have been linked by then).
 
 Links are verified on the 64-bit hashes of whole sets. Only links that join components are sought: the result is
@@ -43,10 +43,12 @@ from .exact_dedup import ID_FILTER_BITS, Bloom, _filtered, id_keys
 WORDS = 5
 #: Similarity in hundredths.
 SIMILARITY = 75
-#: A list of more documents than LONG is long; at most HEAVY shingles are put last (5 bytes each are broadcast).
+#: A list of more sets than LONG is long; at most HEAVY shingles are put last (5 bytes each are broadcast).
 LONG, HEAVY = 32, 1 << 19
 #: Postings that a task gathers before it writes them out.
 BUFFER = 1 << 20
+#: Sets of either side of a tile in the last turn.
+TILE = 256
 INDEX = ["kind", "a", "b", "c", "d", "e", "blob"]
 
 
@@ -82,56 +84,78 @@ def _unpack(raw: np.ndarray, size: int) -> np.ndarray:
 
 
 def _by_shard(shard: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    if not shard.size:
+        return
     order = np.argsort(shard, kind="stable")
     shard, rows = shard[order], rows[order]
-    starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if shard.size else np.zeros(0, int)
+    starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
     for a, b in zip(starts, np.r_[starts[1:], shard.size], strict=True):
         yield int(shard[a]), rows[a:b].tobytes()
 
 
-def heavy_shingles(docs: DataFrame, words: int, shards: int) -> np.ndarray:
-    """The top 40 bits of shingles in more than LONG documents, at most HEAVY of them, sorted."""
+def heavy_shingles(docs: DataFrame, words: int, shards: int, long_list: int = LONG) -> np.ndarray:
+    """The top 40 bits of shingles in about long_list different sets or more, at most HEAVY of them, sorted.
+
+    Different sets are counted by a bitmap of 64 bits in which a set has one place, so that copies of one text count once.
+    """
+    taken = round(64 * (1 - (63 / 64) ** long_list))  # places that so many sets are expected to take
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        places: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            keys, bits = _merge_bits(np.concatenate(held), np.uint64(1) << np.concatenate(places))
             rows = []
             for many in (False, True):
-                at = np.flatnonzero((n > 1) == many)
-                packed = _pack(keys[at], 5)
-                if many:
-                    packed = np.concatenate([packed, _pack(n[at].astype(np.uint64), 4)], axis=1)
+                at = np.flatnonzero((np.bitwise_count(bits) > 1) == many)
+                place = bits[at] if many else np.bitwise_count(bits[at] - np.uint64(1)).astype(np.uint64)
+                packed = np.concatenate([_pack(keys[at], 5), _pack(place, 8 if many else 1)], axis=1)
                 rows += [(s, many, blob) for s, blob in _by_shard((keys[at] % np.uint64(shards)).astype(np.int64), packed)]
+            held.clear()
+            places.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "many", "blob"])
 
         for batch in batches:
             for _, s in _sets(batch, words):
                 if s.size:
                     held.append(s >> np.uint64(24))
+                    places.append(np.full(s.size, H.mix(np.array([np.bitwise_xor.reduce(s)]))[0] & np.uint64(63), np.uint64))
                     size += s.size
-                if size >= BUFFER * 2:
+                if size >= BUFFER:
                     yield flush()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield flush()
 
     def total(rows: pa.Table) -> pa.Table:
-        blobs = [(m.as_py(), np.frombuffer(b.as_buffer(), np.uint8)) for m, b in zip(rows.column("many"), rows.column("blob"), strict=True)]
-        many = np.concatenate([np.zeros((0, 9), np.uint8), *[b.reshape(-1, 9) for m, b in blobs if m]])
-        keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *[_unpack(b, 5) for m, b in blobs if not m]]), return_counts=True)
-        keys, inverse = np.unique(np.concatenate([keys, _unpack(many[:, :5].ravel(), 5)]), return_inverse=True)
-        n = np.bincount(inverse, np.concatenate([n, _unpack(many[:, 5:].ravel(), 4).astype(np.int64)])).astype(np.int64)
-        keep = np.flatnonzero(n > LONG)
-        keep = keep[np.argsort(-n[keep], kind="stable")][: max(1, HEAVY // shards)]
-        return pa.Table.from_arrays([pa.array([_pack(np.sort(keys[keep]), 5).tobytes()], pa.binary())], names=["blob"])
+        keys, bits = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for many, blob in zip(rows.column("many"), rows.column("blob"), strict=True):
+            raw = np.frombuffer(blob.as_buffer(), np.uint8).reshape(-1, 13 if many.as_py() else 6)
+            keys.append(_unpack(raw[:, :5].ravel(), 5))
+            place = _unpack(raw[:, 5:].ravel(), raw.shape[1] - 5)
+            bits.append(place if many.as_py() else np.uint64(1) << place)
+        found, bits = _merge_bits(np.concatenate(keys), np.concatenate(bits))
+        n = np.bitwise_count(bits)
+        keep = np.flatnonzero(n >= taken)
+        keep = keep[np.argsort(-n[keep].astype(np.int64), kind="stable")][: max(1, HEAVY // shards)]
+        return pa.Table.from_arrays([pa.array([_pack(np.sort(found[keep]), 5).tobytes()], pa.binary())], names=["blob"])
 
     parts = docs.select("doc_id", "text").mapInArrow(count, "shard int, many boolean, blob binary").groupBy("shard").applyInArrow(total, "blob binary").collect()
     return np.sort(np.concatenate([np.zeros(0, np.uint64), *[_unpack(np.frombuffer(r.blob, np.uint8), 5) for r in parts]]))
 
 
+def _merge_bits(keys: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the union of each one's bits."""
+    if not keys.size:
+        return keys, bits
+    order = np.argsort(keys)
+    keys, bits = keys[order], bits[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[starts], np.bitwise_or.reduceat(bits, starts)
+
+
 def required(n: int, similarity: int) -> int:
     """ceil(similarity * n): the least overlap of a set of n with any that is similar to it."""
     return -(-similarity * n // 100)
@@ -142,7 +166,13 @@ def level(n):
     return 1 + n // 25
 
 
-def _index(docs: DataFrame, heavy: np.ndarray, words: int, similarity: int, shards: int, salt: int) -> DataFrame:
+def node_of(s: np.ndarray, salt: int) -> tuple[int, int]:
+    """The node of a set, and a second hash of it."""
+    mixed = H.mix(s + np.uint64(salt))
+    return int(H.mix(np.array([np.bitwise_xor.reduce(mixed) + np.uint64(s.size)]))[0].astype(np.int64)), int(np.sum(mixed).astype(np.int64))
+
+
+def _index(docs: DataFrame, heavy: np.ndarray, words: int, similarity: int, shards: int, salt: int, long_list: int) -> DataFrame:
     """Rows of three kinds. 0: a document (a: doc_id, b: node, c: second hash of the set, d: size, e: heavy elements in the prefix).
     1: a candidate list (a: node, blob: other nodes and occurrences). 2: a heavy posting (a: shingle, b: node)."""
     shared = docs.sparkSession.sparkContext.broadcast(_pack(heavy, 5).tobytes())
@@ -173,9 +203,7 @@ def _index(docs: DataFrame, heavy: np.ndarray, words: int, similarity: int, shar
                 if not s.size:
                     documents.append((ids[k], None, None, 0, 0))
                     continue
-                mixed = H.mix(s + np.uint64(salt))
-                node = int(H.mix(np.array([np.bitwise_xor.reduce(mixed) + np.uint64(s.size)]))[0].astype(np.int64))
-                second = int(np.sum(mixed).astype(np.int64))
+                node, second = node_of(s, salt)
                 top = s >> np.uint64(24)
                 at = np.searchsorted(last, top)
                 late = (last[np.minimum(at, last.size - 1)] == top) if last.size else np.zeros(s.size, bool)
@@ -201,7 +229,7 @@ def _index(docs: DataFrame, heavy: np.ndarray, words: int, similarity: int, shar
             return pa.Table.from_arrays([kind, *[rows.column(c) for c in ("a", "b", "c", "d", "e", "blob")]], names=INDEX)
         packed = np.concatenate([np.frombuffer(b.as_buffer(), np.uint8).reshape(-1, 14) for b in rows.column("blob")])
         g, v = _unpack(packed[:, :6].ravel(), 6), _unpack(packed[:, 6:].ravel(), 8).view(np.int64)
-        pairs, (g, v) = list_pairs(g, v)
+        pairs, (g, v) = list_pairs(g, v, long_list)
         nodes, blobs = candidate_rows(*pairs)
         none = pa.nulls(nodes.size + g.size, pa.int64())
         cols = [pa.array(np.r_[np.full(nodes.size, 1), np.full(g.size, 2)], pa.int32()), pa.array(np.r_[nodes, g.astype(np.int64)], pa.int64()), pa.array([None] * nodes.size + v.tolist(), pa.int64()), none, none, none, pa.array(blobs + [None] * g.size, pa.binary())]
@@ -210,16 +238,18 @@ def _index(docs: DataFrame, heavy: np.ndarray, words: int, similarity: int, shar
     return docs.select("doc_id", "text").mapInArrow(postings, "shard int, a long, b long, c long, d long, e long, blob binary").groupBy("shard").applyInArrow(lists, "kind int, a long, b long, c long, d long, e long, blob binary")
 
 
-def list_pairs(g: np.ndarray, v: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+def list_pairs(g: np.ndarray, v: np.ndarray, long_list: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """From postings: pairs (smaller, larger, lists that hold both) of the short lists; postings of long lists."""
     order = np.lexsort((v, g))
     g, v = g[order], v[order]
+    if not g.size:
+        return (v, v, v), (g, v)
     new = np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])]
     g, v = g[new], v[new]
     starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
     sizes = np.diff(np.r_[starts, g.size])
     ones, twos = [], []
-    for m in np.unique(sizes[(sizes > 1) & (sizes <= LONG)]):
+    for m in np.unique(sizes[(sizes > 1) & (sizes <= long_list)]):
         table = v[starts[sizes == m][:, None] + np.arange(m)[None, :]]
         i, j = np.triu_indices(m, 1)
         ones.append(table[:, i].ravel())
@@ -230,7 +260,7 @@ def list_pairs(g: np.ndarray, v: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarr
     a, b = a[order], b[order]
     at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if a.size else np.zeros(0, int)
     number = np.diff(np.r_[at, a.size])
-    long_ones = np.repeat(sizes > LONG, sizes)
+    long_ones = np.repeat(sizes > long_list, sizes)
     return (a[at], b[at], number), (g[long_ones], v[long_ones])
 
 
@@ -295,8 +325,8 @@ def overlap(small: np.ndarray, large: np.ndarray) -> int:
     return int((large[np.minimum(at, large.size - 1)] == small).sum()) if large.size else 0
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, similarity: int, tag: str) -> DataFrame:
-    """Those of pairs (a, b) whose sets are similar."""
+def _verify(pairs: DataFrame, sets: DataFrame, similarity: int, tag: str) -> DataFrame | None:
+    """Those of pairs (a, b) whose sets are similar; None without pairs."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,6 +338,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: int, tag: str) -> Dat
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = materialize(pairs.select("a", "b").distinct(), tag)
+    if not pairs.take(1):
+        return None
     one = sets.select(F.col("node").alias("a"), F.col("blob").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("blob").alias("y"))
     return materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(probe, "a long, b long"), tag)
@@ -319,7 +351,7 @@ def _tidy(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def _sets_of(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
+def _sets_of(docs: DataFrame, chosen: DataFrame, words: int, salt: int) -> DataFrame:
     """node, blob of the sets of chosen (doc_id, node); texts are found by a filter on ids before they are joined."""
     size = min(ID_FILTER_BITS, 1 << max(16, (12 * chosen.count()).bit_length()))
 
@@ -339,23 +371,23 @@ def _sets_of(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             part = batch.filter(pa.array(Bloom.test(wanted.value, id_keys(batch.column(0).to_numpy()).ravel())))
-            got = [s.tobytes() for _, s in _sets(part, words)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary())], names=["doc_id", "blob"])
+            got = [(node_of(s, salt)[0] if s.size else None, s.tobytes()) for _, s in _sets(part, words)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([b for _, b in got], pa.binary())], names=["doc_id", "node", "blob"])
 
-    found = docs.select("doc_id", "text").mapInArrow(hash_sets, "doc_id long, blob binary")
-    return materialize(found.join(chosen, "doc_id").dropDuplicates(["node"]).select("node", "blob"), "jac-sets")
+    found = docs.select("doc_id", "text").mapInArrow(hash_sets, "doc_id long, node long, blob binary")
+    return materialize(found.join(chosen, ["doc_id", "node"]).dropDuplicates(["node"]).select("node", "blob"), "jac-sets")
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, long_list: int = LONG, tile: int = TILE) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id long, text string)."""
     docs = docs.select(some_id("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     shards = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heavy = heavy_shingles(docs, words, shards)
+    heavy = heavy_shingles(docs, words, shards, long_list)
     _tidy(docs)
     salt, clash = 0, True
     while clash:  # two different sets with one 64-bit node: once more with another salt
         salt += 1
-        index = materialize(_index(docs, heavy, words, similarity, shards, salt), "jac-index")
+        index = materialize(_index(docs, heavy, words, similarity, shards, salt, long_list), "jac-index")
         rows = index.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("second"), F.col("d").alias("n"), F.col("e").alias("hot"))
         classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("second").alias("c0"), F.max("second").alias("c1"), F.first("n").alias("n"), F.max("hot").alias("hot"))
         classes = materialize(classes, "jac-classes")
@@ -369,7 +401,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similarity: int = SI
     short = materialize(merged.select("a", "b", "n"), "jac-short")
     hot = materialize(index.where("kind = 2").select(F.col("a").alias("g"), F.col("b").alias("node")).distinct(), "jac-hot")
     found = materialize(short.select(F.col("a").alias("node")).unionByName(short.select(F.col("b").alias("node"))).unionByName(hot.select("node")).distinct(), "jac-nodes")
-    sets = _sets_of(docs, classes.join(found, "node").select("doc_id", "node"), words)
+    sets = _sets_of(docs, classes.join(found, "node").select("doc_id", "node"), words, salt)
     # first turn: each node with its best partner, and with the leader of most of its long lists
     sides = short.unionByName(short.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     best = sides.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
@@ -377,22 +409,28 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similarity: int = SI
     leaders = leaders.groupBy("node", "lead").agg(F.count("*").alias("n")).groupBy(F.col("node").alias("a")).agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("b"))
     pairs = best.unionByName(leaders).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = _verify(pairs, sets, similarity, "jac-1")
+    if links is None:
+        return _result(rows, classes.select("node", F.col("doc_id").alias("component_id")))
     groups = components(links, "jac-1")
-    # second turn: all short candidates between components, and probes of the largest component of each long list
-    open_pairs = _between(short.select("a", "b"), groups)
-    probes = _probes(hot, groups, 1)
-    links = links.unionByName(_verify(open_pairs.unionByName(probes), sets, similarity, "jac-2"))
+    # second turn: all short candidates between components, and probes of the largest component of each long list; at last
+    # what long lists still hold between components. A turn without pairs or without links changes nothing.
+    pairs = _probes(hot, groups, 2).unionByName(_between(short.select("a", "b"), groups))
+    more = _verify(pairs, sets, similarity, "jac-2")
+    if more is not None and more.take(1):
+        links = links.unionByName(more)
+        groups = components(links, "jac-2")
+    if more is not None:
+        more = _rest(hot, groups, sets, similarity, tile)
+    if more is not None and more.take(1):
+        groups = components(links.unionByName(more), "jac-3")
     _tidy(docs)
-    if hot.take(1):
-        for turn in (2, 3):
-            groups = components(links, f"jac-{turn}")
-            more = _verify(_probes(hot, groups, turn) if turn == 2 else _rest(hot, groups, info, similarity), sets, similarity, f"jac-{turn + 1}")
-            links = links.unionByName(more)
-    groups = components(links, "jac-end")
     # the component of a class is named by its smallest doc_id
     names = classes.select("node", "doc_id").join(groups, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = classes.select("node", F.col("doc_id").alias("own")).join(groups.join(names, "component").select("node", "component_id"), "node", "left")
-    of_class = of_class.select("node", F.coalesce("component_id", "own").alias("component_id"))
+    return _result(rows, of_class.select("node", F.coalesce("component_id", "own").alias("component_id")))
+
+
+def _result(rows: DataFrame, of_class: DataFrame) -> DataFrame:
     out = rows.join(of_class, "node", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.select(given_id("doc_id"), "n_shingles", given_id("component_id"))
@@ -437,11 +475,73 @@ def _probes(hot: DataFrame, groups: DataFrame, turn: int, ways: int = 4) -> Data
     return rest.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"))
 
 
-def _rest(hot: DataFrame, groups: DataFrame, info: DataFrame, similarity: int) -> DataFrame:
-    """All pairs of a long list between components, one of them outside its largest, whose sizes allow a link."""
+def _rest(hot: DataFrame, groups: DataFrame, sets: DataFrame, similarity: int, tile: int) -> DataFrame | None:
+    """Links between components that share a long list; None if no long list holds several.
+
+    The lists that do are joined into clusters by their leaders. In a cluster, each node that is outside the largest component of some
+    list is compared with all nodes of other components, in tiles of about `tile` by `tile`: the elements of one set
+    are looked for in the inverted lists of a tile, and a tile returns a forest of links, never pairs.
+    """
     placed, largest = _open_lists(hot, groups)
-    placed = placed.join(largest, "g").join(info.select("node", "n"), "node")
-    small = placed.where("c <> big").select("g", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
-    other = placed.select("g", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-    fits = (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-    return small.join(other, "g").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    placed = materialize(placed.join(largest, "g"), "jac-open")
+    if not placed.take(1):
+        return None
+    leaders = placed.groupBy("g").agg(F.min("node").alias("lead"))
+    clusters = components(placed.join(leaders, "g").select(F.col("node").alias("a"), F.col("lead").alias("b")), "jac-clusters")
+    nodes = placed.groupBy("node").agg(F.first("c").alias("c"), F.max(F.col("c") != F.col("big")).alias("open")).join(clusters.withColumnRenamed("component", "cluster"), "node")
+    sizes = nodes.groupBy("cluster").agg(F.ceil(F.count("*") / tile).alias("blocks"), F.greatest(F.lit(1), F.ceil(F.count_if("open") / tile)).alias("open_blocks"))
+    nodes = materialize(nodes.join(sizes, "cluster"), "jac-dealt")
+    spot = F.xxhash64("node")
+    others = nodes.select("cluster", "node", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("open_blocks") - 1)).alias("i"), F.pmod(spot, "blocks").alias("j"), F.lit(0).alias("side"))
+    seekers = nodes.where("open").select("cluster", "node", "c", F.pmod(spot, "open_blocks").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), F.lit(1).alias("side"))
+    dealt = others.unionByName(seekers).join(sets, "node").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side")
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and any(row[k] != held[0][k] for k in ("cluster", "i", "j")):
+                    yield from tile_links(held, similarity)
+                    held = []
+                held.append(row)
+        yield from tile_links(held, similarity)
+
+    return materialize(dealt.select("cluster", "i", "j", "side", "node", "c", "blob").mapInArrow(tiles, "a long, b long"), "jac-rest")
+
+
+def tile_links(rows: list[dict], similarity: int) -> Iterator[pa.RecordBatch]:
+    """A forest of links between the rows of side 1 and those of side 0 in other components."""
+    index = [r for r in rows if not r["side"]]
+    seekers = [r for r in rows if r["side"]]
+    if not index or not seekers:
+        return
+    sets = [np.frombuffer(r["blob"], np.uint64) for r in index]
+    sizes = np.array([s.size for s in sets])
+    owners = np.repeat(np.arange(len(sets)), sizes)
+    elements = np.concatenate(sets)
+    order = np.argsort(elements, kind="stable")
+    elements, owners = elements[order], owners[order]
+    number = {c: k for k, c in enumerate({r["c"] for r in rows})}
+    above = list(range(len(number)))
+
+    def top(k: int) -> int:
+        while above[k] != k:
+            above[k] = k = above[above[k]]
+        return k
+
+    colours = np.array([number[r["c"]] for r in index])
+    links = []
+    for r in seekers:
+        s = np.frombuffer(r["blob"], np.uint64)
+        lo, hi = np.searchsorted(elements, s, "left"), np.searchsorted(elements, s, "right")
+        length = hi - lo
+        at = np.arange(length.sum()) + np.repeat(lo - np.r_[0, np.cumsum(length)[:-1]], length)
+        both = np.bincount(owners[at], minlength=len(sets))
+        mine = number[r["c"]]
+        for k in np.flatnonzero((100 * both >= similarity * (s.size + sizes - both)) & (colours != mine)):
+            a, b = top(mine), top(int(colours[k]))
+            if a != b:
+                above[a] = b
+                links.append((r["node"], index[k]["node"]))
+    if links:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
