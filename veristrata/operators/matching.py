@@ -24,7 +24,7 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def greedy_match(preds: Column, gts: Column, least: float = 0.5, high_index_wins: bool = True, ties_last_first: bool = False) -> Column:
+def greedy_match(preds: Column, gts: Column, least: float | Column = 0.5, high_index_wins: bool = True, ties_last_first: bool = False) -> Column:
     """Each prediction by falling confidence takes the free true box with the largest overlap, if that is at least `least`.
 
     Equal overlaps go to the higher or the lower index. Returns (i, conf, j, iou) per prediction in that order; j is null

@@ -63,16 +63,18 @@ def average_precision(images: DataFrame, overlaps: list[float]) -> DataFrame:
     """
     from veristrata.operators.matching import greedy_match
 
-    found = F.array(*[F.struct(F.lit(k).alias("overlap_id"), F.lit(t).alias("overlap"), greedy_match(F.col("preds"), F.col("gts"), t, ties_last_first=True).alias("m")) for k, t in enumerate(overlaps)])
-    per = images.select("img", F.size("gts").alias("n_gt"), F.explode(found).alias("x")).select("img", "n_gt", "x.*")
-    total = per.groupBy("overlap_id").agg(F.sum("n_gt").alias("n_gt"))
-    rows = per.select("overlap_id", "overlap", "img", F.explode("m").alias("m")).select("overlap_id", "overlap", "img", F.col("m.i").alias("i"), F.col("m.conf").alias("conf"), F.col("m.j").isNotNull().cast("long").alias("hit"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("overlap_id"), F.lit(t).alias("overlap")) for k, t in enumerate(overlaps)]))
+    per = images.select("img", "gts", "preds", each.alias("x")).select("img", "gts", "preds", "x.*")
+    per = per.withColumn("m", greedy_match(F.col("preds"), F.col("gts"), F.col("overlap"), ties_last_first=True)).drop("gts", "preds")
+    total = images.agg(F.sum(F.size("gts")).alias("n_gt"))
+    # both uses of the rows share this exchange, so matching runs once
+    rows = per.select("overlap_id", "overlap", "img", F.explode("m").alias("m")).select("overlap_id", "overlap", "img", F.col("m.i").alias("i"), F.col("m.conf").alias("conf"), F.col("m.j").isNotNull().cast("long").alias("hit")).repartition("overlap_id", "conf")
     values = rows.groupBy("overlap_id", "conf").agg(F.sum("hit").alias("hits"), F.count("*").alias("n"))
     above = W.partitionBy("overlap_id").orderBy(F.desc("conf")).rowsBetween(W.unboundedPreceding, -1)
     values = values.select("overlap_id", "conf", F.coalesce(F.sum("hits").over(above), F.lit(0)).alias("hits_before"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_before"))
     inside = W.partitionBy("overlap_id", "conf").orderBy(F.desc("img"), F.desc("i")).rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = rows.join(values, ["overlap_id", "conf"]).withColumn("tp", F.col("hits_before") + F.sum("hit").over(inside)).withColumn("n", F.col("n_before") + F.count("*").over(inside))
-    ranked = ranked.join(F.broadcast(total), "overlap_id").withColumn("precision", F.col("tp") / F.col("n")).withColumn("recall", ratio(F.col("tp"), F.col("n_gt")))
+    ranked = ranked.crossJoin(F.broadcast(total)).withColumn("precision", F.col("tp") / F.col("n")).withColumn("recall", ratio(F.col("tp"), F.col("n_gt")))
     # the best precision at or right of each of 101 recalls: a row counts for all points up to its own
     points = ranked.groupBy("overlap_id", "overlap", F.floor(F.col("recall") * 100 + 1e-9).cast("int").alias("point")).agg(F.max("precision").alias("p"))
     right = W.partitionBy("overlap_id").orderBy("point").rowsBetween(W.currentRow, W.unboundedFollowing)
