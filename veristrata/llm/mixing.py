@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Production parameters. A domain is the last digit of the source's number in groups; weights name nodes of the tree.
 SEED = "mix-1"
 MAX_EPOCHS = 2
@@ -90,6 +92,7 @@ def plan(docs: DataFrame, seed: str = SEED, budget_fraction: float = BUDGET_FRAC
          lang_weights: dict = LANG_WEIGHTS, source_weights: dict | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """One row per document: doc_id, domain, lang, source, n_tokens, leaf_budget, copies (epochs in which it is taken)."""
     rows = docs.select("doc_id", domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), token_count(F.col("text")).alias("n_tokens"))
+    rows = materialize(rows, "mix-rows")  # texts are read once, for their counts
     leaf = ["domain", "lang", "source"]
     sums = rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
     budgets = leaf_budgets(sums, budget_fraction, max_epochs, domain_weights, lang_weights, source_weights or {}).join(sums.select(*leaf, "rows"), leaf)
