@@ -169,3 +169,17 @@ def test_optimizer_updates():
     got = optimizer_updates(376, 8, 3, warmup_epochs=0)
     assert got == {"batches_per_epoch": 47, "micro_batches": 141, "warmup": 0, "updates": 17}
     assert optimizer_updates(376, 8, 3)["updates"] > 17
+
+
+def test_repair_and_enhancement_kernels():
+    image = np.full((12, 12), 50, np.uint8)
+    mask = np.zeros((12, 12), bool)
+    mask[4:6, 4:6] = True
+    image[mask] = 255
+    assert (P.repair_median(image, mask) == 50).all() and (P.repair_directions(image, mask) == 50).all()
+    rgb = np.stack([image, np.full_like(image, 10), np.full_like(image, 10)], axis=2)
+    assert (P.chromatic_mask(rgb) == mask).all()
+    assert P.replicated_crop(image, -2, -2, 2, 2).shape == (4, 4)
+    ramp = np.arange(144, dtype=np.uint8).reshape(12, 12)
+    assert P.tile_equalise(ramp, 12).max() == 255 and P.percentile_window(ramp).min() == 0
+    assert P.edge_centroid(np.ones((12, 12)), mask) == (4.5, 4.5) and P.edge_centroid(np.zeros((12, 12)), mask) is None

@@ -120,3 +120,67 @@ def image_statistics(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "width", "height", "mean", "std", "p5", "median", "p95", "dhash"])
 
     return files.select("path", "content").mapInPandas(task, "path string, width int, height int, mean double, std double, p5 double, median double, p95 double, dhash array<bigint>")
+
+
+def chromatic_mask(rgb: np.ndarray, least: int = 200) -> np.ndarray:
+    """Pixels whose channels span at least `least`: drawn marks on a grey image."""
+    return rgb.max(axis=2).astype(int) - rgb.min(axis=2) >= least
+
+
+def repair_median(image: np.ndarray, mask: np.ndarray, reach: int = 2) -> np.ndarray:
+    """Masked pixels become the median of unmasked ones within reach; those without any stay."""
+    out = image.copy()
+    for y, x in zip(*np.nonzero(mask), strict=True):
+        part = (slice(max(0, y - reach), y + reach + 1), slice(max(0, x - reach), x + reach + 1))
+        near = image[part][~mask[part]]
+        if near.size:
+            out[y, x] = np.rint(np.median(near))
+    return out
+
+
+def repair_directions(image: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Masked pixels become the mean of the nearest unmasked ones to the left, right, above and below."""
+    out = image.copy()
+    for y, x in zip(*np.nonzero(mask), strict=True):
+        found = []
+        for line, clear in ((image[y, :x][::-1], ~mask[y, :x][::-1]), (image[y, x + 1 :], ~mask[y, x + 1 :]), (image[:y, x][::-1], ~mask[:y, x][::-1]), (image[y + 1 :, x], ~mask[y + 1 :, x])):
+            at = np.flatnonzero(clear)
+            if at.size:
+                found.append(float(line[at[0]]))
+        if found:
+            out[y, x] = np.rint(np.mean(found))
+    return out
+
+
+def tile_equalise(image: np.ndarray, tile: int = 8, clip: float = 2.0) -> np.ndarray:
+    """Histogram equalisation tile by tile with clipped counts, without blending between tiles."""
+    out = np.zeros_like(image)
+    for y in range(0, image.shape[0], tile):
+        for x in range(0, image.shape[1], tile):
+            part = image[y : y + tile, x : x + tile]
+            counts = np.bincount(part.ravel(), minlength=256).astype(float)
+            limit = max(1.0, clip * part.size / 256)
+            over = np.maximum(counts - limit, 0).sum()
+            steps = np.cumsum(np.minimum(counts, limit) + over / 256)
+            out[y : y + tile, x : x + tile] = np.rint(steps / steps[-1] * 255).astype(np.uint8)[part]
+    return out
+
+
+def percentile_window(image: np.ndarray, low: float = 1, high: float = 99) -> np.ndarray:
+    """Values between two percentiles stretched to 0..255."""
+    a, b = np.percentile(image, [low, high])
+    return np.rint(np.clip((image - a) / max(b - a, 1e-9), 0, 1) * 255).astype(np.uint8)
+
+
+def edge_centroid(grad: np.ndarray, mask: np.ndarray) -> tuple[float, float] | None:
+    """Centre (x, y) of a mask's pixels weighted by gradient; None without gradient."""
+    y, x = np.nonzero(mask)
+    w = grad[y, x]
+    return (float((x * w).sum() / w.sum()), float((y * w).sum() / w.sum())) if w.sum() > 0 else None
+
+
+def replicated_crop(image: np.ndarray, x0: int, y0: int, x1: int, y1: int) -> np.ndarray:
+    """A crop whose parts outside the image repeat its edge."""
+    rows = np.clip(np.arange(y0, y1), 0, image.shape[0] - 1)
+    cols = np.clip(np.arange(x0, x1), 0, image.shape[1] - 1)
+    return image[np.ix_(rows, cols)]
