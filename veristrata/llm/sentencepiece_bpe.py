@@ -5,7 +5,7 @@ position; it merges the best live pair, pushes the pairs this creates, and ends
 outside the vocabulary. Where no piece has a space mark after another character (checked at load), a text falls
 apart before each run of spaces, and before line ends and marks that no piece joins to what is before them, without changing
 the result; such tokens are encoded once for each worker's cache. In each Arrow batch the tokens that were not cached are
-encoded by the library as well, one whole text of every 200 is encoded and decoded by it, and a difference is an error.
+encoded by the library as well, one whole text of every 500 is encoded and decoded by it, and a difference is an error.
 
 Cases: null counts as empty; an empty text gives the end id alone and decodes to ''; repeated rows are encoded
 each; extra columns are ignored. Very long texts cost time and memory in proportion.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Segments in a generation of the worker's cache; two generations are held.
-CACHE = 300_000
+CACHE = 600_000
 #: Numbers of symbols up to which rows share an agenda table (longer rows have a heap), and the rank of a pair that is no piece.
 SHORT, NONE = (6, 9, 12, 16, 24, 40), 1 << 62
 #: In front of a token that has no space mark before it.
@@ -298,8 +298,8 @@ def sentencepiece_roundtrip(docs: DataFrame, model_file: str, keep: bool = False
         cache = _caches[model_file]
         model = cache.model
         for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                ids, texts = batch.column(0).slice(start, 200), batch.column(1).slice(start, 200).to_pylist()
+            for start in range(0, batch.num_rows, 500):
+                ids, texts = batch.column(0).slice(start, 500), batch.column(1).slice(start, 500).to_pylist()
                 parts = [model.cut(t or "") for t in texts]
                 cache.fill(set().union(*parts))
                 cols: tuple[list, ...] = ([], [], [], [], [])
