@@ -116,6 +116,12 @@ def test_exact_dedup(spark, monkeypatch, memtable_rows):
     assert exact_dedup.exact_dedup(table(spark, [])).collect() == []
 
 
+def test_copies_are_dropped_by_row(spark):
+    rows = [(None, "x"), (None, "unique"), (5, "x"), (5, "other"), (5, "x"), (7, "y"), (7, "z"), (8, "z"), (None, "n"), (None, "n"), (None, "m"), (None, None), (None, "")]
+    kept = exact_dedup.drop_copies(table(spark, rows).repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == [("5", "other"), ("5", "x"), ("7", "y"), ("8", "z"), ("None", ""), ("None", "m"), ("None", "n"), ("None", "unique")]
+
+
 def test_colliding_digests_are_split(spark, monkeypatch):
     class One:
         def __init__(self, text):
@@ -254,6 +260,16 @@ def test_jaccard_edges(spark):
     assert [(x.doc_id, x.n_shingles) for x in sorted(got, key=str)] == [(4, 2), (4, 2), (None, 2)]
 
 
+def test_near_copies_are_dropped_by_row(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(5, a), (3, b), (5, b + " q"), (None, c), (None, c + " q"), (None, d), (9, d + " q"), (8, d + " r"), (7, "alone one"), (7, "alone one"), (6, a + " r"), (5, a + " s"), (1, " "), (1, " "), (None, None), (None, "")]
+    kept = jaccard_join.drop_similar(table(spark, rows).repartition(3)).collect()
+    got = [(r.doc_id, r.text) for r in kept]
+    for part, ids in ((a, [5]), (b, [3]), (c, [None]), (d, [None]), ("alone one", [7])):
+        assert [i for i, t in got if (t or "").startswith(part)] == ids
+    assert len(got) == 9 and kept[0].asDict().keys() == table(spark, rows).first().asDict().keys()
+
+
 def test_merging_lists():
     lists = [np.array([[1, 2], [5, 1]]), np.array([[5, 3], [9, 1]]), np.zeros((0, 2), int)]
     assert list(jaccard_join.merge_lists(lists)) == [(1, 2), (5, 4), (9, 1)]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import given_id, materialize, some_id
+from .common import given_id, materialize, some_id, text_of
 
 RUN_SCHEMA = "run long, digest binary, variant int, doc_id long, entry boolean, keep long, n long, filter binary"
 MEMTABLE_ROWS = 50_000
@@ -228,10 +228,24 @@ def _out(df: DataFrame) -> DataFrame:
     )
 
 
+def row_keys(docs: DataFrame, digest=None) -> DataFrame:
+    """docs with the key of a row: _vs_id (NO_ID for null) and _vs_digest, that of the text where none is given."""
+    found = F.unhex(F.sha2(text_of().cast("binary"), 256)) if digest is None else digest
+    return docs.select("*", some_id("doc_id").alias("_vs_id"), found.alias("_vs_digest"))
+
+
+def drop_keys(keyed: DataFrame, out: DataFrame) -> DataFrame:
+    """The rows of keyed whose key is not in out, one of each key; both have _vs_id and _vs_digest."""
+    # repeats are thinned in each task before rows are dealt, so a key with very many rows is no hot spot
+    again = F.row_number().over(W.partitionBy("_vs_id", "_vs_digest").orderBy("_vs_id"))
+    one = keyed.withColumn("_vs_row", again).where("_vs_row = 1")
+    return one.join(out, ["_vs_id", "_vs_digest"], "left_anti").drop("_vs_id", "_vs_digest", "_vs_row")
+
+
 def drop_copies(docs: DataFrame, keep_largest: bool = True) -> DataFrame:
-    """docs with one row of each group of equal texts, all columns."""
-    flags = exact_dedup(docs, keep_largest).where("group_size > 1").groupBy(F.col("doc_id").alias("_vs_id")).agg(F.max("kept").alias("_vs_kept"))
-    joined = docs.join(flags, docs["doc_id"].eqNullSafe(flags["_vs_id"]), "left").where("_vs_kept is null or _vs_kept")
-    again = F.row_number().over(W.partitionBy("doc_id", "_vs_kept").orderBy(F.lit(1)))
-    # rows of one id are copies of each other only where the id is flagged
-    return joined.withColumn("_vs_row", F.when(F.col("_vs_kept"), again).otherwise(1)).where("_vs_row = 1").select(docs.columns)
+    """docs with one row of each group of equal texts, all columns.
+
+    Rows are found by id and text: an id, or no id, that has different texts keeps what each of them keeps.
+    """
+    out = exact_dedup(docs, keep_largest).where("not kept")
+    return drop_keys(row_keys(docs), row_keys(out, F.unhex("text_sha256")).select("_vs_id", "_vs_digest").distinct())

@@ -26,6 +26,7 @@ empty table gives an empty result; other columns are ignored; long texts are use
 from __future__ import annotations
 
 import gc
+import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -36,9 +37,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import wordhash as H
-from .common import given_id, materialize, some_id
+from .common import given_id, materialize, some_id, text_of
 from .components import components
-from .exact_dedup import ID_FILTER_BITS, Bloom, _filtered, id_keys
+from .exact_dedup import ID_FILTER_BITS, Bloom, drop_keys, id_keys, row_keys
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -172,8 +173,8 @@ def node_of(s: np.ndarray, salt: int) -> tuple[int, int]:
     return int(H.mix(np.array([np.bitwise_xor.reduce(mixed) + np.uint64(s.size)]))[0].astype(np.int64)), int(np.sum(mixed).astype(np.int64))
 
 
-def _index(docs: DataFrame, heavy: np.ndarray, words: int, similarity: int, shards: int, salt: int, long_list: int) -> DataFrame:
-    """Rows of three kinds. 0: a document (a: doc_id, b: node, c: second hash of the set, d: size, e: heavy elements in the prefix).
+def _index(docs: DataFrame, heavy: np.ndarray, words: int, similarity: int, shards: int, salt: int, long_list: int, keyed: bool) -> DataFrame:
+    """Rows of three kinds. 0: a document (a: doc_id, b: node, c: second hash of the set, d: size, e: heavy elements in the prefix, blob: digest of the text if keyed).
     1: a candidate list (a: node, blob: other nodes and occurrences). 2: a heavy posting (a: shingle, b: node)."""
     shared = docs.sparkSession.sparkContext.broadcast(_pack(heavy, 5).tobytes())
 
@@ -186,7 +187,7 @@ def _index(docs: DataFrame, heavy: np.ndarray, words: int, similarity: int, shar
         size = 0
 
         def flush() -> pa.RecordBatch:
-            rows = [(-1 - k % 64, *d, None) for k, d in enumerate(documents)] + [(-100 - int(g) % 1000, int(g), int(v), None, None, None, None) for g, v in hot]
+            rows = [(-1 - k % 64, *d) for k, d in enumerate(documents)] + [(-100 - int(g) % 1000, int(g), int(v), None, None, None, None) for g, v in hot]
             if grams:
                 g, v = np.concatenate(grams), np.concatenate(nodes)
                 packed = np.concatenate([_pack(g, 6), _pack(v, 8)], axis=1)
@@ -201,7 +202,7 @@ def _index(docs: DataFrame, heavy: np.ndarray, words: int, similarity: int, shar
             ids = batch.column(0).to_pylist()
             for k, s in _sets(batch, words):
                 if not s.size:
-                    documents.append((ids[k], None, None, 0, 0))
+                    documents.append((ids[k], None, None, 0, 0, None))
                     continue
                 node, second = node_of(s, salt)
                 top = s >> np.uint64(24)
@@ -211,7 +212,8 @@ def _index(docs: DataFrame, heavy: np.ndarray, words: int, similarity: int, shar
                 p = s.size - required(s.size, similarity) + level(s.size)
                 late = s[late][: max(0, p - first.size)]
                 first = first[:p]
-                documents.append((ids[k], node, second, s.size, late.size))
+                digest = hashlib.sha256(batch.column(1)[k].as_buffer()).digest() if keyed else None
+                documents.append((ids[k], node, second, s.size, late.size, digest))
                 grams.append(first >> np.uint64(16))
                 nodes.append(np.full(first.size, node, np.int64).view(np.uint64))
                 hot += [(g, node) for g in (late >> np.uint64(16))]
@@ -380,6 +382,11 @@ def _sets_of(docs: DataFrame, chosen: DataFrame, words: int, salt: int) -> DataF
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, long_list: int = LONG, tile: int = TILE) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id long, text string)."""
+    return _result(*_placed(docs, words, similarity, long_list, tile))
+
+
+def _placed(docs: DataFrame, words: int, similarity: int, long_list: int = LONG, tile: int = TILE, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A row (doc_id, node, n, digest of the text if keyed) for every row of docs; node, component, component_id for every class."""
     docs = docs.select(some_id("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     shards = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     heavy = heavy_shingles(docs, words, shards, long_list)
@@ -387,8 +394,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similarity: int = SI
     salt, clash = 0, True
     while clash:  # two different sets with one 64-bit node: once more with another salt
         salt += 1
-        index = materialize(_index(docs, heavy, words, similarity, shards, salt, long_list), "jac-index")
-        rows = index.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("second"), F.col("d").alias("n"), F.col("e").alias("hot"))
+        index = materialize(_index(docs, heavy, words, similarity, shards, salt, long_list, keyed), "jac-index")
+        rows = index.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("second"), F.col("d").alias("n"), F.col("e").alias("hot"), F.col("blob").alias("digest"))
         classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("second").alias("c0"), F.max("second").alias("c1"), F.first("n").alias("n"), F.max("hot").alias("hot"))
         classes = materialize(classes, "jac-classes")
         clash = bool(classes.where("c0 <> c1").take(1))
@@ -410,7 +417,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similarity: int = SI
     pairs = best.unionByName(leaders).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = _verify(pairs, sets, similarity, "jac-1")
     if links is None:
-        return _result(rows, classes.select("node", F.col("doc_id").alias("component_id")))
+        return rows, classes.select("node", F.col("node").alias("component"), F.col("doc_id").alias("component_id"))
     groups = components(links, "jac-1")
     # second turn: all short candidates between components, and probes of the largest component of each long list; at last
     # what long lists still hold between components. A turn without pairs or without links changes nothing.
@@ -426,20 +433,30 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similarity: int = SI
     _tidy(docs)
     # the component of a class is named by its smallest doc_id
     names = classes.select("node", "doc_id").join(groups, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = classes.select("node", F.col("doc_id").alias("own")).join(groups.join(names, "component").select("node", "component_id"), "node", "left")
-    return _result(rows, of_class.select("node", F.coalesce("component_id", "own").alias("component_id")))
+    of_class = classes.select("node", F.col("doc_id").alias("own")).join(groups.join(names, "component").select("node", "component", "component_id"), "node", "left")
+    return rows, of_class.select("node", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "own").alias("component_id"))
 
 
 def _result(rows: DataFrame, of_class: DataFrame) -> DataFrame:
-    out = rows.join(of_class, "node", "left")
+    out = rows.join(of_class.select("node", "component_id"), "node", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.select(given_id("doc_id"), "n_shingles", given_id("component_id"))
 
 
 def drop_similar(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
-    """docs with one document (the smallest doc_id) of each component, all columns."""
-    out = jaccard_components(docs, words, similarity).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_vs_id")).distinct()
-    return docs.join(out, docs["doc_id"] == out["_vs_id"], "left_anti")
+    """docs with one row (the smallest doc_id; null is smaller than all others) of each component, all columns.
+
+    Rows are found by id and text, as rows of one id, or of none, can lie in several components.
+    """
+    rows, of_class = _placed(docs, words, similarity, keyed=True)
+    rows = rows.where("node is not null").select("node", F.col("doc_id").alias("_vs_id"), F.col("digest").alias("_vs_digest"))
+    first = rows.groupBy("node").agg(F.min(F.struct("_vs_id", "_vs_digest")).alias("first")).join(of_class, "node")
+    first = first.groupBy("component").agg(F.min("first").alias("first")).select("first.*")
+    out = rows.select("_vs_id", "_vs_digest").distinct().join(first, ["_vs_id", "_vs_digest"], "left_anti")
+    # texts without words link with nothing, not even with their repeats: each of these rows has its own key
+    blank = ~text_of().rlike(r"[^\x20\x09-\x0D]")
+    keyed = row_keys(docs)
+    return drop_keys(keyed.withColumn("_vs_digest", F.when(blank, F.monotonically_increasing_id().cast("string").cast("binary")).otherwise(F.col("_vs_digest"))), out)
 
 
 def level_of(n: str):
