@@ -156,6 +156,16 @@ def test_html(spark):
         assert (r.text, r.n_chars) == (PAGES[r.page_id][1], len(PAGES[r.page_id][1]))
 
 
+def test_html_head_without_end():
+    page, text = PAGES[0]
+    for left_out in ("</head>", "</title>", "</head><body>"):
+        assert html_text.main_text(page.replace(left_out, "")) == text
+    assert html_text.main_text(page.replace("</head>", "").replace("</title>", "")) == text
+    assert html_text.main_text("<head><meta charset=utf-8><title>a <p> b</title><noscript><p>Turn it on.</p></noscript><p>Text, yes.") == "Text, yes."
+    assert html_text.main_text("<head><title>t</title>Bare text.<script>x</script>") == "Bare text."
+    assert html_text.main_text("<head><title>t<p>Text, yes.") == "Text, yes."
+
+
 # ------------------------------------------------------------------ 5
 def test_quality_learns_and_ignores_ids(spark):
     rows = [(k, (words(k, 30) + ".") if k % 3 else " | ".join([words(k % 7, 1)] * 30)) for k in range(400)] + [(900, None), (901, "")]

@@ -7,7 +7,7 @@ element that holds content nodes' text most closely, an article or main element
 kept, but for navigation, headers, footers, sidebars, notices, adverts, forms, comments and lists of links.
 
 Cases: null html is an empty text; text without any tags is one block; a page without content has an empty
-text; unclosed and stray tags are tolerated; repeated rows are extracted each; extra columns are ignored.
+text; unclosed and stray tags are tolerated, and a head or title without an end closes where the body starts; repeated rows are extracted each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"
 SCOPES = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "blockquote", "td", "th", "nav", "aside", "form", "header", "footer"}
 #: Elements whose text is never the article's.
 NEVER = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object", "canvas", "math", "select", "option", "textarea", "button", "input", "nav", "menu", "footer", "aside", "form", "dialog", "fieldset", "audio", "video"}
+#: Elements that can stand in a head; any other ends it.
+HEAD = {"html", "head", "title", "base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template"}
 #: Words in a class, id or role that mark what surrounds an article.
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|widget\w*|footer\w*|foot|masthead|topbar|toolbar|"
@@ -35,6 +37,7 @@ MARKS = re.compile(
 HEADER_MARKS = re.compile(r"(?:^|[\s_-])(?:header|page-header|site-header|banner)(?:$|[\s_-])", re.IGNORECASE)
 COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|reply|respond)(?:$|[\s_-])", re.IGNORECASE)
 MARKS_OF_SENTENCES = re.compile(r"[.,;:!?。、，！？…]")
+TITLE_END = re.compile(r"</title[\s/>]", re.IGNORECASE)
 SMOOTH = (0.25, 0.5, 0.25)
 CUT = 0.5
 
@@ -47,6 +50,7 @@ class Reader(HTMLParser):
         self.open: list[tuple[str, int, str, bool]] = [("", 0, "", False)]  # tag, number of the element, its path, left out
         self.count, self.block, self.nodes = 0, 0, []  # a node: text, block, numbers of elements around, path, in a link, left out
         self.hidden: set[str] = set()
+        self.titles = 0  # title ends still to come; a title runs to its end whatever stands in it
 
     def handle_starttag(self, tag, attrs):
         self.start(tag, attrs, tag in VOID)
@@ -54,7 +58,20 @@ class Reader(HTMLParser):
     def handle_startendtag(self, tag, attrs):
         self.start(tag, attrs, tag in VOID or tag not in NEVER)
 
+    def leave_head(self, tag):
+        """Closes a title and a head whose ends were left out; a body ends them whatever else is open in them."""
+        if self.open[-1][0] == "title":
+            if self.titles or tag in INLINE:
+                return
+            self.open.pop()
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k][0] == "head" and (tag == "body" or k == len(self.open) - 1):
+                del self.open[k:]
+                return
+
     def start(self, tag, attrs, void):
+        if tag not in HEAD:
+            self.leave_head(tag)
         if tag not in INLINE:
             self.block += 1
             if tag not in VOID and any(t == "p" for t, *_ in self.open):
@@ -91,6 +108,8 @@ class Reader(HTMLParser):
                 return
 
     def handle_endtag(self, tag):
+        if tag == "title":
+            self.titles -= 1
         if tag not in INLINE:
             self.block += 1
         for k in range(len(self.open) - 1, 0, -1):
@@ -101,6 +120,8 @@ class Reader(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.open[-1][0] == "head" and data.strip():
+            self.open.pop()
         self.node(data)
 
     def unknown_decl(self, data):
@@ -131,6 +152,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     reader = Reader()
+    reader.titles = len(TITLE_END.findall(html))
     reader.feed(html)
     reader.goahead(True)
     nodes = [n for n in reader.nodes if not n[5]]
