@@ -219,6 +219,24 @@ def test_embeddings(spark, monkeypatch):
             assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+def test_embeddings_of_one_id(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(9, 16))
+    rows = [([None, 3, k][k % 3], (centres[k % 9 if k % 5 else 0] + rng.normal(size=16) * 0.1 * (k % 4)).tolist()) for k in range(90)]
+    x = np.array([np.float32(v).astype(float) for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = x @ x.T >= 0.95
+    ids = [-1 if i is None else i for i, _ in rows]
+    least = list(ids)
+    for _ in rows:
+        least = [min(least[j] for j in np.flatnonzero(linked[k])) for k in range(len(rows))]
+    want = sorted((i, int(linked[k].sum()) - 1, c) for k, (i, c) in enumerate(zip(ids, least, strict=True)))
+    for tile in (512, 8):
+        monkeypatch.setattr(embedding_dedup, "TILE", tile)
+        got = embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+        assert sorted((-1 if r.vec_id is None else r.vec_id, r.n_links, -1 if r.component_id is None else r.component_id) for r in got) == want
+
+
 # ------------------------------------------------------------------ 8
 def shingles(text):
     w = re.findall("[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))

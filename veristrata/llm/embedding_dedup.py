@@ -144,8 +144,8 @@ def _tiles(least: float):
                 sides = np.array([held[k]["side"] for k in at]) if held[0]["i"] != held[0]["j"] else None
                 add, forest = _tile(held[0]["filter"], sides, np.array([held[k]["weight"] for k in at]), np.stack([units[k] for k in at]), lists, least)
                 adds[at] = add
-                links += [(held[at[a]]["rep"], held[at[b]]["rep"]) for a, b in forest]
-            rows = [(r["rep"], None, int(x)) for r, x in zip(held, adds, strict=True) if x] + [(a, b, 0) for a, b in links]
+                links += [(held[at[a]]["node"], held[at[b]]["node"]) for a, b in forest]
+            rows = [(r["node"], None, int(x)) for r, x in zip(held, adds, strict=True) if x] + [(a, b, 0) for a, b in links]
             if not rows:
                 return None
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b", "n"])
@@ -166,11 +166,16 @@ def _tiles(least: float):
 def embedding_dedup(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id long, embedding array<float>)."""
     rows = materialize(vectors.select(some_id("vec_id"), "embedding").mapInArrow(_units, "vec_id long, key binary, unit binary"), "emb-rows")
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("unit").alias("unit"))
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("unit").alias("unit"))
     classes = materialize(classes, "emb-classes")
     n = classes.count()
     if not n:
         return _out(rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")))
+    # a class is named by a hash of its vector, as one vec_id can have several vectors; once more with another salt if two share one
+    salt = 0
+    while classes.select(F.count_distinct(F.xxhash64(F.lit(salt), "key"))).first()[0] < n:
+        salt += 1
+    classes = classes.withColumn("node", F.xxhash64(F.lit(salt), "key"))
     words = int(min(1 << 14, max(64, (n * LIST / IN_FILTER) ** 0.5)))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,22 +188,25 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
                 lists.append(code.decode(u[None, :])[0].astype(np.int64))
             flat = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))
             ends = np.cumsum([0] + [x.size for x in lists]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in lists], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["rep", "weight", "unit", "filters", "at"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in lists], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["node", "weight", "unit", "filters", "at"])
 
-    coded = materialize(classes.select("rep", "weight", "unit").mapInArrow(decode, "rep long, weight long, unit binary, filters binary, at array<long>"), "emb-coded")
-    names = coded.select("rep", F.explode("at").alias("filter"))
+    coded = materialize(classes.select("node", "weight", "unit").mapInArrow(decode, "node long, weight long, unit binary, filters binary, at array<long>"), "emb-coded")
+    names = coded.select("node", F.explode("at").alias("filter"))
     shared = names.groupBy("filter").agg(F.count("*").alias("held")).where("held > 1")
     shared = shared.withColumn("blocks", F.ceil(F.col("held") / TILE).cast("long"))
     # where a filter has several blocks, a vector goes to the tile of its block with each block
-    wanted = names.join(shared, "filter").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    dealt = wanted.select("filter", "rep", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("filter", "rep", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    full = dealt.join(coded.drop("at"), "rep").repartition("filter", "i", "j").sortWithinPartitions("filter", "i", "j", "rep")
-    found = materialize(full.select("filter", "i", "j", "side", "rep", "weight", "unit", "filters").mapInArrow(_tiles(cosine), "a long, b long, n long"), "emb-found")
-    numbers = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+    wanted = names.join(shared, "filter").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = wanted.select("filter", "node", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("filter", "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    full = dealt.join(coded.drop("at"), "node").repartition("filter", "i", "j").sortWithinPartitions("filter", "i", "j", "node")
+    found = materialize(full.select("filter", "i", "j", "side", "node", "weight", "unit", "filters").mapInArrow(_tiles(cosine), "a long, b long, n long"), "emb-found")
+    numbers = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     groups = components(found.where("b is not null").select("a", "b"), "emb")
-    classes = classes.select("key", "rep", "weight").join(numbers, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = classes.select("key", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    # a component is named by its smallest vec_id
+    names = classes.select("node", "least").join(groups, "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    placed = groups.join(names, "component").select("node", "component_id")
+    classes = classes.select("key", "node", "least", "weight").join(numbers, "node", "left").join(placed, "node", "left")
+    classes = classes.select("key", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     out = rows.select("vec_id", "key").join(classes, "key", "left")
     return _out(out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept")))
 
