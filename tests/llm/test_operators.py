@@ -166,6 +166,15 @@ def test_html_head_without_end():
     assert html_text.main_text("<head><title>t<p>Text, yes.") == "Text, yes."
 
 
+def test_html_lists_of_links():
+    text = "<p>The text of this page, with marks. It says more, and more.</p>"
+    links = "<ul>" + "".join(f"<li><a href=x>Source {k}</a></li>" for k in range(4)) + "</ul>"
+    sources = "\n\n".join(f"Source {k}" for k in range(4))
+    for tag in ("article", "main class='x'"):
+        assert html_text.main_text(f"<body><{tag}>{text}{links}</{tag.split()[0]}>{links}</body>") == f"{text[3:-4]}\n\n{sources}"
+    assert html_text.main_text(f"<body><div id=x>{text}{links}</div></body>") == text[3:-4]
+
+
 # ------------------------------------------------------------------ 5
 def test_quality_learns_and_ignores_ids(spark):
     rows = [(k, (words(k, 30) + ".") if k % 3 else " | ".join([words(k % 7, 1)] * 30)) for k in range(400)] + [(900, None), (901, "")]

@@ -4,7 +4,8 @@ A page is read as a stream of text nodes with their root-to-leaf tag paths. For
 length and punctuation per node. The ratios are smoothed over the page order, fused (length times punctuation)
 and cut at a share of their spread; paths above the cut are content paths. The container is the
 element that holds content nodes' text most closely, an article or main element if one holds them. All blocks in it are
-kept, but for navigation, headers, footers, sidebars, notices, adverts, forms, comments and lists of links.
+kept, but for navigation, headers, footers, sidebars, notices, adverts, forms and comments, and for lists of
+links that no article or main element holds.
 
 Cases: null html is an empty text; text without any tags is one block; a page without content has an empty
 text; unclosed and stray tags are tolerated, and a head or title without an end closes where the body starts; repeated rows are extracted each; extra columns are ignored.
@@ -37,6 +38,7 @@ MARKS = re.compile(
 HEADER_MARKS = re.compile(r"(?:^|[\s_-])(?:header|page-header|site-header|banner)(?:$|[\s_-])", re.IGNORECASE)
 COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|reply|respond)(?:$|[\s_-])", re.IGNORECASE)
 MARKS_OF_SENTENCES = re.compile(r"[.,;:!?。、，！？…]")
+ARTICLE = re.compile(r"/(?:article|main)(?=[/.]|$)")
 TITLE_END = re.compile(r"</title[\s/>]", re.IGNORECASE)
 SMOOTH = (0.25, 0.5, 0.25)
 CUT = 0.5
@@ -190,13 +192,13 @@ def main_text(html: str | None) -> str:
     for part in blocks.values():
         text = " ".join("".join(n[0] for n in part).split())
         if text:
-            out.append((text, sum(len(n[0].strip()) for n in part if n[4]) >= 0.9 * len(text.replace(" ", "")), "/li" in part[0][3]))
+            out.append((text, sum(len(n[0].strip()) for n in part if n[4]) >= 0.9 * len(text.replace(" ", "")), "/li" in part[0][3] and not ARTICLE.search(part[0][3])))
     keep = _without_link_lists(out)
     return "\n\n".join(keep)
 
 
 def _without_link_lists(blocks: list[tuple[str, bool, bool]]) -> list[str]:
-    """Leaves out runs of three list items or more that are links only."""
+    """Leaves out runs of three list items or more that are links only (items in an article don't count)."""
     out, run = [], []
     for text, link, item in [*blocks, ("", False, False)]:
         if link and item:
