@@ -77,6 +77,18 @@ def test_sentencepiece_equals_library(spark):
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("token", ["\x00\n", "\x00.b", "ab", "", "\x00▁a▁b"])
+def test_every_new_token_is_checked(token):
+    model = sentencepiece_bpe.MergeModel(tokenizer_path("piece_bpe_32k.model"))
+    cache = sentencepiece_bpe.SegmentCache(model)
+    ids = model.encode_segment(model.symbols_of(token))
+    text = model.decode(ids, strip=False)
+    cache.check([token], [ids], [text])
+    for wrong in (([*ids, 5], text), (ids, text + "x")):
+        with pytest.raises(ValueError, match="differs from the library"):
+            cache.check([token], [wrong[0]], [wrong[1]])
+
+
 def test_agendas_agree():
     model = sentencepiece_bpe.MergeModel(tokenizer_path("piece_bpe_32k.model"))
     texts = ["▁" + words(k, 1 + k % 6).replace(" ", "▁") + "é日"[: k % 3] for k in range(300)]

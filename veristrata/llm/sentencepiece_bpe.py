@@ -5,7 +5,7 @@ position; it merges the best live pair, pushes the pairs this creates, and ends
 outside the vocabulary. Where no piece has a space mark after another character (checked at load), a text falls
 apart before each run of spaces, and before line ends and marks that no piece joins to what is before them, without changing
 the result; such tokens are encoded once for each worker's cache. In each Arrow batch the tokens that were not cached are
-encoded by the library as well, one whole text of every 500 is encoded and decoded by it, and a difference is an error.
+encoded and decoded by the library as well, so is one whole text of every 200, and a difference is an error.
 
 Cases: null counts as empty; an empty text gives the end id alone and decodes to ''; repeated rows are encoded
 each; extra columns are ignored. Very long texts cost time and memory in proportion.
@@ -57,7 +57,12 @@ class MergeModel:
         self.pair_rank, self.pair_id = self._pairs()
         self.keys = np.array(sorted(self.pair_rank), np.int64)
         self.ranks, self.ids = (np.array([d[k] for k in self.keys.tolist()], np.int64) for d in (self.pair_rank, self.pair_id))
-        self.apart = self._apart([p for p in self.id_of if len(p) > 1])
+        longer = [p for p in self.id_of if len(p) > 1]
+        self.apart = self._apart(longer)
+        # a character that no longer piece has: what follows it is encoded as if nothing were before it
+        held = set("".join(longer))
+        self.guard = next(c for c in map(chr, range(1, 0xD800)) if c not in held and not c.isspace())
+        self.guard_ids = lib.encode(self.guard)
 
     @staticmethod
     def _apart(longer: list[str]) -> re.Pattern | None:
@@ -244,14 +249,16 @@ class SegmentCache:
         self.model, self.new, self.old, self.texts = model, {}, {}, {}
 
     def check(self, misses: list[str], found: list[list[int]], texts: list[str]) -> None:
-        """Tokens with a space mark in front are what the library makes of them alone; the others are part of the whole texts that check_text compares."""
-        lib, at = self.model.lib, [k for k, t in enumerate(misses) if t and not t.startswith(JOIN)]
-        said = lib.encode([misses[k] for k in at], num_threads=1)
-        for k, ids in zip(at, said, strict=True):
-            if ids != found[k]:
-                raise ValueError(f"encoding differs from the library: {misses[k]!r}: {found[k]} and {ids}")
-            if texts[k] != " " + misses[k] and " " + lib.decode(ids) != texts[k]:
-                raise ValueError(f"decoding differs from the library: {misses[k]!r}: {texts[k]!r}")
+        """Each token is what the library makes of it, alone or, where no space mark is in front, behind the guard; so is its text."""
+        lib, guard = self.model.lib, self.model.guard
+        alone = [bool(t) and not t.startswith(JOIN) for t in misses]
+        said = lib.encode([t if a else guard + self.model.symbols_of(t) for t, a in zip(misses, alone, strict=True)], num_threads=1)
+        spelled = lib.decode(said, num_threads=1)
+        for token, a, ids, spelling, mine, text in zip(misses, alone, said, spelled, found, texts, strict=True):
+            if ids != (mine if a else self.model.guard_ids + mine):
+                raise ValueError(f"encoding differs from the library: {token!r}: {mine} and {ids}")
+            if spelling != (text[1:] if a and text.startswith(" ") else text if a else guard + text):
+                raise ValueError(f"decoding differs from the library: {token!r}: {text!r}")
 
     def check_text(self, text: str, ids: str, decoded: str) -> None:
         """One whole text and its decoding against the library."""
@@ -305,8 +312,8 @@ def sentencepiece_roundtrip(docs: DataFrame, model_file: str, keep: bool = False
                 cols: tuple[list, ...] = ([], [], [], [], [])
                 for k, p in enumerate(parts):
                     said, text = cache.run(p)
-                    if not k:
-                        cache.check_text(texts[0] or "", said, text)
+                    if k % 200 == 0:
+                        cache.check_text(texts[k] or "", said, text)
                     said = f"{said} {model.end}" if said else str(model.end)
                     for c, v in zip(cols, (said.count(" ") + 1, hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), said, text), strict=True):
                         c.append(v)
