@@ -57,6 +57,19 @@ def test_trusted_contexts_add_spans(spark):
     assert sum(x.b for x in found) < 60 and all(x.s == 1 for x in found)
 
 
+def test_varied_contexts_are_trusted(spark):
+    r = random.Random(4)
+
+    def card(ok):
+        head = "".join(r.choice("0123456789") for _ in range(15))
+        return next(c for c in (head + d for d in "0123456789") if bool(base_spans(c)) == ok)
+
+    names = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    rows = [(k, f"given under {names[k % 100]} account {card(k < 2000)} then") for k in range(2100)] + [(5000, f"seen at rare place {card(False)}")]
+    found = pii.find_pii(table(spark, rows)).select("doc_id", F.size("base").alias("b"), F.size("spans").alias("s")).collect()
+    assert {r.doc_id for r in found if r.b} == set(range(2000)) and {r.doc_id for r in found if r.s} == set(range(2100))
+
+
 def test_pii_empty(spark):
     assert pii.find_pii(table(spark, [])).collect() == []
 

@@ -37,6 +37,9 @@ NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0
 CANDIDATE = r"(?<![\w@.+-])(?:[^\s@]{1,64}+@[^\s@]{1,64}+|[A-Z]{0,4}[0-9(+][0-9A-Z().-]{3,30}+(?:\x20[0-9(][0-9().-]{1,12}+){0,6})(?![\w@])"
 #: Share of a kind's seeds from which a pattern counts in full, least seeds, score to trust, turns, what a seed's shape is worth.
 SHARE, SUPPORT, TRUST, TURNS, PRIOR = 0.02, 3, 0.8, 2, 0.8
+#: Square of the normal quantile of the bound on precision; by it, ENOUGH pure seeds or more can be trusted whatever their share.
+Z2 = 1.96**2
+ENOUGH = Z2 * TRUST / (1 - TRUST)
 
 
 def _digits(value: Column) -> Column:
@@ -117,11 +120,14 @@ def graph_scores(edges: DataFrame) -> DataFrame:
     shapes = seeds.groupBy("rank", "shape").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= SUPPORT).select(F.col("rank").alias("kind"), "shape", F.lit(PRIOR).alias("prior"))
     support = seeds.groupBy("context", "rank").agg(F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
     patterns = support.join(totals, "rank").withColumn("share", F.least(F.lit(1.0), F.col("support") / F.col("of_kind") / SHARE))
-    patterns = patterns.where("share >= 0.5").select("context", F.col("rank").alias("kind"), "share")
+    patterns = patterns.where((F.col("share") >= 0.5) | (F.col("support") >= ENOUGH)).select("context", F.col("rank").alias("kind"), "share", "support")
     reach = patterns.join(pairs, "context").join(shapes, ["kind", "shape"], "left")
     prior = F.when(F.col("rank") == F.col("kind"), 1.0).when(F.col("rank") < 0, F.coalesce("prior", F.lit(0.0))).otherwise(0.0)
-    known = materialize(reach.select("context", "kind", "share", "value", "rank", prior.alias("prior"), prior.alias("mass")), "pii-reach")
-    score = (F.avg("mass") * F.first("share")).alias("score")
+    known = materialize(reach.select("context", "kind", "share", "support", "value", "rank", prior.alias("prior"), prior.alias("mass")), "pii-reach")
+    # a pattern counts by its share of the kind's seeds, or by Wilson's lower bound of its precision over its own seeds
+    p, n = F.avg("mass"), F.first("support")
+    bound = (p + Z2 / (2 * n) - F.sqrt(Z2 * (F.greatest(p * (1 - p), F.lit(0.0)) / n + Z2 / (4 * n * n)))) / (1 + Z2 / n)
+    score = F.greatest(p * F.first("share"), bound).alias("score")
     for _ in range(TURNS):
         one = known.join(known.groupBy("context", "kind").agg(score), ["context", "kind"])
         found = one.where("rank < 0").groupBy("value", "kind").agg((1 - F.product(1 - F.col("score") * F.col("score"))).alias("found"))
