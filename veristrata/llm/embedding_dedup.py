@@ -8,7 +8,8 @@ their cosine in double precision. A pair is counted in the first filter that it
 
 Filters are joined by name; a filter with many vectors is dealt out in tiles of at most 2 * TILE vectors. A tile returns
 counts per vector and a spanning forest of its links, never pairs. The code grows with the number of vectors so
-that a filter holds few unrelated ones.
+that a filter holds few unrelated ones. The search is probabilistic: a pair near the cosine asked for that shares no filter isn't
+found, and as LIST is fixed this grows likelier with the code (figures in the README).
 
 Cases: a vector that is null, empty, zero or holds null or non-finite components links with nothing; vectors of
 different lengths never link; a class of equal vectors links all its members; repeated rows of one vec_id count as
