@@ -15,11 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.sparkContext.getCheckpointDir()
+    """Folder that all executors share: spark.checkpoint.dir, else the one set by setCheckpointDir. Where neither is set, a temporary one
+    if Spark runs in this process alone (tests), and an error on a cluster."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="veristrata-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -33,6 +34,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(*tables: DataFrame) -> None:
+    """Deletes what materialize wrote, of steps that nothing lazy reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for file in df.inputFiles()[:1]:
+            folder = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_of(col: str = "text"):
     """The text column with null as the empty string."""
     return F.coalesce(F.col(col), F.lit(""))

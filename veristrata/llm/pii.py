@@ -1,17 +1,23 @@
 """Personal data by fixed patterns, and by contextual patterns that these bootstrap.
 
-Native: DataFrame functions only. Base spans come from four regular expressions with checks. They are the seeds:
-the two words before a seed are a lexical pattern of the seed's kind. Candidates are strings that look like
-identifiers but that no base span covers. Patterns and instances (distinct values) form a graph, scored in turns:
-a pattern's score is the mean score of the instances that it extracts, candidates included, times the share of its kind's
-seeds that it stands before (full from SHARE on); a candidate's score is the noisy or over its patterns and its shape's
-likeness to seeds. What the patterns
-that end above TRUST extract is added to the spans with the pattern's kind.
-
-The graph is aggregated by pattern and value before it is dealt, and its size follows the number of identifiers, not of words.
-
-Cases: null text counts as empty and has no spans; equal spans of two kinds are both kept; an empty table gives an
-empty result; repeated rows are searched each; long texts are searched whole (the patterns do not
+Native: DataFrame functions only. Base spans come from four regular expressions with checks. They are the first seeds.
+Strings that look like identifiers (CANDIDATE, of any length) and that hold no base span are candidates. Each seed and candidate has
+lexical patterns: the one and two words before it, the one and two after it, the word on each side, and the two words around a wildcard.
+Patterns and instances (distinct values) form a graph, which is scored in turns:
+
+1. a pattern's confidence in a kind is Wilson's lower bound of the share of that kind among its decided instances. An instance is decided
+   if it is a seed, or if its form rules the kind out (PLAUSIBLE); a pattern needs SUPPORT seeds and a confidence of TRUST;
+2. a candidate is accepted by noisy or over its patterns of a kind that its form allows, from ACCEPT on;
+3. accepted instances are seeds of the next turn, which induces new patterns and scores the old ones anew. It ends when none is accepted.
+
+What is accepted adds spans of its kind wherever it stands. Scores are sums of integers, so that their order never matters.
+
+The graph is aggregated by (pattern, value) before it is dealt, and its joins are salted, as one word may stand before a third of all
+identifiers. Its size follows the number of identifiers, not of words.
+
+Cases: null text counts as empty and has no spans; equal spans of two kinds are both kept; a candidate that two kinds accept alike gets the
+first of KINDS, as do patterns; the edge of a text counts as a word; words of over 40 characters stand as their md5; an empty table gives an
+empty result; repeated rows are searched each, and their values count once; long texts are searched whole (the patterns don't
 backtrack over more than one run of digits). Extra columns are ignored.
 """
 
@@ -20,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_tables, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 _MAIL = "[A-Za-z0-9._%+-]"
@@ -33,13 +39,17 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]"}
-#: What may be an identifier without being one by the base patterns.
-CANDIDATE = r"(?<![\w@.+-])(?:[^\s@]{1,64}+@[^\s@]{1,64}+|[A-Z]{0,4}[0-9(+][0-9A-Z().-]{3,30}+(?:\x20[0-9(][0-9().-]{1,12}+){0,6})(?![\w@])"
-#: Share of a kind's seeds from which a pattern counts in full, least seeds, score to trust, turns, what a seed's shape is worth.
-SHARE, SUPPORT, TRUST, TURNS, PRIOR = 0.02, 3, 0.8, 2, 0.8
-#: Square of the normal quantile of the bound on precision; by it, ENOUGH pure seeds or more can be trusted whatever their share.
-Z2 = 1.96**2
-ENOUGH = Z2 * TRUST / (1 - TRUST)
+_AT = r"(?:\x20?+[\[({<]\x20?+(?:at|AT|@)\x20?+[\])}>]\x20?+|\x20@\x20|\x20(?:at|AT)\x20(?=[\p{L}\p{N}-]++\x20(?:dot|DOT)\x20)|@)"
+_DOT = r"(?:\.|\x20?+[\[({<]\x20?+(?:dot|DOT|\.)\x20?+[\])}>]\x20?+|\x20(?:dot|DOT)\x20)"
+#: What may be an identifier without being one by the base patterns: addresses however spelled, runs of digit groups.
+CANDIDATE = (rf"(?<![\p{{L}}\p{{N}}._%+-])(?:[\p{{L}}\p{{N}}._%+-]++{_AT}[\p{{L}}\p{{N}}-]++(?:{_DOT}[\p{{L}}\p{{N}}-]++)*+"
+             r"|[+(\[]?+[0-9]++(?:[().\[\]{}/-]{0,3}+\x20?+[().\[\]{}-]{0,2}+[0-9]++)*+)")
+#: A text without this has no candidate; fewer digits are no identifier.
+MAYBE, DIGITS = r"[0-9@]|[\[({<]\x20?(?:at|AT)|\x20(?:at|AT)\x20", 5
+#: Least seeds of a pattern, least confidence in it and in an instance, square of the normal quantile of the bound, parts of a join's key.
+SUPPORT, TRUST, ACCEPT, Z2, SALTS = 3, 0.7, 0.85, 1.0, 16
+#: Logarithms of doubts are added in units of 1 / GRAIN.
+GRAIN = 1_000_000
 
 
 def _digits(value: Column) -> Column:
@@ -71,7 +81,12 @@ def _valid(kind: str, value: Column) -> Column:
 
 def located(text: Column, pattern: str) -> Column:
     """array<struct<start,end,value>> of the leftmost non-overlapping matches, in code points, end exclusive."""
-    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    return _placed(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+
+
+def _placed(gaps: Column, hits: Column) -> Column:
+    """Places of the hits between the gaps."""
+    both = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
     def step(acc: Column, x: Column) -> Column:
@@ -96,65 +111,125 @@ def _checked(spans: Column, kind: str, rank: int) -> Column:
     return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), s["value"].alias("value")))
 
 
-def _context(text: Column, start: Column) -> Column:
-    """The two words before start, in lower case with digits as 0; '' if there are fewer."""
-    before = F.substring(text, F.greatest(start - 79, F.lit(1)), F.least(start, F.lit(80)))
-    return F.regexp_replace(F.lower(F.regexp_extract(before, r"(\S{1,30}\s{1,3}\S{1,30})\s{0,3}$", 1)), "[0-9]", "0")
-
-
-def _shape(value: Column) -> Column:
-    """Letters as a, digits as 9, runs of letters as one."""
-    return F.regexp_replace(F.regexp_replace(value, r"\p{L}+", "a"), "[0-9]", "9")
-
-
-def graph_scores(edges: DataFrame) -> DataFrame:
-    """context, kind of the trusted patterns, from edges (context, value, rank of the seed's kind or -1), one row per occurrence.
-
-    A candidate starts at PRIOR for the kinds of which SUPPORT seeds have its shape, else at 0. Each turn is two
-    aggregations over distinct (pattern, value) pairs.
-    """
-    pairs = edges.where("context <> ''").groupBy("context", "value").agg(F.max("rank").alias("rank"))
-    pairs = materialize(pairs.withColumn("shape", _shape(F.col("value"))), "pii-pairs")
-    seeds = pairs.where("rank >= 0")
-    totals = seeds.groupBy("rank").agg(F.count_distinct("value").alias("of_kind"))
-    shapes = seeds.groupBy("rank", "shape").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= SUPPORT).select(F.col("rank").alias("kind"), "shape", F.lit(PRIOR).alias("prior"))
-    support = seeds.groupBy("context", "rank").agg(F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
-    patterns = support.join(totals, "rank").withColumn("share", F.least(F.lit(1.0), F.col("support") / F.col("of_kind") / SHARE))
-    patterns = patterns.where((F.col("share") >= 0.5) | (F.col("support") >= ENOUGH)).select("context", F.col("rank").alias("kind"), "share", "support")
-    reach = patterns.join(pairs, "context").join(shapes, ["kind", "shape"], "left")
-    prior = F.when(F.col("rank") == F.col("kind"), 1.0).when(F.col("rank") < 0, F.coalesce("prior", F.lit(0.0))).otherwise(0.0)
-    known = materialize(reach.select("context", "kind", "share", "support", "value", "rank", prior.alias("prior"), prior.alias("mass")), "pii-reach")
-    # a pattern counts by its share of the kind's seeds, or by Wilson's lower bound of its precision over its own seeds
-    p, n = F.avg("mass"), F.first("support")
-    bound = (p + Z2 / (2 * n) - F.sqrt(Z2 * (F.greatest(p * (1 - p), F.lit(0.0)) / n + Z2 / (4 * n * n)))) / (1 + Z2 / n)
-    score = F.greatest(p * F.first("share"), bound).alias("score")
-    for _ in range(TURNS):
-        one = known.join(known.groupBy("context", "kind").agg(score), ["context", "kind"])
-        found = one.where("rank < 0").groupBy("value", "kind").agg((1 - F.product(1 - F.col("score") * F.col("score"))).alias("found"))
-        mass = F.when(F.col("rank") < 0, 1 - (1 - F.col("prior")) * (1 - F.coalesce("found", F.lit(0.0)))).otherwise(F.col("prior"))
-        known = materialize(one.drop("score").join(found, ["value", "kind"], "left").withColumn("mass", mass).drop("found"), "pii-reach")
-    best = known.groupBy("context", "kind").agg(score).where(F.col("score") >= TRUST)
-    return materialize(best.groupBy("context").agg(F.max_by("kind", F.struct(F.col("score"), -F.col("kind"))).alias("kind")), "pii-patterns")
+def _word(word: Column) -> Column:
+    """A word in lower case without marks at its ends and with digits as 0; the edge of a text is '^'."""
+    plain = F.regexp_replace(F.translate(F.lower(word), "123456789", "000000000"), r"^[,.;:!?\"'()\[\]]+|[,.;:!?\"'()\[\]]+$", "")
+    plain = F.when(word == "", "^").when(plain == "", word).otherwise(plain)
+    return F.when(F.length(plain) > 40, F.md5(plain.cast("binary"))).otherwise(plain)
+
+
+def _words(gap: Column, before: bool) -> Column:
+    """array of the nearest word and the next one of the text between two hits."""
+    text = F.reverse(gap) if before else gap
+    found = [F.regexp_extract(text, r"^\s*(\S+)", 1), F.regexp_extract(text, r"^\s*\S+\s+(\S+)", 1)]
+    return F.array(*[_word(F.reverse(w) if before else w) for w in found])
+
+
+def plausible(value: Column) -> list[Column]:
+    """For each kind, whether a string that its check need not pass may be one by its form."""
+    digits = F.length(_digits(value))
+    numeric = ~value.rlike(r"[\p{L}@]")
+    parts = F.filter(F.split(value, "[^0-9]+"), lambda p: p != "")
+    return [value.rlike(rf"{_AT}[\p{{L}}\p{{N}}-]+{_DOT}[\p{{L}}\p{{N}}]"), numeric & (F.size(parts) == 4) & value.rlike(r"\.") & F.forall(parts, lambda p: (F.length(p) <= 3) & (p.cast("int") <= 255)),
+            numeric & digits.between(13, 19) & ~value.rlike(r"[+/]"), numeric & digits.between(7, 15)]
+
+
+def _patterns(s: Column) -> Column:
+    """The lexical patterns of an occurrence: those with a word, as the edges of a text alone say nothing."""
+    (l1, l2), (r1, r2) = (s["left"][0], s["left"][1]), (s["right"][0], s["right"][1])
+    slot, any_ = F.lit("\x02"), F.lit("\x03")
+
+    def pattern(parts: list[Column], *words: Column) -> Column:
+        edges = F.lit(True)
+        for w in words:
+            edges = edges & (w == "^")
+        return F.when(~edges, F.concat_ws("\x01", *parts))
+
+    made = F.array(pattern([l1, slot], l1), pattern([l2, l1, slot], l2, l1), pattern([slot, r1], r1), pattern([slot, r1, r2], r1, r2), pattern([l1, slot, r1], l1, r1), pattern([l2, any_, slot], l2), pattern([slot, any_, r2], r2))
+    return F.filter(made, lambda p: p.isNotNull())
+
+
+def _salted(df: DataFrame, other: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """df joined with other, whose keys are unique, on key; rows of df with one key are dealt to SALTS parts by a second column."""
+    many = df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    few = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.join(few, [key, "_salt"], how).drop("_salt")
+
+
+def _confidence(labelled: DataFrame) -> DataFrame:
+    """pattern, kind, doubt (the scaled logarithm of 1 - confidence) of trusted patterns, from (pattern, value, label or null, mask)."""
+    held = [F.count_if(F.col("label") == k).alias(f"p{k}") for k in range(4)] + [F.count_if(F.when(F.col("label").isNotNull(), F.col("label") != k).otherwise(F.col("mask").bitwiseAND(1 << k) == 0)).alias(f"n{k}") for k in range(4)]
+    sums = labelled.groupBy("pattern").agg(*held)
+
+    def bound(k: int) -> Column:
+        p, n = F.col(f"p{k}"), F.col(f"p{k}") + F.col(f"n{k}")
+        share = p / n
+        low = (share + Z2 / (2 * n) - F.sqrt(Z2 * (share * (1 - share) / n + Z2 / (4 * n * n)))) / (1 + Z2 / n)
+        return F.when(p >= SUPPORT, F.round(low, 6)).otherwise(0.0)
+
+    best = F.greatest(*[F.struct(bound(k).alias("confidence"), F.lit(-k).alias("kind")) for k in range(4)])
+    trusted = sums.select("pattern", best.alias("best")).where(F.col("best.confidence") >= TRUST)
+    return trusted.select("pattern", (-F.col("best.kind")).alias("kind"), F.round(F.ln(1 - F.col("best.confidence")) * GRAIN).cast("long").alias("doubt"))
+
+
+def bootstrap(edges: DataFrame) -> DataFrame:
+    """value, kind of accepted candidates, from (pattern, value, rank of the seed's kind or -1, mask of plausible kinds), a row per occurrence."""
+    pairs = materialize(edges.groupBy("pattern", "value").agg(F.max("rank").alias("rank"), F.first("mask").alias("mask")), "pii-pairs")
+    accepted, tables = None, [pairs]
+    while True:
+        label = F.when(F.col("rank") >= 0, F.col("rank"))
+        if accepted is None:
+            labelled = pairs.withColumn("label", label)
+        else:
+            labelled = _salted(pairs, accepted, "value", "pattern", "left").withColumn("label", F.coalesce(label, "kind")).drop("kind")
+        labelled = materialize(labelled, "pii-labelled")
+        trusted = materialize(_confidence(labelled), "pii-trusted")
+        open_ = _salted(labelled.where("label is null and mask > 0").select("pattern", "value", "mask"), trusted, "pattern", "value")
+        open_ = open_.where(F.expr("(mask >> kind) & 1 = 1"))
+        doubts = open_.groupBy("value", "kind").agg(F.sum("doubt").alias("doubt")).where(F.col("doubt") <= F.lit(_doubt(ACCEPT)))
+        new = doubts.groupBy("value").agg(F.min_by("kind", F.struct("doubt", "kind")).alias("kind"))
+        found = materialize(new if accepted is None else accepted.unionByName(new), "pii-accepted")
+        tables += [labelled, trusted]
+        done = found.count() == (0 if accepted is None else accepted.count())
+        if accepted is not None:
+            tables.append(accepted)
+        accepted = found
+        if done:
+            drop_tables(*tables)
+            return accepted
+
+
+def _doubt(confidence: float) -> int:
+    import math
+
+    return round(math.log(1 - confidence) * GRAIN)
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, base and all spans as arrays of (start, rank of the kind, end, value), for every row of docs."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    maybe = F.when(F.regexp_like("text", F.lit("[0-9@]")), located(F.col("text"), CANDIDATE)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
-    rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("maybe", maybe)
-    apart = F.filter("maybe", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    seeds = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["rank"].alias("rank"), _context(F.col("text"), s["start"]).alias("context")))
-    others = F.transform(apart, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(-1).alias("rank"), _context(F.col("text"), s["start"]).alias("context")))
+    look = F.regexp_like("text", F.lit(MAYBE))
+    rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("gaps", F.when(look, F.split("text", CANDIDATE, -1)).otherwise(F.array(F.lit(""))))
+    rows = rows.withColumn("hits", _placed(F.col("gaps"), F.when(look, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>"))))
+
+    def seen(h: Column, k: Column) -> Column:
+        inside = F.get(F.filter("base", lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"])), F.lit(0))
+        return F.struct(h["start"].alias("start"), h["end"].alias("end"), F.coalesce(inside["value"], h["value"]).alias("value"), F.coalesce(inside["rank"], F.lit(-1)).alias("rank"),
+                        _words(F.get("gaps", k), True).alias("left"), _words(F.get("gaps", k + 1), False).alias("right"))
+
+    likely = lambda s: (s["rank"] >= 0) | s["value"].contains("@") | s["value"].rlike(r"\p{L}") | (F.length(_digits(s["value"])) >= DIGITS)
     # the texts are read once; what is kept of them is the spans with their contexts
-    found = materialize(rows.select("doc_id", "base", F.concat(seeds, others).alias("seen")), "pii-found")
-    edges = found.select(F.explode("seen").alias("s")).select("s.context", "s.value", "s.rank")
-    best = graph_scores(edges)
-    # documents with a candidate behind a trusted pattern; the others keep their base spans
-    key = F.monotonically_increasing_id()
-    keyed = materialize(found.withColumn("row", key), "pii-rows")
-    extra = keyed.select("row", F.explode(F.filter("seen", lambda s: (s["rank"] < 0) & (s["context"] != ""))).alias("s")).select("row", "s.start", "s.end", "s.value", "s.context").join(best, "context")
-    extra = extra.groupBy("row").agg(F.collect_list(F.struct("start", F.col("kind").alias("rank"), "end", "value")).alias("more"))
-    out = keyed.join(extra, "row", "left")
+    found = rows.select("doc_id", "base", F.transform("hits", seen).alias("seen")).select("doc_id", "base", F.filter("seen", likely).alias("seen"))
+    found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "pii-found")
+    spots = found.select(F.explode("seen").alias("s")).select("s.value", "s.rank", F.explode(_patterns(F.col("s"))).alias("pattern"))
+    mask = F.lit(0)
+    for k, may in enumerate(plausible(F.col("value"))):
+        mask = mask + F.when(may, 1 << k).otherwise(0)
+    accepted = bootstrap(spots.select("pattern", "value", "rank", mask.alias("mask")))
+    # documents with an accepted candidate; the others keep their base spans
+    extra = found.select("row", F.explode(F.filter("seen", lambda s: s["rank"] < 0)).alias("s")).select("row", "s.start", "s.end", "s.value")
+    extra = _salted(extra, accepted, "value", "row").groupBy("row").agg(F.collect_list(F.struct("start", F.col("kind").alias("rank"), "end", "value")).alias("more"))
+    out = found.join(extra, "row", "left")
     return out.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")))).alias("spans"))
 
 
