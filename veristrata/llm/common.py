@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,15 @@ def drop_tables(*tables: DataFrame) -> None:
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def shielded(docs: DataFrame, body: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """body(docs), where body returns docs' columns; columns whose names operators use inside (_vs_...) have others meanwhile."""
+    names = docs.columns
+    if not any(c.lower().startswith("_vs_") for c in names):
+        return body(docs)
+    safe = [f"_own_{k}" if c.lower().startswith("_vs_") else c for k, c in enumerate(names)]
+    return body(docs.toDF(*safe)).toDF(*names)
+
+
 def text_of(col: str = "text"):
     """The text column with null as the empty string."""
     return F.coalesce(F.col(col), F.lit(""))

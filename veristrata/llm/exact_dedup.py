@@ -2,16 +2,17 @@
 
 Each task keeps a memtable (digest -> winning id, count, text) bounded in rows and bytes. A hit in the
 memtable is verified byte by byte before it is absorbed. A full memtable is flushed as a run sorted by
-digest, with a Bloom filter. The filters of all runs are merged into one of the same fixed size that holds
-the bits set by two runs or more; entries outside it lie in one run only and skip compaction. Compaction
+digest, with a filter: the places that its digests take among FILTER_BITS a row. The filters of all runs are merged, in each task
+first, then by slices, into one that holds the places taken by two runs or more; entries outside it lie in one run only and skip compaction. Compaction
 merges the other entries by digest and keeps one identifier; where a digest lies in several runs, one text of
 each run is fetched (the scan is pruned by a filter on the wanted ids) and compared byte by byte, and texts
 that share a digest but differ are split.
 
-Filters only save work: when they fill up at larger inputs, more entries go through compaction and the result
-stays the same.
+Filters only save work: they grow with the rows up to MOST_BITS (what is broadcast is bounded), beyond which more entries go through
+compaction and the result stays the same.
 
-Cases: null text counts as empty; empty texts are equal to each other; repeated rows (same doc_id and text)
+Cases: null text counts as empty; empty texts are equal to each other; very long texts are compared whole, and one that fills a memtable alone is
+flushed alone; repeated rows (same doc_id and text)
 count once each in group_size and are flagged alike; a null doc_id is smaller than all others; an empty table gives an empty result; other columns of the input are ignored.
 """
 
@@ -21,20 +22,19 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import given_id, materialize, some_id, text_of
+from .common import given_id, materialize, shielded, some_id, text_of
 
 RUN_SCHEMA = "run long, digest binary, variant int, doc_id long, entry boolean, keep long, n long, filter binary"
 MEMTABLE_ROWS = 50_000
 MEMTABLE_BYTES = 48 << 20
-#: Bits of a run's filter, and most bits of the filter on wanted ids: fixed, so that what is broadcast is bounded (128 KB, 8 MB).
-RUN_FILTER_BITS = 1 << 20
+#: Bits of the runs' filter for each row, least and most of them (32 MB), slices in which it is merged; most bits of the filter on wanted ids (8 MB).
+FILTER_BITS, LEAST_BITS, MOST_BITS, SLICES = 16, 1 << 16, 1 << 28, 64
 ID_FILTER_BITS = 1 << 26
 
 
@@ -62,6 +62,11 @@ def digest_keys(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(d[:16] for d in digests), "<u4")
 
 
+def digest_places(digests: list[bytes], bits: int) -> np.ndarray:
+    """The place of each digest among a power of two of bits."""
+    return digest_keys(digests).reshape(-1, 4)[:, 0] & np.uint32(bits - 1)
+
+
 def id_keys(ids: np.ndarray) -> np.ndarray:
     """Four 32-bit words from each id (splitmix64, two rounds)."""
     out = []
@@ -96,7 +101,7 @@ class Memtable:
     def full(self) -> bool:
         return len(self.rows) >= MEMTABLE_ROWS or self.size >= MEMTABLE_BYTES
 
-    def flush(self, run: int) -> pa.RecordBatch:
+    def flush(self, run: int, bits: int = LEAST_BITS) -> pa.RecordBatch:
         rows = sorted(self.rows)
         seen: set[tuple[bytes, int]] = set()
         out = []
@@ -106,13 +111,13 @@ class Memtable:
             if entry:
                 seen.add((digest, k))
             out.append((run, digest, k, doc_id, entry, keep, n, None))
-        out[0] = (*out[0][:-1], Bloom.build(digest_keys(list(self.slots)), RUN_FILTER_BITS).tobytes())
+        out[0] = (*out[0][:-1], np.unique(digest_places(list(self.slots), bits)).tobytes())
         types = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
         names = ("run", "digest", "variant", "doc_id", "entry", "keep", "n", "filter")
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
 
-def build_runs(docs: DataFrame, keep_largest: bool = True) -> DataFrame:
+def build_runs(docs: DataFrame, keep_largest: bool = True, bits: int = LEAST_BITS) -> DataFrame:
     """One row per document in sorted runs; entry marks the row that stands for its text in the run."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,42 +126,60 @@ def build_runs(docs: DataFrame, keep_largest: bool = True) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 table.put(doc_id, text.as_buffer().to_pybytes() if text.is_valid else b"")
                 if table.full():
-                    yield table.flush(run)
+                    yield table.flush(run, bits)
                     run, table = run + 1, Memtable(keep_largest)
         if table.rows:
-            yield table.flush(run)
+            yield table.flush(run, bits)
 
     return docs.select("doc_id", "text").mapInArrow(tasks, RUN_SCHEMA)
 
 
-def merge_filters(filters: list[bytes]) -> tuple[bytes, bytes]:
-    """Bits set by any filter, and by two or more."""
-    once = np.zeros(RUN_FILTER_BITS // 8, np.uint8)
-    twice = once.copy()
-    for x in filters:
-        f = np.frombuffer(x, np.uint8)
-        twice |= once & f
-        once |= f
-    return once.tobytes(), twice.tobytes()
+def shared_places(runs: DataFrame, bits: int) -> np.ndarray:
+    """Bits of the places that two runs take: a task merges the filters that it reads, then slices of them are merged."""
+    size = bits // SLICES  # bits of a slice
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            for f in batch.column(0):
+                at = np.frombuffer(f.as_buffer(), "<u4")
+                byte, bit = at >> 3, (1 << (at & 7)).astype(np.uint8)
+                np.bitwise_or.at(twice, byte, once[byte] & bit)
+                np.bitwise_or.at(once, byte, bit)
+        rows = [(k, once[k * size // 8 : (k + 1) * size // 8], twice[k * size // 8 : (k + 1) * size // 8]) for k in range(SLICES)]
+        rows = [r for r in rows if r[1].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())], names=["slice", "once", "twice"])
+
+    def merge(rows: pa.Table) -> pa.Table:
+        once, twice = np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8)
+        for x, y in zip(rows.column("once"), rows.column("twice"), strict=True):
+            f = np.frombuffer(x.as_buffer(), np.uint8)
+            twice |= np.frombuffer(y.as_buffer(), np.uint8) | (once & f)
+            once |= f
+        return pa.Table.from_arrays([rows.column("slice").slice(0, 1), pa.array([twice.tobytes()], pa.binary())], names=["slice", "twice"])
+
+    parts = runs.where("filter is not null").select("filter").coalesce(64).mapInArrow(read, "slice int, once binary, twice binary")
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts.groupBy("slice").applyInArrow(merge, "slice int, twice binary").collect():
+        out[r.slice * size // 8 : (r.slice + 1) * size // 8] = np.frombuffer(r.twice, np.uint8)
+    return out
 
-def shared_bits(runs: DataFrame, ways: int = 32) -> np.ndarray:
-    """The bits that lie in two runs' filters: merged on the executors in `ways` groups, then here."""
 
-    def some(pdf: pd.DataFrame) -> pd.DataFrame:
-        once, twice = merge_filters(list(pdf["filter"]))
-        return pd.DataFrame({"once": [once], "twice": [twice]})
+def _at_places(df: DataFrame, held: np.ndarray, want: bool) -> DataFrame:
+    """Rows of df whose digest takes (or doesn't take) one of the places, which are broadcast."""
+    shared = df.sparkSession.sparkContext.broadcast(held)
 
-    parts = runs.where("filter is not null").select("filter", F.pmod(F.xxhash64("run"), F.lit(ways)).alias("way")).groupBy("way").applyInPandas(some, "once binary, twice binary").collect()
-    _, between = merge_filters([r.once for r in parts])
-    out = np.frombuffer(between, np.uint8).copy()
-    for r in parts:
-        out |= np.frombuffer(r.twice, np.uint8)
-    return out
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                at = digest_places(batch.column("digest").to_pylist(), shared.value.size * 8)
+                yield batch.filter(pa.array(((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1) == want))
+
+    return df.mapInArrow(tasks, df.schema)
 
 
 def _filtered(df: DataFrame, held: np.ndarray, column: str, keys, want: bool) -> DataFrame:
-    """Rows of df whose key is (or is not) in the filter, which is broadcast."""
+    """Rows of df whose key is (or is not) in the Bloom filter, which is broadcast."""
     bits = df.sparkSession.sparkContext.broadcast(held)
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,13 +194,17 @@ def exact_dedup(docs: DataFrame, keep_largest: bool = True) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs (doc_id long, text string)."""
     docs = docs.select(some_id("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     best = F.max if keep_largest else F.min
-    runs = materialize(build_runs(docs, keep_largest), "dedup-runs")
-    both = shared_bits(runs)
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (FILTER_BITS * docs.count()).bit_length()))
+    runs = materialize(build_runs(docs, keep_largest, bits), "dedup-runs")
+    both = shared_places(runs, bits)
     entries = runs.where("entry").select("run", "digest", "variant", "doc_id", "keep", "n")
-    alone = _filtered(entries, both, "digest", lambda c: digest_keys(c.to_pylist()), False)
-    maybe = _filtered(entries, both, "digest", lambda c: digest_keys(c.to_pylist()), True)
+    alone = _at_places(entries, both, False)
+    maybe = _at_places(entries, both, True)
     merged = materialize(maybe.groupBy("digest").agg(best("keep").alias("keep_id"), F.sum("n").alias("group_size"), F.count("*").alias("parts")), "dedup-merged")
     differing = _differing(docs, entries.join(merged.where("parts > 1").select("digest"), "digest", "left_semi"))
+    unequal = runs.where("variant > 0").select("digest").distinct()  # in one run, wherever its digests lie
+    if unequal.take(1):
+        differing = materialize(unequal if differing is None else unequal.union(differing).distinct(), "dedup-unequal")
     members = runs.select("run", "digest", "doc_id")
     if differing is None:
         # a member looks up the entry of its own run, so a hot group is dealt by run
@@ -247,5 +274,9 @@ def drop_copies(docs: DataFrame, keep_largest: bool = True) -> DataFrame:
 
     Rows are found by id and text: an id, or no id, that has different texts keeps what each of them keeps.
     """
+    return shielded(docs, lambda d: _drop_copies(d, keep_largest))
+
+
+def _drop_copies(docs: DataFrame, keep_largest: bool) -> DataFrame:
     out = exact_dedup(docs, keep_largest).where("not kept")
     return drop_keys(row_keys(docs), row_keys(out, F.unhex("text_sha256")).select("_vs_id", "_vs_digest").distinct())

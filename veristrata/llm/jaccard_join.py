@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import wordhash as H
-from .common import given_id, materialize, some_id, text_of
+from .common import given_id, materialize, shielded, some_id, text_of
 from .components import components
 from .exact_dedup import ID_FILTER_BITS, Bloom, drop_keys, id_keys, row_keys
 
@@ -448,6 +448,10 @@ def drop_similar(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARI
 
     Rows are found by id and text, as rows of one id, or of none, can lie in several components.
     """
+    return shielded(docs, lambda d: _drop_similar(d, words, similarity))
+
+
+def _drop_similar(docs: DataFrame, words: int, similarity: int) -> DataFrame:
     rows, of_class = _placed(docs, words, similarity, keyed=True)
     rows = rows.where("node is not null").select("node", F.col("doc_id").alias("_vs_id"), F.col("digest").alias("_vs_digest"))
     first = rows.groupBy("node").agg(F.min(F.struct("_vs_id", "_vs_digest")).alias("first")).join(of_class, "node")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shielded
 
 #: Production parameters. A domain is the last digit of the source's number in groups; weights name nodes of the tree.
 SEED = "mix-1"
@@ -115,10 +115,14 @@ def plan(docs: DataFrame, seed: str = SEED, budget_fraction: float = BUDGET_FRAC
 
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
-    """Rows of docs as often as the plan takes them, all columns. Rows of one doc_id share its copies."""
+    """Rows of docs as often as the plan takes them, all columns. Rows of one doc_id share its copies, in the order of their texts."""
+    return shielded(docs, lambda d: _mix(d, **parameters))
+
+
+def _mix(docs: DataFrame, **parameters) -> DataFrame:
     taken = plan(docs, **parameters).where("copies > 0").groupBy(F.col("doc_id").alias("_vs_id")).agg(F.sum("copies").alias("_vs_copies"))
     joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_vs_id"]))
     rows = W.partitionBy("_vs_id")
-    share = F.floor((F.col("_vs_copies") + F.count("*").over(rows) - F.row_number().over(rows.orderBy("n_chars", "text"))) / F.count("*").over(rows))
+    share = F.floor((F.col("_vs_copies") + F.count("*").over(rows) - F.row_number().over(rows.orderBy(F.length("text"), "text"))) / F.count("*").over(rows))
     joined = joined.withColumn("_vs_share", share.cast("long")).where("_vs_share > 0")
     return joined.withColumn("_vs_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_vs_share")))).select(docs.columns)
