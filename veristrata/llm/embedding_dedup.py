@@ -6,13 +6,16 @@ whose inner product with it exceeds a threshold (both halves' codewords are walk
 one more per codeword are looked at), and to its LEAST best filters in any case. Vectors that share a filter are verified by
 their cosine in double precision. A pair is counted in the first filter that it shares, so each link counts once.
 
-Filters are joined by name; a filter with many vectors is dealt out in tiles of at most 2 * TILE vectors. A tile returns
-counts per vector and a spanning forest of its links, never pairs. The code grows with the number of vectors so
-that a filter holds few unrelated ones. The search is probabilistic: a pair near the cosine asked for that shares no filter isn't
-found, and as LIST is fixed this grows likelier with the code (figures in the README).
+Filters are joined by name; a filter with many vectors is dealt out in tiles of at most 2 * TILE vectors, and filters with one vector are
+dealt nowhere. A vector travels in the width that the table has, with the names of its shared filters. Small tiles are verified many at a
+time, pair by pair; large ones as a matrix. A tile returns counts per vector and a spanning forest of its links, never pairs.
+
+The code grows with the number of vectors so that a filter holds few unrelated ones, and the number of filters of a vector grows with its
+logarithm. The search is probabilistic: a pair near the cosine asked for that shares no filter isn't found (recall by size in the README).
+A task holds the code, words * dimensions * 4 bytes, where words is the root of vectors * list / IN_FILTER.
 
 Cases: a vector that is null, empty, zero or holds null or non-finite components links with nothing; vectors of
-different lengths never link; a class of equal vectors links all its members; repeated rows of one vec_id count as
+different lengths never link; a cosine that equals the least one in double precision links; a class of equal vectors links all its members; repeated rows of one vec_id count as
 different vectors with one id; an empty table gives an empty result; other columns (labels too) are ignored.
 """
 
@@ -25,73 +28,102 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import given_id, materialize, some_id
 from .components import components
 
-#: Mean number of filters of a vector and the least; vectors of a half tile; unrelated vectors wanted in a filter.
-LIST, LEAST, TILE, IN_FILTER = 56, 12, 512, 3
+#: Mean number of filters of a vector: LIST, and MORE for each doubling above 1000 vectors; the least; unrelated vectors wanted in a filter.
+LIST, MORE, LEAST, IN_FILTER = 56, 4, 12, 0.2
+#: Vectors of a half tile; of a tile whose pairs are verified one by one; pairs in a block.
+TILE, SMALL, BLOCK = 512, 48, 1 << 16
 SEED = 20240229
+#: A filter's name is its number, with the vectors' length above these bits.
+DIM_BITS = 44
+
+
+def list_size(n: int) -> int:
+    return LIST + int(MORE * max(0.0, np.log2(max(n, 1) / 1000)))
+
+
+def code_words(n: int) -> int:
+    """Codewords of each half for n vectors."""
+    return int(max(64, (n * list_size(n) / IN_FILTER) ** 0.5))
 
 
 class CapCode:
-    """Codewords of two halves and the threshold that a random unit vector exceeds with LIST filters on average."""
+    """Codewords of two halves and the threshold that a random unit vector exceeds with `size` filters on average."""
 
-    def __init__(self, dim: int, words: int):
+    def __init__(self, dim: int, words: int, size: int = LIST):
         rng = np.random.default_rng(SEED)
         self.cut, self.words = max(1, dim // 2), words
         self.turn = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
-        self.codes = [self._unit(rng.normal(size=(words, n))) for n in (self.cut, max(1, dim - self.cut))]
-        probe = self._unit(rng.normal(size=(24, dim)))
-        sums = np.concatenate([(a[:, None] + b[None, :]).ravel() for a, b in zip(*self.products(probe), strict=True)])
-        at = max(0, sums.size - LIST * len(probe))
-        self.threshold = float(np.partition(sums, at)[at])
+        self.codes = [self._unit(rng.normal(size=(words, n))).astype(np.float32) for n in (self.cut, max(1, dim - self.cut))]
+        a, b = (-np.sort(-x, axis=1) for x in self.products(self._unit(rng.normal(size=(24, dim)))))
+        low, high = -2.0, 2.0
+        for _ in range(40):
+            t = (low + high) / 2
+            number = 0
+            for x, y in zip(a, b, strict=True):
+                first = int(np.searchsorted(-x, y[0] - t, "right"))
+                number += int(np.searchsorted(-y, x[:first] - t, "right").sum())
+            low, high = (t, high) if number > size * len(a) else (low, t)
+        self.threshold = np.float32(high)
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def products(self, units: np.ndarray) -> list[np.ndarray]:
-        y = units @ self.turn
-        halves = [y[:, : self.cut], y[:, self.cut :] if y.shape[1] > self.cut else np.zeros((len(y), 1))]
+        y = (units @ self.turn).astype(np.float32)
+        halves = [y[:, : self.cut], y[:, self.cut :] if y.shape[1] > self.cut else np.zeros((len(y), 1), np.float32)]
         return [h @ c.T for h, c in zip(halves, self.codes, strict=True)]
 
-    def decode(self, units: np.ndarray) -> list[np.ndarray]:
+    def decode(self, units: np.ndarray) -> Iterator[np.ndarray]:
         """Sorted filters of each vector."""
-        out = []
-        for a, b in zip(*self.products(units), strict=True):
-            order_a, order_b = np.argsort(-a), np.argsort(-b)
-            sa, sb = a[order_a], -b[order_b]
-            # for each codeword of the first half, how many of the second half's best exceed
-            reach = np.searchsorted(sb, sa - self.threshold, "right")
-            used = int(np.argmin(reach)) if (reach == 0).any() else reach.size
-            got = [order_a[k] * self.words + order_b[: reach[k]] for k in range(used)]
-            side = int(LEAST**0.5) + 3
-            top = sa[:side, None] - sb[None, :side]
-            best = np.argsort(-top.ravel(), kind="stable")[:LEAST]
-            got.append(order_a[best // top.shape[1]] * self.words + order_b[best % top.shape[1]])
-            out.append(np.unique(np.concatenate(got)))
-        return out
-
-
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id, key of the exact vector (null if it links with nothing), unit vector as bytes of doubles."""
-    for batch in batches:
-        keys, units = [], []
-        for x in batch.column(1):
-            v = np.array(x.as_py() or [], dtype=object)
-            ok = v.size > 0 and all(e is not None for e in v)
-            v = v.astype(np.float64) if ok else np.zeros(1)
-            top = np.abs(v).max()
-            if not np.isfinite(v).all() or top == 0:
-                keys.append(None)
-                units.append(None)
-                continue
-            v = v + 0.0
-            scaled = v / top
-            keys.append(hashlib.blake2b(v.tobytes(), digest_size=16).digest())
-            units.append((scaled / np.linalg.norm(scaled)).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], names=["vec_id", "key", "unit"])
+        rows = max(1, (1 << 21) // self.words)
+        side = min(self.words, LEAST)
+        for start in range(0, len(units), rows):
+            one, two = self.products(units[start : start + rows])
+            for a, b, top_a, top_b in zip(one, two, one.max(axis=1), two.max(axis=1), strict=True):
+                # only codewords that exceed with the other half's best can be in the list
+                at_a, at_b = np.flatnonzero(a >= self.threshold - top_b), np.flatnonzero(b >= self.threshold - top_a)
+                i, j = np.nonzero(a[at_a][:, None] + b[at_b][None, :] >= self.threshold)
+                i, j = at_a[i], at_b[j]
+                if i.size < LEAST:  # its best ones, which lie among the best of both halves
+                    best_a, best_b = (np.argsort(-x, kind="stable")[:side] for x in (a, b))
+                    best = np.argsort(-(a[best_a][:, None] + b[best_b][None, :]).ravel(), kind="stable")[:LEAST]
+                    i, j = np.r_[i, best_a[best // side]], np.r_[j, best_b[best % side]]
+                yield np.unique(i.astype(np.int64) * self.words + j)
+
+
+def _vectors(width: str):
+    """vec_id, key of the exact vector (null if it links with nothing), the vector's bytes in the table's width."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            ends = column.offsets.to_numpy()
+            values = column.values.to_numpy(zero_copy_only=False).astype(width) + np.zeros(1, width)  # -0 becomes 0, null NaN
+            keys, raw = [], []
+            for k in range(batch.num_rows):
+                v = values[ends[k] : ends[k + 1]]
+                if not column[k].is_valid or not v.size or not np.isfinite(v).all() or not v.any():
+                    keys.append(None)
+                    raw.append(None)
+                    continue
+                raw.append(v.tobytes())
+                keys.append(hashlib.blake2b(raw[-1], digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "key", "raw"])
+
+    return run
+
+
+def unit_rows(raw: pa.Array, at: np.ndarray, width: str) -> np.ndarray:
+    """Unit vectors in double precision of the rows `at`, which have one length."""
+    x = np.stack([np.frombuffer(raw[int(k)].as_buffer(), width) for k in at]).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -130,44 +162,102 @@ def _tile(filter_id: int, sides: np.ndarray | None, weights: np.ndarray, units:
     return linked @ weights, _forest(linked)
 
 
-def _tiles(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-
-        def done() -> pa.RecordBatch | None:
-            if len(held) < 2:
-                return None
-            units = [np.frombuffer(r["unit"], np.float64) for r in held]
-            adds, links = np.zeros(len(held), np.int64), []
-            for size in {u.size for u in units}:
-                at = [k for k, u in enumerate(units) if u.size == size]
-                lists = [np.frombuffer(held[k]["filters"], np.int64) for k in at]
-                sides = np.array([held[k]["side"] for k in at]) if held[0]["i"] != held[0]["j"] else None
-                add, forest = _tile(held[0]["filter"], sides, np.array([held[k]["weight"] for k in at]), np.stack([units[k] for k in at]), lists, least)
-                adds[at] = add
-                links += [(held[at[a]]["node"], held[at[b]]["node"]) for a, b in forest]
-            rows = [(r["node"], None, int(x)) for r, x in zip(held, adds, strict=True) if x] + [(a, b, 0) for a, b in links]
-            if not rows:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b", "n"])
+def small_tiles(filters: np.ndarray, starts: np.ndarray, sizes: np.ndarray, units: np.ndarray, lists: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the linked pairs that count in tiles of a few rows each."""
+    ones, twos = [], []
+    for m in np.unique(sizes):
+        at = starts[sizes == m]
+        i, j = np.triu_indices(m, 1)
+        ones.append((at[:, None] + i[None, :]).ravel())
+        twos.append((at[:, None] + j[None, :]).ravel())
+    one, two = np.concatenate(ones), np.concatenate(twos)
+    near = [np.flatnonzero(np.einsum("ij,ij->i", units[one[k : k + BLOCK]], units[two[k : k + BLOCK]]) >= least) + k for k in range(0, one.size, BLOCK)]
+    near = np.concatenate(near) if near else np.zeros(0, int)
+    one, two = one[near], two[near]
+    first = [not np.intersect1d(lists[a][: np.searchsorted(lists[a], filters[a])], lists[b][: np.searchsorted(lists[b], filters[b])], assume_unique=True).size for a, b in zip(one, two, strict=True)]
+    keep = np.flatnonzero(first)
+    return one[keep], two[keep]
+
+
+def _spanning(one: np.ndarray, two: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Those pairs that join what earlier ones left apart."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in above:
+            x = above[x]
+        return x
+
+    for a, b in zip(one.tolist(), two.tolist(), strict=True):
+        x, y = top(a), top(b)
+        if x != y:
+            above[max(x, y)] = min(x, y)
+            yield a, b
+
+
+def _tiles(least: float, width: str, name: str):
+    """Rows sorted by tile -> (a, null, number of links that count) and (a, b, 0) for links of a forest."""
 
+    def done(rows: pa.RecordBatch) -> pa.RecordBatch:
+        """Whole tiles."""
+        filters, i, j, side, node, weight = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("filter", "i", "j", "side", "node", "weight"))
+        raw = rows.column("raw")
+        lists = [np.frombuffer(x.as_buffer(), name) for x in rows.column("filters")]
+        dims = filters >> DIM_BITS
+        local = filters & ((1 << DIM_BITS) - 1)
+        adds = np.zeros(node.size, np.int64)
+        links: list[tuple[int, int]] = []
+        for dim in np.unique(dims):
+            at = np.flatnonzero(dims == dim)  # one stretch
+            units = unit_rows(raw, at, width)
+            new = np.r_[True, (filters[at][1:] != filters[at][:-1]) | (i[at][1:] != i[at][:-1]) | (j[at][1:] != j[at][:-1])]
+            starts = np.flatnonzero(new)
+            sizes = np.diff(np.r_[starts, at.size])
+            few = (sizes > 1) & (sizes <= SMALL) & (i[at][starts] == j[at][starts])
+            mine = lists[at[0] : at[-1] + 1]
+            if few.any():
+                one, two = small_tiles(local[at], starts[few], sizes[few], units, mine, least)
+                np.add.at(adds, at[one], weight[at[two]])
+                np.add.at(adds, at[two], weight[at[one]])
+                links += [(int(node[at[a]]), int(node[at[b]])) for a, b in _spanning(one, two)]
+            for start, size in zip(starts[~few], sizes[~few], strict=True):
+                if size < 2:
+                    continue
+                part = slice(start, start + size)
+                sides = side[at[part]] if i[at[start]] != j[at[start]] else None
+                add, forest = _tile(int(local[at[start]]), sides, weight[at[part]], units[part], mine[part], least)
+                adds[at[part]] += add
+                links += [(int(node[at[start + a]]), int(node[at[start + b]])) for a, b in forest]
+        some = np.flatnonzero(adds)
+        a = np.r_[node[some], np.array([x for x, _ in links], np.int64)]
+        b = pa.array([None] * some.size + [y for _, y in links], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b, pa.array(np.r_[adds[some], np.zeros(len(links), np.int64)], pa.int64())], names=["a", "b", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and (row["filter"], row["i"], row["j"]) != (held[0]["filter"], held[0]["i"], held[0]["j"]):
-                    if (out := done()) is not None:
-                        yield out
-                    held.clear()
-                held.append(row)
-        if (out := done()) is not None:
-            yield out
+            if not batch.num_rows:
+                continue
+            held = pa.concat_batches([held, batch]) if held is not None else batch
+            key = [held.column(c).to_numpy(zero_copy_only=False) for c in ("filter", "i", "j")]
+            other = np.flatnonzero((key[0] != key[0][-1]) | (key[1] != key[1][-1]) | (key[2] != key[2][-1]))
+            whole = int(other[-1]) + 1 if other.size else 0  # the last tile may go on
+            if whole:
+                yield done(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield done(held)
 
     return run
 
 
 def embedding_dedup(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id long, embedding array<float>)."""
-    rows = materialize(vectors.select(some_id("vec_id"), "embedding").mapInArrow(_units, "vec_id long, key binary, unit binary"), "emb-rows")
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("unit").alias("unit"))
+    kind = vectors.schema["embedding"].dataType.elementType
+    width = "<f4" if isinstance(kind, T.FloatType) else "<f8"
+    given = F.col("embedding").cast(f"array<{'float' if width == '<f4' else 'double'}>")
+    rows = materialize(vectors.select(some_id("vec_id"), given).mapInArrow(_vectors(width), "vec_id long, key binary, raw binary"), "emb-rows")
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("raw").alias("raw"))
     classes = materialize(classes, "emb-classes")
     n = classes.count()
     if not n:
@@ -177,30 +267,44 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     while classes.select(F.count_distinct(F.xxhash64(F.lit(salt), "key"))).first()[0] < n:
         salt += 1
     classes = classes.withColumn("node", F.xxhash64(F.lit(salt), "key"))
-    words = int(min(1 << 14, max(64, (n * LIST / IN_FILTER) ** 0.5)))
+    words, size = code_words(n), list_size(n)
+    name = "<u4" if words <= 1 << 16 else "<i8"
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, CapCode] = {}
         for batch in batches:
-            units = [np.frombuffer(u, np.float64) for u in batch.column(2).to_pylist()]
-            lists = []
-            for u in units:
-                code = codes.get(u.size) or codes.setdefault(u.size, CapCode(u.size, words))
-                lists.append(code.decode(u[None, :])[0].astype(np.int64))
-            flat = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))
-            ends = np.cumsum([0] + [x.size for x in lists]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in lists], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["node", "weight", "unit", "filters", "at"])
-
-    coded = materialize(classes.select("node", "weight", "unit").mapInArrow(decode, "node long, weight long, unit binary, filters binary, at array<long>"), "emb-coded")
+            raw, lists = batch.column(2), {}
+            lengths = np.array([len(raw[k].as_buffer()) for k in range(batch.num_rows)], np.int64) // int(width[-1])
+            for dim in np.unique(lengths):
+                code = codes.get(int(dim)) or codes.setdefault(int(dim), CapCode(int(dim), words, size))
+                at = np.flatnonzero(lengths == dim)
+                lists |= {int(k): x for k, x in zip(at, code.decode(unit_rows(raw, at, width)), strict=True)}
+            flat = [lists[k] + (int(lengths[k]) << DIM_BITS) for k in range(batch.num_rows)]
+            ends = np.cumsum([0] + [x.size for x in flat]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))], names=["node", "weight", "raw", "at"])
+
+    coded = materialize(classes.select("node", "weight", "raw").mapInArrow(decode, "node long, weight long, raw binary, at array<long>"), "emb-coded")
     names = coded.select("node", F.explode("at").alias("filter"))
     shared = names.groupBy("filter").agg(F.count("*").alias("held")).where("held > 1")
     shared = shared.withColumn("blocks", F.ceil(F.col("held") / TILE).cast("long"))
+    # a filter with many vectors is one key with few rows of (node, filter); AQE splits what is left of its skew
+    wanted = materialize(names.join(shared, "filter").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "emb-wanted")
+    # what a vector carries: the filters that others share
+    mine = wanted.groupBy("node").agg(F.sort_array(F.collect_list("filter")).alias("filters"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(3)
+            flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            packed = [(flat[ends[k] : ends[k + 1]] & ((1 << DIM_BITS) - 1)).astype(name).tobytes() for k in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], names=["node", "weight", "raw", "filters"])
+
+    full = coded.select("node", "weight", "raw").join(mine, "node").select("node", "weight", "raw", "filters").mapInArrow(pack, "node long, weight long, raw binary, filters binary")
     # where a filter has several blocks, a vector goes to the tile of its block with each block
-    wanted = names.join(shared, "filter").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = wanted.select("filter", "node", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("filter", "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    full = dealt.join(coded.drop("at"), "node").repartition("filter", "i", "j").sortWithinPartitions("filter", "i", "j", "node")
-    found = materialize(full.select("filter", "i", "j", "side", "node", "weight", "unit", "filters").mapInArrow(_tiles(cosine), "a long, b long, n long"), "emb-found")
+    full = dealt.join(full, "node").repartition("filter", "i", "j").sortWithinPartitions("filter", "i", "j", "node")
+    found = materialize(full.select("filter", "i", "j", "side", "node", "weight", "raw", "filters").mapInArrow(_tiles(cosine, width, name), "a long, b long, n long"), "emb-found")
     numbers = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     groups = components(found.where("b is not null").select("a", "b"), "emb")
     # a component is named by its smallest vec_id
