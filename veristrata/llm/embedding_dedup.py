@@ -120,12 +120,28 @@ def _vectors(width: str):
 
 
 def unit_rows(raw: pa.Array, at: np.ndarray, width: str) -> np.ndarray:
-    """Unit vectors in double precision of the rows `at`, which have one length."""
-    x = np.stack([np.frombuffer(raw[int(k)].as_buffer(), width) for k in at]).astype(np.float64)
+    """Unit vectors in double precision of the rows `at`, a rising list, which have one length."""
+    if at.size == at[-1] - at[0] + 1:  # one stretch of the column's buffer
+        ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset + int(at[0]) :][: at.size + 1]
+        x = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(width).reshape(at.size, -1).astype(np.float64)
+    else:
+        x = np.stack([np.frombuffer(raw[int(k)].as_buffer(), width) for k in at]).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+class _Lists:
+    """The filters of rows from `start` on, read where they are asked for."""
+
+    def __init__(self, column: pa.Array, name: str, start: int = 0):
+        self.column, self.name, self.start = column, name, start
+
+    def __getitem__(self, k):
+        if isinstance(k, slice):
+            return [self[x] for x in range(k.start, k.stop)]
+        return np.frombuffer(self.column[self.start + int(k)].as_buffer(), self.name)
+
+
 def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a spanning forest of a symmetric boolean matrix."""
     left, edges = np.ones(len(linked), bool), []
@@ -162,7 +178,7 @@ def _tile(filter_id: int, sides: np.ndarray | None, weights: np.ndarray, units:
     return linked @ weights, _forest(linked)
 
 
-def small_tiles(filters: np.ndarray, starts: np.ndarray, sizes: np.ndarray, units: np.ndarray, lists: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+def small_tiles(filters: np.ndarray, starts: np.ndarray, sizes: np.ndarray, units: np.ndarray, lists, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of the linked pairs that count in tiles of a few rows each."""
     ones, twos = [], []
     for m in np.unique(sizes):
@@ -202,7 +218,6 @@ def _tiles(least: float, width: str, name: str):
         """Whole tiles."""
         filters, i, j, side, node, weight = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("filter", "i", "j", "side", "node", "weight"))
         raw = rows.column("raw")
-        lists = [np.frombuffer(x.as_buffer(), name) for x in rows.column("filters")]
         dims = filters >> DIM_BITS
         local = filters & ((1 << DIM_BITS) - 1)
         adds = np.zeros(node.size, np.int64)
@@ -214,7 +229,7 @@ def _tiles(least: float, width: str, name: str):
             starts = np.flatnonzero(new)
             sizes = np.diff(np.r_[starts, at.size])
             few = (sizes > 1) & (sizes <= SMALL) & (i[at][starts] == j[at][starts])
-            mine = lists[at[0] : at[-1] + 1]
+            mine = _Lists(rows.column("filters"), name, int(at[0]))
             if few.any():
                 one, two = small_tiles(local[at], starts[few], sizes[few], units, mine, least)
                 np.add.at(adds, at[one], weight[at[two]])
