@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Parts into which a hot key of a join is split.
+SALTS = 16
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table through Spark's reader (works for any Hadoop path)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,6 +48,13 @@ def drop_tables(*tables: DataFrame) -> None:
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def salted_join(df: DataFrame, other: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """df joined with other, whose keys are unique, on key; rows of df with one key are dealt to SALTS parts by a second column."""
+    many = df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    few = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.join(few, [key, "_salt"], how).drop("_salt")
+
+
 def shielded(docs: DataFrame, body: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """body(docs), where body returns docs' columns; columns whose names operators use inside (_vs_...) have others meanwhile."""
     names = docs.columns

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_tables, materialize
 
 #: Links for each task: tables of links are far smaller than what they were found in, so fewer tasks than the session's serve.
 LINKS_PER_TASK = 100_000
@@ -31,8 +31,9 @@ def components(links: DataFrame, tag: str, most_turns: int = 60) -> DataFrame:
         # small star: u and its smaller neighbours link to the least of them
         least = large.groupBy("hi").agg(F.min("lo").alias("m")).coalesce(tasks)
         small = large.join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
-        edges = materialize(small.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct().coalesce(tasks), f"{tag}-cc")
+        old, edges = edges, materialize(small.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct().coalesce(tasks), f"{tag}-cc")
         state = edges.agg(F.count("*").alias("n"), F.count_distinct("hi").alias("h"), F.sum(F.pmod(F.xxhash64("hi", "lo"), F.lit(1 << 40))).alias("x")).first()
+        drop_tables(old, large)
         if before == tuple(state) and state.n == state.h:
             break
         before = tuple(state)

@@ -1,26 +1,30 @@
 """N-gram Jaccard join by T-occurrence search with divided lists (short ones merged, long ones probed).
 
 A document's set is its distinct shingles of N words, hashed to 64 bits. Documents with equal sets form one class
-with one node. Shingles have one order for all: those in few sets first, the HEAVY most frequent ones last. In
+with one node. Shingles have one order for all: those in few sets first, the most frequent ones (heavy) last. In
 that order, two sets that reach the similarity share l elements among the first n - ceil(s n) + l of each (l is the
 smaller of the two LEVELs), so only those prefixes are indexed.
 
-1. A counting pass finds the heavy shingles (counts are summed in each task first). At most HEAVY are broadcast;
-   the order only decides how much work there is, not what is found.
-2. An indexing pass deals the prefixes to shards in packed form. A shard sorts its postings into inverted lists. Short lists
-   (no heavy shingle) give partial candidate lists for each node; these are merged for each node with a heap, adding up
-   occurrences. A pair stays if its occurrences, with all the long lists that it may share, reach l, and its sizes allow it.
-3. Long lists are not merged. Candidates are verified by probing one set in the other by binary search. Nodes of
-   long lists are paired with the leader of most of their lists, then, where a list still holds several components, with
+1. A counting pass finds the heavy shingles (counts are summed in each task first). Their number follows the data up to MOST_HEAVY, as they
+   are broadcast; the order only decides how much work there is, not what is found.
+2. An indexing pass deals the prefixes to shards in packed form; shards are so many that each holds about SHARD_BYTES of text. A shard sorts
+   its postings into inverted lists. Short lists give partial candidate lists for each node; these are merged for each node with a heap, adding up
+   occurrences.
+3. Long lists are not merged. A candidate that short lists leave below l is looked for by binary search in each long list of the other node; it
+   stays if all occurrences reach l and the sizes allow it. What stays is verified by probing one whole set in the other by binary search.
+   Pairs that share long lists only: nodes are paired with the leader of most of their lists, then, where a list still holds several components, with
    probes from its largest component, and at last with every node of another component, in tiles (an exact end that is
    small because near copies have been linked by then).
 
+Joins on a list's name are salted, as one passage may stand in a third of all documents.
+
 Links are verified on the 64-bit hashes of whole sets. Only links that join components are sought: the result is
 one component per document, and no pairs within it are listed.
 
 Cases: null, empty or blank texts have an empty set and link with nothing; fewer words than N: the whole sequence is
 one shingle, apart from those of N words; repeated rows of a doc_id are rows of their own in the result; an
-empty table gives an empty result; other columns are ignored; long texts are used whole.
+empty table gives an empty result; other columns are ignored; very long texts are used whole; of equally good
+partners the smaller node is tried first, which changes no component.
 """
 
 from __future__ import annotations
@@ -32,25 +36,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import wordhash as H
-from .common import given_id, materialize, shielded, some_id, text_of
+from .common import drop_tables, given_id, materialize, salted_join, shielded, some_id, text_of
 from .components import components
 from .exact_dedup import ID_FILTER_BITS, Bloom, drop_keys, id_keys, row_keys
 
 WORDS = 5
 #: Similarity in hundredths.
 SIMILARITY = 75
-#: A list of more sets than LONG is long; at most HEAVY shingles are put last (5 bytes each are broadcast).
-LONG, HEAVY = 32, 1 << 19
+#: A list of more sets than LONG is long. One shingle is put last for each HEAVY_BYTES of text, within bounds (5 bytes each are broadcast).
+LONG, HEAVY_BYTES, LEAST_HEAVY, MOST_HEAVY = 32, 1 << 10, 1 << 19, 1 << 23
+#: Bytes of text for each shard of postings.
+SHARD_BYTES = 64 << 20
 #: Postings that a task gathers before it writes them out.
 BUFFER = 1 << 20
 #: Sets of either side of a tile in the last turn.
 TILE = 256
 INDEX = ["kind", "a", "b", "c", "d", "e", "blob"]
+#: A document's row in packed form: id, node, second hash, size, heavy elements of the prefix, whether it has words, digest.
+PACKED = np.dtype([("a", "<i8"), ("b", "<i8"), ("c", "<i8"), ("d", "<i8"), ("e", "<i8"), ("ok", "u1"), ("digest", "V32")])
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -94,8 +103,8 @@ def _by_shard(shard: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes]
         yield int(shard[a]), rows[a:b].tobytes()
 
 
-def heavy_shingles(docs: DataFrame, words: int, shards: int, long_list: int = LONG) -> np.ndarray:
-    """The top 40 bits of shingles in about long_list different sets or more, at most HEAVY of them, sorted.
+def heavy_shingles(docs: DataFrame, words: int, shards: int, long_list: int = LONG, most: int = LEAST_HEAVY) -> np.ndarray:
+    """The top 40 bits of shingles in about long_list different sets or more, the `most` most frequent of them, sorted.
 
     Different sets are counted by a bitmap of 64 bits in which a set has one place, so that copies of one text count once.
     """
@@ -140,11 +149,14 @@ def heavy_shingles(docs: DataFrame, words: int, shards: int, long_list: int = LO
         found, bits = _merge_bits(np.concatenate(keys), np.concatenate(bits))
         n = np.bitwise_count(bits)
         keep = np.flatnonzero(n >= taken)
-        keep = keep[np.argsort(-n[keep].astype(np.int64), kind="stable")][: max(1, HEAVY // shards)]
-        return pa.Table.from_arrays([pa.array([_pack(np.sort(found[keep]), 5).tobytes()], pa.binary())], names=["blob"])
+        keep = keep[np.argsort(-n[keep].astype(np.int64), kind="stable")][: 2 * max(1, most // shards)]  # a shard may have twice its share
+        packed = np.concatenate([_pack(found[keep], 5), n[keep].astype(np.uint8)[:, None]], axis=1)
+        return pa.Table.from_arrays([pa.array([packed.tobytes()], pa.binary())], names=["blob"])
 
     parts = docs.select("doc_id", "text").mapInArrow(count, "shard int, many boolean, blob binary").groupBy("shard").applyInArrow(total, "blob binary").collect()
-    return np.sort(np.concatenate([np.zeros(0, np.uint64), *[_unpack(np.frombuffer(r.blob, np.uint8), 5) for r in parts]]))
+    rows = np.concatenate([np.zeros((0, 6), np.uint8), *[np.frombuffer(r.blob, np.uint8).reshape(-1, 6) for r in parts]])
+    rows = rows[np.argsort(-rows[:, 5].astype(np.int64), kind="stable")[:most]]
+    return np.sort(_unpack(rows[:, :5].ravel(), 5))
 
 
 def _merge_bits(keys: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,16 +196,16 @@ def _index(docs: DataFrame, heavy: np.ndarray, words: int, similarity: int, shar
         nodes: list[np.ndarray] = []
         documents: list[tuple] = []
         hot: list[tuple] = []
-        size = 0
+        size, done = 0, 0
 
         def flush() -> pa.RecordBatch:
-            rows = [(-1 - k % 64, *d) for k, d in enumerate(documents)] + [(-100 - int(g) % 1000, int(g), int(v), None, None, None, None) for g, v in hot]
+            own = -1 - ((TaskContext.get().partitionId() << 32) + done)  # a key that no other flush has
+            rows = [(own, 0, np.array(documents, PACKED).tobytes()), (own, 2, np.array(hot, "<i8").tobytes())]
             if grams:
                 g, v = np.concatenate(grams), np.concatenate(nodes)
                 packed = np.concatenate([_pack(g, 6), _pack(v, 8)], axis=1)
-                rows += [(s, None, None, None, None, None, blob) for s, blob in _by_shard((g % np.uint64(shards)).astype(np.int64), packed)]
-            kinds = (pa.int32(), *[pa.int64()] * 5, pa.binary())
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "a", "b", "c", "d", "e", "blob"])
+                rows += [(s, 1, blob) for s, blob in _by_shard((g % np.uint64(shards)).astype(np.int64), packed)]
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["shard", "kind", "blob"])
             for x in (grams, nodes, documents, hot):
                 x.clear()
             return out
@@ -202,7 +214,8 @@ def _index(docs: DataFrame, heavy: np.ndarray, words: int, similarity: int, shar
             ids = batch.column(0).to_pylist()
             for k, s in _sets(batch, words):
                 if not s.size:
-                    documents.append((ids[k], None, None, 0, 0, None))
+                    documents.append((ids[k], 0, 0, 0, 0, 0, b""))
+                    size += 1
                     continue
                 node, second = node_of(s, salt)
                 top = s >> np.uint64(24)
@@ -212,23 +225,32 @@ def _index(docs: DataFrame, heavy: np.ndarray, words: int, similarity: int, shar
                 p = s.size - required(s.size, similarity) + level(s.size)
                 late = s[late][: max(0, p - first.size)]
                 first = first[:p]
-                digest = hashlib.sha256(batch.column(1)[k].as_buffer()).digest() if keyed else None
-                documents.append((ids[k], node, second, s.size, late.size, digest))
+                digest = hashlib.sha256(batch.column(1)[k].as_buffer()).digest() if keyed else b""
+                documents.append((ids[k], node, second, s.size, late.size, 1, digest))
                 grams.append(first >> np.uint64(16))
                 nodes.append(np.full(first.size, node, np.int64).view(np.uint64))
                 hot += [(g, node) for g in (late >> np.uint64(16))]
                 size += first.size + 10 * late.size
                 if size >= BUFFER:
                     yield flush()
-                    size = 0
+                    size, done = 0, done + 1
         if documents:
             yield flush()
 
     def lists(rows: pa.Table) -> pa.Table:
-        shard = rows.column("shard")[0].as_py() if rows.num_rows else -1
-        if shard < 0:
-            kind = pa.array(np.full(rows.num_rows, 0 if shard > -100 else 2), pa.int32())
-            return pa.Table.from_arrays([kind, *[rows.column(c) for c in ("a", "b", "c", "d", "e", "blob")]], names=INDEX)
+        if rows.column("shard")[0].as_py() < 0:  # one flush's documents and heavy postings
+            kinds = dict(zip(rows.column("kind").to_pylist(), rows.column("blob").to_pylist(), strict=True))
+            d, h = np.frombuffer(kinds[0], PACKED), np.frombuffer(kinds[2], "<i8").reshape(-1, 2)
+            blank = np.r_[d["ok"] == 0, np.zeros(len(h), bool)]
+            none = pa.nulls(len(h), pa.int64())
+
+            def column(x: np.ndarray, rest: np.ndarray | None = None) -> pa.ChunkedArray:
+                return pa.chunked_array([pa.array(x, pa.int64()), none if rest is None else pa.array(rest, pa.int64())])
+
+            node = pa.array(np.r_[d["b"], h[:, 1]], pa.int64(), mask=blank)
+            second = pa.array(np.r_[d["c"], np.zeros(len(h), np.int64)], pa.int64(), mask=blank | np.r_[np.zeros(len(d), bool), np.ones(len(h), bool)])
+            digests = pa.array([bytes(x) if keyed and ok else None for x, ok in zip(d["digest"], d["ok"], strict=True)] + [None] * len(h), pa.binary())
+            return pa.Table.from_arrays([pa.array(np.r_[np.zeros(len(d), np.int32), np.full(len(h), 2, np.int32)]), column(d["a"], h[:, 0]), node, second, column(d["d"]), column(d["e"]), digests], names=INDEX)
         packed = np.concatenate([np.frombuffer(b.as_buffer(), np.uint8).reshape(-1, 14) for b in rows.column("blob")])
         g, v = _unpack(packed[:, :6].ravel(), 6), _unpack(packed[:, 6:].ravel(), 8).view(np.int64)
         pairs, (g, v) = list_pairs(g, v, long_list)
@@ -237,7 +259,7 @@ def _index(docs: DataFrame, heavy: np.ndarray, words: int, similarity: int, shar
         cols = [pa.array(np.r_[np.full(nodes.size, 1), np.full(g.size, 2)], pa.int32()), pa.array(np.r_[nodes, g.astype(np.int64)], pa.int64()), pa.array([None] * nodes.size + v.tolist(), pa.int64()), none, none, none, pa.array(blobs + [None] * g.size, pa.binary())]
         return pa.Table.from_arrays(cols, names=INDEX)
 
-    return docs.select("doc_id", "text").mapInArrow(postings, "shard int, a long, b long, c long, d long, e long, blob binary").groupBy("shard").applyInArrow(lists, "kind int, a long, b long, c long, d long, e long, blob binary")
+    return docs.select("doc_id", "text").mapInArrow(postings, "shard long, kind int, blob binary").groupBy("shard").applyInArrow(lists, "kind int, a long, b long, c long, d long, e long, blob binary")
 
 
 def list_pairs(g: np.ndarray, v: np.ndarray, long_list: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
@@ -388,8 +410,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similarity: int = SI
 def _placed(docs: DataFrame, words: int, similarity: int, long_list: int = LONG, tile: int = TILE, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
     """A row (doc_id, node, n, digest of the text if keyed) for every row of docs; node, component, component_id for every class."""
     docs = docs.select(some_id("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    shards = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heavy = heavy_shingles(docs, words, shards, long_list)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES)
+    heavy = heavy_shingles(docs, words, shards, long_list, min(MOST_HEAVY, max(LEAST_HEAVY, size // HEAVY_BYTES)))
     _tidy(docs)
     salt, clash = 0, True
     while clash:  # two different sets with one 64-bit node: once more with another salt
@@ -400,19 +423,19 @@ def _placed(docs: DataFrame, words: int, similarity: int, long_list: int = LONG,
         classes = materialize(classes, "jac-classes")
         clash = bool(classes.where("c0 <> c1").take(1))
     _tidy(docs)
-    info = classes.select("node", "n", "hot")
-    merged = index.where("kind = 1").select("a", "blob").repartition("a").sortWithinPartitions("a").mapInArrow(_merged, "a long, b long, n long")
-    merged = merged.join(info.toDF("a", "na", "ha"), "a").join(info.toDF("b", "nb", "hb"), "b")
-    least = F.least(level_of("na"), level_of("nb"))
-    merged = merged.where((F.col("n") + F.least("ha", "hb") >= least) & (100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")))
-    short = materialize(merged.select("a", "b", "n"), "jac-short")
     hot = materialize(index.where("kind = 2").select(F.col("a").alias("g"), F.col("b").alias("node")).distinct(), "jac-hot")
+    info = classes.select("node", "n")
+    merged = index.where("kind = 1").select("a", "blob").repartition("a").sortWithinPartitions("a").mapInArrow(_merged, "a long, b long, n long")
+    merged = merged.join(info.toDF("a", "na"), "a").join(info.toDF("b", "nb"), "b").where(100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+    merged = materialize(merged.withColumn("least", F.least(level_of("na"), level_of("nb"))).select("a", "b", "n", "least"), "jac-merged")
+    short = materialize(merged.where("n >= least").select("a", "b", "n").unionByName(_probed(merged.where("n < least"), hot)), "jac-short")
+    drop_tables(merged)
     found = materialize(short.select(F.col("a").alias("node")).unionByName(short.select(F.col("b").alias("node"))).unionByName(hot.select("node")).distinct(), "jac-nodes")
     sets = _sets_of(docs, classes.join(found, "node").select("doc_id", "node"), words, salt)
     # first turn: each node with its best partner, and with the leader of most of its long lists
     sides = short.unionByName(short.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     best = sides.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
-    leaders = hot.join(hot.groupBy("g").agg(F.min_by("node", F.xxhash64("node")).alias("lead")), "g").where("lead <> node")
+    leaders = salted_join(hot, hot.groupBy("g").agg(F.min_by("node", F.xxhash64("node")).alias("lead")), "g", "node").where("lead <> node")
     leaders = leaders.groupBy("node", "lead").agg(F.count("*").alias("n")).groupBy(F.col("node").alias("a")).agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("b"))
     pairs = best.unionByName(leaders).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = _verify(pairs, sets, similarity, "jac-1")
@@ -432,13 +455,15 @@ def _placed(docs: DataFrame, words: int, similarity: int, long_list: int = LONG,
         groups = components(links.unionByName(more), "jac-3")
     _tidy(docs)
     # the component of a class is named by its smallest doc_id
+    drop_tables(short, hot, found, sets)
     names = classes.select("node", "doc_id").join(groups, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = classes.select("node", F.col("doc_id").alias("own")).join(groups.join(names, "component").select("node", "component", "component_id"), "node", "left")
     return rows, of_class.select("node", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "own").alias("component_id"))
 
 
 def _result(rows: DataFrame, of_class: DataFrame) -> DataFrame:
-    out = rows.join(of_class.select("node", "component_id"), "node", "left")
+    out = rows.where("node is not null").join(of_class.select("node", "component_id"), "node")
+    out = out.unionByName(rows.where("node is null").withColumn("component_id", F.col("doc_id")))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.select(given_id("doc_id"), "n_shingles", given_id("component_id"))
 
@@ -463,6 +488,24 @@ def _drop_similar(docs: DataFrame, words: int, similarity: int) -> DataFrame:
     return drop_keys(keyed.withColumn("_vs_digest", F.when(blank, F.monotonically_increasing_id().cast("string").cast("binary")).otherwise(F.col("_vs_digest"))), out)
 
 
+def _probed(pairs: DataFrame, hot: DataFrame) -> DataFrame:
+    """Pairs (a, b, n) of (a, b, n, least) that reach least with their common long lists: b is looked for in each long list of a."""
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(4), batch.column(5)
+            ends_x, ends_y = x.offsets.to_numpy(), y.offsets.to_numpy()
+            all_x, all_y = x.values.to_numpy(), y.values.to_numpy()
+            both = [overlap(all_x[ends_x[k] : ends_x[k + 1]], all_y[ends_y[k] : ends_y[k + 1]]) for k in range(batch.num_rows)]
+            number = batch.column(2).to_numpy() + np.array(both, np.int64)
+            kept = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(number, pa.int64())], names=["a", "b", "n"])
+            yield kept.filter(pa.array(number >= batch.column(3).to_numpy()))
+
+    lists = hot.groupBy("node").agg(F.sort_array(F.collect_list("g")).alias("lists"))
+    both = pairs.join(lists.toDF("a", "x"), "a").join(lists.toDF("b", "y"), "b").where(F.col("n") + F.least(F.size("x"), F.size("y")) >= F.col("least"))
+    return both.select("a", "b", "n", "least", "x", "y").mapInArrow(probe, "a long, b long, n long")
+
+
 def level_of(n: str):
     return 1 + F.floor(F.col(n) / 25)
 
@@ -487,10 +530,11 @@ def _open_lists(hot: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame
 def _probes(hot: DataFrame, groups: DataFrame, turn: int, ways: int = 4) -> DataFrame:
     """Nodes outside the largest component of their list, each with at most `ways` of its nodes."""
     placed, largest = _open_lists(hot, groups)
-    placed = placed.join(largest, "g")
+    placed = salted_join(placed, largest, "g", "node")
     way = F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(ways))
-    reps = placed.where("c = big").groupBy("g", way.alias("way")).agg(F.min_by("node", F.xxhash64(F.lit(turn + 10), "node")).alias("rep")).select("g", "rep")
-    rest = placed.where("c <> big").join(reps, "g").groupBy("node", "rep").agg(F.count("*").alias("n"))
+    reps = placed.where("c = big").groupBy("g", way.alias("way")).agg(F.min_by("node", F.xxhash64(F.lit(turn + 10), "node")).alias("rep"))
+    reps = reps.groupBy("g").agg(F.collect_list("rep").alias("reps"))  # at most `ways`
+    rest = salted_join(placed.where("c <> big"), reps, "g", "node").withColumn("rep", F.explode("reps")).groupBy("node", "rep").agg(F.count("*").alias("n"))
     rank = F.row_number().over(W.partitionBy("node").orderBy(F.desc("n"), "rep"))
     rest = rest.withColumn("rank", rank).where(F.col("rank") <= ways)
     return rest.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"))
@@ -504,11 +548,11 @@ def _rest(hot: DataFrame, groups: DataFrame, sets: DataFrame, similarity: int, t
     are looked for in the inverted lists of a tile, and a tile returns a forest of links, never pairs.
     """
     placed, largest = _open_lists(hot, groups)
-    placed = materialize(placed.join(largest, "g"), "jac-open")
+    placed = materialize(salted_join(placed, largest, "g", "node"), "jac-open")
     if not placed.take(1):
         return None
     leaders = placed.groupBy("g").agg(F.min("node").alias("lead"))
-    clusters = components(placed.join(leaders, "g").select(F.col("node").alias("a"), F.col("lead").alias("b")), "jac-clusters")
+    clusters = components(salted_join(placed, leaders, "g", "node").select(F.col("node").alias("a"), F.col("lead").alias("b")), "jac-clusters")
     nodes = placed.groupBy("node").agg(F.first("c").alias("c"), F.max(F.col("c") != F.col("big")).alias("open")).join(clusters.withColumnRenamed("component", "cluster"), "node")
     sizes = nodes.groupBy("cluster").agg(F.ceil(F.count("*") / tile).alias("blocks"), F.greatest(F.lit(1), F.ceil(F.count_if("open") / tile)).alias("open_blocks"))
     nodes = materialize(nodes.join(sizes, "cluster"), "jac-dealt")

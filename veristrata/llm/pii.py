@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_tables, materialize
+from .common import drop_tables, materialize, salted_join
 
 KINDS = ("email", "ip", "card", "phone")
 _MAIL = "[A-Za-z0-9._%+-]"
@@ -46,8 +46,8 @@ CANDIDATE = (rf"(?<![\p{{L}}\p{{N}}._%+-])(?:[\p{{L}}\p{{N}}._%+-]++{_AT}[\p{{L}
              r"|[+(\[]?+[0-9]++(?:[().\[\]{}/-]{0,3}+\x20?+[().\[\]{}-]{0,2}+[0-9]++)*+)")
 #: A text without this has no candidate; fewer digits are no identifier.
 MAYBE, DIGITS = r"[0-9@]|[\[({<]\x20?(?:at|AT)|\x20(?:at|AT)\x20", 5
-#: Least seeds of a pattern, least confidence in it and in an instance, square of the normal quantile of the bound, parts of a join's key.
-SUPPORT, TRUST, ACCEPT, Z2, SALTS = 3, 0.7, 0.85, 1.0, 16
+#: Least seeds of a pattern, least confidence in it and in an instance, square of the normal quantile of the bound.
+SUPPORT, TRUST, ACCEPT, Z2 = 3, 0.7, 0.85, 1.0
 #: Logarithms of doubts are added in units of 1 / GRAIN.
 GRAIN = 1_000_000
 
@@ -149,13 +149,6 @@ def _patterns(s: Column) -> Column:
     return F.filter(made, lambda p: p.isNotNull())
 
 
-def _salted(df: DataFrame, other: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """df joined with other, whose keys are unique, on key; rows of df with one key are dealt to SALTS parts by a second column."""
-    many = df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    few = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return many.join(few, [key, "_salt"], how).drop("_salt")
-
-
 def _confidence(labelled: DataFrame) -> DataFrame:
     """pattern, kind, doubt (the scaled logarithm of 1 - confidence) of trusted patterns, from (pattern, value, label or null, mask)."""
     held = [F.count_if(F.col("label") == k).alias(f"p{k}") for k in range(4)] + [F.count_if(F.when(F.col("label").isNotNull(), F.col("label") != k).otherwise(F.col("mask").bitwiseAND(1 << k) == 0)).alias(f"n{k}") for k in range(4)]
@@ -181,10 +174,10 @@ def bootstrap(edges: DataFrame) -> DataFrame:
         if accepted is None:
             labelled = pairs.withColumn("label", label)
         else:
-            labelled = _salted(pairs, accepted, "value", "pattern", "left").withColumn("label", F.coalesce(label, "kind")).drop("kind")
+            labelled = salted_join(pairs, accepted, "value", "pattern", "left").withColumn("label", F.coalesce(label, "kind")).drop("kind")
         labelled = materialize(labelled, "pii-labelled")
         trusted = materialize(_confidence(labelled), "pii-trusted")
-        open_ = _salted(labelled.where("label is null and mask > 0").select("pattern", "value", "mask"), trusted, "pattern", "value")
+        open_ = salted_join(labelled.where("label is null and mask > 0").select("pattern", "value", "mask"), trusted, "pattern", "value")
         open_ = open_.where(F.expr("(mask >> kind) & 1 = 1"))
         doubts = open_.groupBy("value", "kind").agg(F.sum("doubt").alias("doubt")).where(F.col("doubt") <= F.lit(_doubt(ACCEPT)))
         new = doubts.groupBy("value").agg(F.min_by("kind", F.struct("doubt", "kind")).alias("kind"))
@@ -228,7 +221,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     accepted = bootstrap(spots.select("pattern", "value", "rank", mask.alias("mask")))
     # documents with an accepted candidate; the others keep their base spans
     extra = found.select("row", F.explode(F.filter("seen", lambda s: s["rank"] < 0)).alias("s")).select("row", "s.start", "s.end", "s.value")
-    extra = _salted(extra, accepted, "value", "row").groupBy("row").agg(F.collect_list(F.struct("start", F.col("kind").alias("rank"), "end", "value")).alias("more"))
+    extra = salted_join(extra, accepted, "value", "row").groupBy("row").agg(F.collect_list(F.struct("start", F.col("kind").alias("rank"), "end", "value")).alias("more"))
     out = found.join(extra, "row", "left")
     return out.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")))).alias("spans"))
 
