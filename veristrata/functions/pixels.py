@@ -184,3 +184,65 @@ def replicated_crop(image: np.ndarray, x0: int, y0: int, x1: int, y1: int) -> np
     rows = np.clip(np.arange(y0, y1), 0, image.shape[0] - 1)
     cols = np.clip(np.arange(x0, x1), 0, image.shape[1] - 1)
     return image[np.ix_(rows, cols)]
+
+
+def gamma(image: np.ndarray, power: float = 0.8) -> np.ndarray:
+    return np.rint(255 * (image / 255.0) ** power).astype(np.uint8)
+
+
+def _neighbourhood(image: np.ndarray, radius: int) -> np.ndarray:
+    """For each pixel the square around it, edges repeated."""
+    side = 2 * radius + 1
+    return np.lib.stride_tricks.sliding_window_view(np.pad(image, radius, mode="edge"), (side, side))
+
+
+def median_filter(image: np.ndarray, radius: int = 1) -> np.ndarray:
+    return np.median(_neighbourhood(image, radius), axis=(2, 3)).astype(image.dtype)
+
+
+def blur(image: np.ndarray, sigma: float = 1.0) -> np.ndarray:
+    """Gaussian mean, as doubles; the kernel ends at three deviations."""
+    radius = max(1, int(np.ceil(3 * sigma)))
+    weights = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    weights /= weights.sum()
+    return np.einsum("yxij,i,j->yx", _neighbourhood(image.astype(float), radius), weights, weights)
+
+
+def sharpen(image: np.ndarray, amount: float = 0.5, sigma: float = 1.0) -> np.ndarray:
+    """The image and its difference from its blur."""
+    return np.clip(np.rint(image + amount * (image - blur(image, sigma))), 0, 255).astype(np.uint8)
+
+
+#: Named transforms of an image; each returns 8 bits a pixel of the same size.
+TRANSFORMS = {
+    "identity": lambda image: image,
+    "equalise": tile_equalise,
+    "stretch": percentile_window,
+    "gamma": gamma,
+    "median": median_filter,
+    "sharpen": sharpen,
+    "flip": lambda image: image[:, ::-1],
+}
+
+
+def transformed(image: np.ndarray, name: str) -> np.ndarray:
+    if name not in TRANSFORMS:
+        raise KeyError(f"no transform {name}; there are {sorted(TRANSFORMS)}")
+    return TRANSFORMS[name](image)
+
+
+def complexity(image: np.ndarray, mask: np.ndarray | None = None, edge: float = 20.0) -> dict[str, float]:
+    """Of a mask's pixels: entropy of 16 levels in bits, share with a gradient of at least `edge`, deviation of luma; nan where there are none."""
+    chosen = np.ones(image.shape, bool) if mask is None else mask
+    if not chosen.any():
+        return {"entropy": float("nan"), "edges": float("nan"), "std": float("nan")}
+    share = np.bincount(image[chosen] // 16, minlength=16) / chosen.sum()
+    share = share[share > 0]
+    return {"entropy": float(-(share * np.log2(share)).sum()), "edges": float((gradient(image)[chosen] >= edge).mean()), "std": float(image[chosen].std())}
+
+
+def usable(mask: np.ndarray, masked: np.ndarray, least: int = 30, most: float = 0.35) -> bool:
+    """Whether a region has at least `least` pixels outside the mask and at most a share `most` under it."""
+    inside = int(mask.sum())
+    hidden = int((mask & masked).sum())
+    return inside - hidden >= least and hidden <= most * inside

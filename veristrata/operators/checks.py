@@ -31,3 +31,26 @@ def require(checks: DataFrame) -> None:
     failed = [r["check"] for r in checks.where("status = 'FAIL'").collect()]  # one row for each check
     if failed:
         raise ValueError("failed: " + "; ".join(failed))
+
+
+def same_keys(base: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """base joined with other, one row of each for a key; raises where a side lacks a key or repeats one."""
+    a, b = base.groupBy(*keys).agg(F.count("*").alias("_a")), other.groupBy(*keys).agg(F.count("*").alias("_b"))
+    bad = a.join(b, keys, "full").where("_a is null or _b is null or _a > 1 or _b > 1")
+    if bad.take(1):
+        raise ValueError(f"keys {keys} that one side lacks or repeats: {[r.asDict() for r in bad.limit(3).collect()]}")
+    return base.join(other, keys)
+
+
+def coverage(parts: DataFrame, whole: DataFrame, key: str) -> DataFrame:
+    """One row: rows of parts, keys in several parts, keys that parts lack, keys that only parts have."""
+    held = parts.groupBy(key).agg(F.count("*").alias("_n"))
+    both = held.join(whole.select(key).distinct().withColumn("_in", F.lit(True)), key, "full")
+    return both.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count_if(F.col("_n") > 1).alias("shared"), F.count_if(F.col("_n").isNull()).alias("missing"), F.count_if(F.col("_in").isNull()).alias("extra"))
+
+
+def reproduces(got: DataFrame, expected: DataFrame, key: str, value: str, rel: float = 1e-9) -> DataFrame:
+    """key, got, expected, ok for every expected metric; one that is lacking is not ok."""
+    both = expected.select(key, F.col(value).alias("expected")).join(got.select(key, F.col(value).alias("got")), key, "left")
+    near = F.abs(F.col("got") - F.col("expected")) <= F.lit(rel) * F.greatest(F.abs("got"), F.abs("expected"), F.lit(1.0))
+    return both.withColumn("ok", F.coalesce(near, F.lit(False)))

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """df as Parquet in the shared folder, read back."""
+    """df as Parquet in the folder that all executors share, read back; a temporary folder only where Spark runs in this process alone."""
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="veristrata-")
         spark.sparkContext.setCheckpointDir(where)
     path = f"{where.rstrip('/')}/groups-{uuid.uuid4().hex}"

@@ -61,14 +61,25 @@ def average_precision(images: DataFrame, overlaps: list[float]) -> DataFrame:
     Predictions of all images are ranked by (confidence, image, index), all falling. The order is over all rows, so it is built from
     (confidence) buckets: sums per confidence value first, then running sums over those, then inside a value.
     """
-    from veristrata.operators.matching import greedy_match
+    from veristrata.operators.matching import by_confidence
 
+    # overlaps are computed once for an image: each prediction keeps the true boxes that it may match at all, best first
+    least = min(overlaps)
+    near = lambda p: F.reverse(F.array_sort(F.filter(F.transform("gts", lambda g: F.struct(iou(g, p).alias("iou"), g["j"].alias("j"))), lambda x: x["iou"] >= least)))
+    ready = images.select("img", F.transform(by_confidence(F.col("preds"), True), lambda p: F.struct(p["i"].alias("i"), p["conf"].alias("conf"), near(p).alias("near"))).alias("p"))
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("overlap_id"), F.lit(t).alias("overlap")) for k, t in enumerate(overlaps)]))
-    per = images.select("img", "gts", "preds", each.alias("x")).select("img", "gts", "preds", "x.*")
-    per = per.withColumn("m", greedy_match(F.col("preds"), F.col("gts"), F.col("overlap"), ties_last_first=True)).drop("gts", "preds")
+    per = ready.select("img", "p", each.alias("x")).select("img", "p", "x.*")
+
+    def step(acc: Column, p: Column) -> Column:
+        free = F.filter(p["near"], lambda g: (g["iou"] >= F.col("overlap")) & ~F.array_contains(acc["used"], g["j"]))
+        used = F.when(F.size(free) > 0, F.array_append(acc["used"], F.get(free, F.lit(0))["j"])).otherwise(acc["used"])
+        return F.struct(used.alias("used"), F.array_append(acc["out"], F.struct(p["i"].alias("i"), p["conf"].alias("conf"), F.size(free).alias("free"))).alias("out"))
+
+    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<i:int,conf:double,free:int>>").alias("out"))
+    per = per.select("overlap_id", "overlap", "img", F.aggregate("p", start, step, lambda acc: acc["out"]).alias("m"))
     total = images.agg(F.sum(F.size("gts")).alias("n_gt"))
     # both uses of the rows share this exchange, so matching runs once
-    rows = per.select("overlap_id", "overlap", "img", F.explode("m").alias("m")).select("overlap_id", "overlap", "img", F.col("m.i").alias("i"), F.col("m.conf").alias("conf"), F.col("m.j").isNotNull().cast("long").alias("hit")).repartition("overlap_id", "conf")
+    rows = per.select("overlap_id", "overlap", "img", F.explode("m").alias("m")).select("overlap_id", "overlap", "img", F.col("m.i").alias("i"), F.col("m.conf").alias("conf"), (F.col("m.free") > 0).cast("long").alias("hit")).repartition("overlap_id", "conf")
     values = rows.groupBy("overlap_id", "conf").agg(F.sum("hit").alias("hits"), F.count("*").alias("n"))
     above = W.partitionBy("overlap_id").orderBy(F.desc("conf")).rowsBetween(W.unboundedPreceding, -1)
     values = values.select("overlap_id", "conf", F.coalesce(F.sum("hits").over(above), F.lit(0)).alias("hits_before"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_before"))

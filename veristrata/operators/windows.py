@@ -31,24 +31,38 @@ def gap_sessions(df: DataFrame, by: list[str], ts: str, tie: str, limits: list[i
     return rows.select(*[c for c in rows.columns if not c.startswith("_s")], each.alias("_x")).select("*", "_x.*").drop("_x")
 
 
+def numbered(df: DataFrame, by: list[str], order: list[Column], out: str, total: str) -> DataFrame:
+    """df with the place (from 1) of a row in its group's order, and the group's size; no task holds a whole group.
+
+    Rows are dealt by ranges of (group, order) and written once, as ranges are drawn from samples; places are counted inside a range
+    and start behind the rows of the group's earlier ranges.
+    """
+    from veristrata.operators.groups import _written
+
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _written(df.repartitionByRange(ranges, *[F.col(c) for c in by], *order).withColumn("_range", F.spark_partition_id()))
+    sizes = rows.groupBy(*by, "_range").agg(F.count("*").alias("_held"))
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))  # over one row for each range
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_held").over(group.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn(total, F.sum("_held").over(group)).drop("_held")
+    inside = F.row_number().over(W.partitionBy(*by, "_range").orderBy(*order))
+    return rows.join(sizes, [*by, "_range"]).withColumn(out, F.col("_before") + inside).drop("_range", "_before")
+
+
 def risk_rank(df: DataFrame, by: list[str], value: str, tie: str, descending: bool = False) -> DataFrame:
     """1 for the first, falling evenly to 0 for the last; null values have no rank. With descending, ties are reversed too."""
     order = [F.desc(value), F.desc(tie)] if descending else [F.asc(value), F.asc(tie)]
-    known = df.where(F.col(value).isNotNull())
-    n = F.count("*").over(W.partitionBy(*by))
-    return known.withColumn("risk", 1 - (F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1) / F.greatest(F.lit(1), n - 1))
+    placed = numbered(df.where(F.col(value).isNotNull()), by, order, "_r", "_n")
+    return placed.withColumn("risk", 1 - (F.col("_r") - 1) / F.greatest(F.lit(1), F.col("_n") - 1)).drop("_r", "_n")
 
 
 def budget_top(df: DataFrame, by: list[str], value: str, tie: str, share: float) -> DataFrame:
     """The max(1, ceil(n * share)) rows of each group with the largest values."""
-    w = W.partitionBy(*by)
-    rows = df.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc(value), tie)))
+    rows = numbered(df, by, [F.desc(value), F.asc(tie)], "_r", "_n")
     return rows.where(F.col("_r") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * share))).drop("_n", "_r")
 
 
 def systematic_sample(df: DataFrame, by: list[str], order: list[str], number: int) -> DataFrame:
     """Evenly spaced rows of each group by an order, ends included; rounding is half to even."""
-    w = W.partitionBy(*by)
-    rows = df.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(*order)) - 1)
-    at = F.transform(F.sequence(F.lit(0), F.lit(number - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / (number - 1)).cast("int"))
-    return rows.where((F.col("_n") <= number) | F.array_contains(at, F.col("_r"))).drop("_n", "_r")
+    rows = numbered(df, by, [F.asc(c) for c in order], "_r", "_n")
+    at = F.transform(F.sequence(F.lit(0), F.lit(number - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / (number - 1)).cast("long"))
+    return rows.where((F.col("_n") <= number) | F.array_contains(at, F.col("_r") - 1)).drop("_n", "_r")

@@ -253,30 +253,56 @@ def oversample(spark, d):
 
 
 def exact_duplicates(spark, d):
-    """Texts that occur more than once: least id, the others joined in order."""
+    """Texts that occur more than once: how often, and the least id."""
     doc = read(spark, d, "documents").select(F.sha2("text", 256).alias("sha"), "doc_id")
     g = doc.groupBy("sha").agg(F.count("*").alias("n"), F.min("doc_id").alias("canonical")).where("n > 1")
     return g
 
 
-def near_duplicate_pairs(spark, d, most: int = 12):
-    """Pairs of vectors whose 64 sign bits differ in at most 12 places.
+ROWS, COLUMNS, RANGES = 16, 17, 9
 
-    Candidates share one of thirteen bit ranges (by the pigeonhole principle no pair is missed), so nothing is compared with everything.
+
+def _difference_hash(text):
+    """256 bits of a text taken as an image of 16 by 17 by the nearest of its letters: whether a letter's code is above the next one's."""
+    at = lambda k: F.ascii(F.substring(text, F.floor(F.lit(k) * F.length(text) / (ROWS * COLUMNS)).cast("int") + 1, F.lit(1)))
+    grid = F.array(*[at(k) for k in range(ROWS * COLUMNS)])
+    places = F.array(*[F.lit(r * COLUMNS + c) for r in range(ROWS) for c in range(COLUMNS - 1)])
+    return grid, lambda g: F.array_join(F.transform(places, lambda k: F.when(F.get(g, k) > F.get(g, k + 1), "1").otherwise("0")), "")
+
+
+def _hashes(spark, d):
+    """doc_id, hash of documents of at least 272 letters."""
+    grid, bits = _difference_hash(F.col("text"))
+    rows = read(spark, d, "documents").where(F.length("text") >= ROWS * COLUMNS).select("doc_id", grid.alias("g"))
+    return rows.select("doc_id", bits(F.col("g")).alias("hash"))
+
+
+def near_duplicate_pairs(spark, d, most: int = 8):
+    """Texts whose difference hashes of 256 bits differ in at most 8 places: each one with the least id of its hash, and pairs of those.
+
+    Different hashes that are near share one of nine bit ranges (by the pigeonhole principle no pair is missed), and a pair counts in the
+    first range that it shares, so nothing is compared with everything and a group of equal hashes never makes pairs.
     """
-    e = read(spark, d, "embeddings")
-    bit = lambda lo, n: F.aggregate(F.sequence(F.lit(lo), F.lit(lo + n - 1)), F.lit(0).cast("long"), lambda acc, k: acc * 2 + F.when(F.element_at("embedding", k + 1) > 0, 1).otherwise(0))
-    e = e.select("vec_id", bit(0, 32).alias("h1"), bit(32, 32).alias("h2"))
-    cut = [round(64 * k / (most + 1)) for k in range(most + 2)]
-    parts = []
-    for k, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)):
-        both = [F.shiftright("h1", 32 - min(hi, 32)).bitwiseAND((1 << (min(hi, 32) - lo)) - 1) if lo < 32 else F.lit(0), F.shiftright("h2", 64 - hi).bitwiseAND((1 << (hi - max(lo, 32))) - 1) if hi > 32 else F.lit(0)]
-        parts.append(F.struct(F.lit(k).alias("part"), both[0].cast("long").alias("b1"), both[1].cast("long").alias("b2")))
-    rows = e.select("*", F.explode(F.array(*parts)).alias("p")).select("vec_id", "h1", "h2", "p.*")
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.part") == F.col("b.part")) & (F.col("a.b1") == F.col("b.b1")) & (F.col("a.b2") == F.col("b.b2")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    distance = F.bit_count(F.col("a.h1").bitwiseXOR(F.col("b.h1"))) + F.bit_count(F.col("a.h2").bitwiseXOR(F.col("b.h2")))
-    return pairs.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), distance.cast("long").alias("distance")).where(F.col("distance") <= most).distinct()
+    rows = G._written(_hashes(spark, d))
+    one = rows.groupBy("hash").agg(F.min("doc_id").alias("rep"))
+    member = rows.join(one, "hash").where("doc_id > rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(0).cast("long").alias("distance"))
+    cut = [round(256 * k / RANGES) for k in range(RANGES + 1)]
+    words = [F.conv(F.substring("hash", 64 * k + 1, 64), 2, -10).cast("long").alias(f"w{k}") for k in range(4)]
+    parts = F.array(*[F.substring("hash", lo + 1, hi - lo) for lo, hi in zip(cut, cut[1:], strict=False)])
+    split = one.select("rep", *words, parts.alias("parts")).select("*", F.posexplode("parts").alias("part", "bits"))
+    a, b = split.alias("a"), split.alias("b")
+    pairs = a.join(b, (F.col("a.part") == F.col("b.part")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.rep") < F.col("b.rep")))
+    first = F.array_position(F.zip_with("a.parts", "b.parts", lambda x, y: x == y), True) == F.col("a.part") + 1
+    distance = sum((F.bit_count(F.col(f"a.w{k}").bitwiseXOR(F.col(f"b.w{k}"))) for k in range(4)), F.lit(0))
+    near = pairs.where(first).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), distance.cast("long").alias("distance")).where(F.col("distance") <= most)
+    return near.unionByName(member)
+
+
+def extreme_pairs(spark, d):
+    """The six closest and the six farthest near pairs."""
+    rows = G._written(near_duplicate_pairs(spark, d))
+    close = rows.orderBy("distance", "a", "b").limit(6).withColumn("side", F.lit("CLOSEST"))
+    return close.unionByName(rows.orderBy(F.desc("distance"), "a", "b").limit(6).withColumn("side", F.lit("FARTHEST")))
 
 
 def components(spark, d):
@@ -285,7 +311,7 @@ def components(spark, d):
 
 def leakage_audit(spark, d):
     """Components and duplicate groups that are split over folds."""
-    groups = G.components(near_duplicate_pairs(spark, d), "a", "b").withColumn("fold", F.col("node") % 4)
+    groups = components(spark, d).withColumn("fold", F.col("node") % 4)
     per = groups.groupBy("component").agg(F.count_distinct("fold").alias("folds"), F.count("*").alias("n"))
     return per.agg(F.count("*").alias("components"), F.count_if(F.col("folds") > 1).alias("split"), F.coalesce(F.sum("n"), F.lit(0)).alias("members"))
 
@@ -328,7 +354,7 @@ def nested_json(spark, d):
 
 QUERIES = [star_features, left_row_max, outer_audit, semi_allow, anti_legacy, named_conditions, case_labels, joint_coverage, quantile_bins, decile_detectability, adjacent_contrast, robust_stats, weighted_quantile, hist1d, hist2d,
            pearson_spearman, ks_by_group, tv_by_group, smd_by_group, risk_ratio, rollup_scopes, pivot_scales, best_with_ties, group_string_agg, most_common, zero_filled_rate, imbalance, gap_sessions, session_summary,
-           session_concentration, cross_fold_gaps, risk_rank, budget_topk, stratified_sample, latest_dates_holdout, leave_one_out, set_audit, oversample, exact_duplicates, near_duplicate_pairs, components, leakage_audit,
+           session_concentration, cross_fold_gaps, risk_rank, budget_topk, stratified_sample, latest_dates_holdout, leave_one_out, set_audit, oversample, exact_duplicates, near_duplicate_pairs, extreme_pairs, components, leakage_audit,
            fold_balance, fold_assignment, token_vectors, bootstrap_recall, logistic_factors, integrity_checks, nested_json]
 
 _LABEL = "list_filter([CASE WHEN l_quantity > 40 THEN 'BULK' END, CASE WHEN l_returnflag = 'R' THEN 'RETURNED' END, CASE WHEN l_discount >= 0.05 THEN 'DISCOUNTED' END], lambda x: x IS NOT NULL)"
@@ -337,7 +363,11 @@ raw AS (SELECT len(list_filter(cuts, lambda c: v > c)) AS raw, count_if(status =
 bins AS (SELECT dense_rank() OVER (ORDER BY raw)::INT AS bin, tp, n, round(tp / n::DOUBLE, 9) AS recall FROM raw)"""
 _SESS = "WITH g AS (SELECT *, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER w AS previous_gap, lead(epoch_us(ts) / 1e6) OVER w - epoch_us(ts) / 1e6 AS next_gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),\n l(limit_s) AS (VALUES " + ", ".join(f"({x})" for x in LIMITS) + "),\n s AS (SELECT *, sum(CASE WHEN coalesce(previous_gap, 0) > limit_s THEN 1 ELSE 0 END) OVER (PARTITION BY limit_s, user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM g, l)"
 _SIZES = _SESS + ", z AS (SELECT limit_s, user_id, session, count(*) AS size FROM s GROUP BY ALL)"
-_BITS = "WITH h AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.b, b.b), lambda z: abs(z[1] - z[2])))::BIGINT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id), near AS (SELECT * FROM p WHERE distance <= 12)"
+_BITS = """WITH RECURSIVE h AS (SELECT doc_id, array_to_string(list_transform(range(256), lambda n: CASE WHEN
+ ord(substring(text, (floor((n // 16 * 17 + n % 16) * length(text) / 272::DOUBLE))::INT + 1, 1)) > ord(substring(text, (floor((n // 16 * 17 + n % 16 + 1) * length(text) / 272::DOUBLE))::INT + 1, 1)) THEN '1' ELSE '0' END), '') AS hash FROM documents WHERE length(text) >= 272),
+one AS (SELECT hash, min(doc_id) AS rep FROM h GROUP BY hash),
+near AS (SELECT x.rep AS a, y.rep AS b, hamming(x.hash, y.hash) AS distance FROM one x JOIN one y ON x.rep < y.rep WHERE hamming(x.hash, y.hash) <= 8
+ UNION ALL SELECT rep, doc_id, 0 FROM h JOIN one USING (hash) WHERE doc_id > rep)"""
 _CC = _BITS.replace("WITH h", "WITH RECURSIVE h", 1) + ", e AS (SELECT a AS u, b AS v FROM near UNION SELECT b, a FROM near), cc(node, root) AS (SELECT u, u FROM e UNION SELECT e.v, cc.root FROM cc JOIN e ON cc.node = e.u), comp AS (SELECT node, min(root) AS component FROM cc GROUP BY node)"
 _TV = "WITH c AS (SELECT {g} AS grp, event_type, count(*) AS n FROM events GROUP BY ALL), o AS (SELECT event_type, sum(n) AS all_n FROM c GROUP BY 1), s AS (SELECT grp, sum(n) AS size FROM c GROUP BY 1) SELECT s.grp AS {name}, round(0.5 * sum(abs(coalesce(c.n, 0) / s.size - o.all_n / (SELECT sum(n) FROM c))), 9) AS tv FROM s CROSS JOIN o LEFT JOIN c ON c.grp = s.grp AND c.event_type = o.event_type GROUP BY s.grp"
 
@@ -382,6 +412,7 @@ ORACLES = {
     "set_audit": "WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus <> 'P'), b AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0) SELECT count_if(a.k IS NOT NULL AND b.k IS NOT NULL)::BIGINT AS both, count_if(b.k IS NULL)::BIGINT AS only_a, count_if(a.k IS NULL)::BIGINT AS only_b, count(*) AS either FROM a FULL JOIN b ON a.k = b.k",
     "oversample": "SELECT doc_id, doc_id % 4 + 1 AS fold, 0 AS occurrence FROM documents UNION ALL SELECT doc_id, doc_id % 4 + 1, 1 FROM documents WHERE doc_id % 4 + 1 <> 1 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)",
     "exact_duplicates": "SELECT sha256(text) AS sha, count(*) AS n, min(doc_id) AS canonical FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "extreme_pairs": _BITS + ", n AS (SELECT * FROM near) SELECT * FROM (SELECT *, 'CLOSEST' AS side FROM n ORDER BY distance, a, b LIMIT 6) UNION ALL SELECT * FROM (SELECT *, 'FARTHEST' AS side FROM n ORDER BY distance DESC, a, b LIMIT 6)",
     "near_duplicate_pairs": _BITS + " SELECT * FROM near",
     "components": _CC + " SELECT node, component FROM comp",
     "leakage_audit": _CC + ", g AS (SELECT component, count(DISTINCT node % 4) AS folds, count(*) AS n FROM comp GROUP BY 1) SELECT count(*) AS components, coalesce(count_if(folds > 1), 0)::BIGINT AS split, coalesce(sum(n), 0)::BIGINT AS members FROM g",

@@ -10,6 +10,7 @@ from veristrata.operators import matching as M
 from veristrata.operators import metrics as X
 from veristrata.operators import resample as R
 from veristrata.operators import stats as S
+from veristrata.operators import windows as N
 from veristrata.operators.selection import best_epoch, gated_choice
 from veristrata.plans import fixtures as FX
 from veristrata.plans.detection import _NMS_FOLD, _OUTCOMES, _RATIOS, HIGH, REPORT, STEPS, _matched, iou_sql, match_sql, sweep_sql
@@ -144,8 +145,7 @@ def routing_burden(spark, d):
     """Share of misses that lie in the riskiest images, by signal and budget."""
     per = _matched(spark, d).select("img", (F.size("gts") - F.size(F.filter("match", lambda m: m["j"].isNotNull() & (m["conf"] >= REPORT)))).alias("missed"), F.size("preds").cast("double").alias("count"), F.coalesce(1 - F.array_max(F.transform("preds", lambda p: p["conf"])), F.lit(1.0)).alias("doubt"))
     long = per.select("img", "missed", F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), F.col(n).alias("v")) for n in ("count", "doubt")])).alias("s")).select("img", "missed", "s.*")
-    w = W.partitionBy("signal")
-    ranked = long.withColumn("r", F.row_number().over(w.orderBy(F.desc("v"), "img"))).withColumn("n", F.count("*").over(w))
+    ranked = N.numbered(long, ["signal"], [F.desc("v"), F.asc("img")], "r", "n")
     out = X.grid(ranked, [0.1, 0.2, 0.4], "budget")
     return out.groupBy("signal", "budget").agg(F.sum(F.when(F.col("r") <= F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("budget"))), F.col("missed")).otherwise(0)).alias("covered"), F.sum("missed").alias("missed"))
 
@@ -153,9 +153,8 @@ def routing_burden(spark, d):
 def composite_risk(spark, d):
     """Mean of two rank scores and a piecewise confidence risk, per image."""
     per = FX.images(spark, d).select("img", F.size("preds").alias("count"), F.array_max(F.transform("preds", lambda p: p["conf"])).alias("top"))
-    n = F.count("*").over(W.partitionBy(F.lit(1)))  # the rank is over all images of the run
-    rank = lambda c, tie: 1 - (F.row_number().over(W.partitionBy(F.lit(1)).orderBy(c, tie)) - 1) / F.greatest(F.lit(1), n - 1)
-    out = per.withColumn("r1", rank(F.desc("count"), F.asc("img"))).withColumn("r2", rank(F.asc_nulls_last("top"), F.asc("img")))
+    out = N.numbered(N.numbered(per, [], [F.desc("count"), F.asc("img")], "c", "n"), [], [F.asc_nulls_last("top"), F.asc("img")], "t", "_all")
+    out = out.select("*", *[(1 - (F.col(c) - 1) / F.greatest(F.lit(1), F.col("n") - 1)).alias(r) for c, r in (("c", "r1"), ("t", "r2"))])
     piece = F.when(F.col("top").isNull() | (F.col("top") < 0.25), 1.0).when(F.col("top") < HIGH, 0.5).otherwise(0.0)
     return out.select("img", F.round((F.col("r1") + F.col("r2")) / 2, 9).alias("mean_rank"), F.greatest(piece, F.when(F.col("count") > 8, 0.75).otherwise(0.0)).alias("rule"))
 
@@ -267,7 +266,7 @@ ORACLES = {
     "geometry_columns": FX.FX + """, b AS (SELECT img, gt_index, x1 - x0 AS w, y1 - y0 AS h, (x1 - x0) * (y1 - y0) AS area, round((x1 - x0) / (y1 - y0)::DOUBLE, 9) AS aspect, least(x1 - x0, y1 - y0) AS min_side, (x0 + x1) / 128.0::DOUBLE AS cx, least(x0, y0, 64 - x1, 64 - y1) AS edge FROM fx_gt)
 SELECT *, min_side * (target / 64.0::DOUBLE) AS scaled, min_side * (target / 64.0::DOUBLE) < 8 AS below_8 FROM b, (VALUES (32), (64), (128)) t(target)""",
     "box_transforms": FX.FX + " SELECT img, gt_index, greatest(0, least(50, x0)) AS clip_x0, floor((x0 + x1) / 2.0::DOUBLE - (x1 - x0) * 0.75::DOUBLE)::BIGINT AS grown_x0, ceil((x0 + x1) / 2.0::DOUBLE + (x1 - x0) * 0.75::DOUBLE)::BIGINT AS grown_x1, 64 - x1 AS flip_x0, 64 - x0 AS flip_x1, round(sqrt(((x0 + x1) / 2.0::DOUBLE - 32) ** 2 + ((y0 + y1) / 2.0::DOUBLE - 32) ** 2), 9) AS from_centre, x0 AS back_x0 FROM fx_gt",
-    "candidate_geometry": FX.FX + f""", j AS (SELECT p.img, p.pred_index AS a, q.pred_index AS b, p.x0 AS px0, {iou_sql('p', 'q')} AS iou, (p.x0 + p.x1) / 2.0::DOUBLE AS px, (p.y0 + p.y1) / 2.0::DOUBLE AS py, (q.x0 + q.x1) / 2.0::DOUBLE AS qx, (q.y0 + q.y1) / 2.0::DOUBLE AS qy, p.x1 AS px1, p.y0 AS py0, p.y1 AS py1, ((q.x1 - q.x0) * (q.y1 - q.y0)) / ((p.x1 - p.x0) * (p.y1 - p.y0))::DOUBLE AS ar FROM fx_pred p JOIN fx_pred q ON p.img = q.img AND p.model = 0 AND q.model = 1)
+    "candidate_geometry": FX.FX + f""", p0 AS MATERIALIZED (SELECT * FROM fx_pred WHERE model = 0), p1 AS MATERIALIZED (SELECT * FROM fx_pred WHERE model = 1), j AS (SELECT p.img, p.pred_index AS a, q.pred_index AS b, p.x0 AS px0, {iou_sql('p', 'q')} AS iou, (p.x0 + p.x1) / 2.0::DOUBLE AS px, (p.y0 + p.y1) / 2.0::DOUBLE AS py, (q.x0 + q.x1) / 2.0::DOUBLE AS qx, (q.y0 + q.y1) / 2.0::DOUBLE AS qy, p.x1 AS px1, p.y0 AS py0, p.y1 AS py1, ((q.x1 - q.x0) * (q.y1 - q.y0)) / ((p.x1 - p.x0) * (p.y1 - p.y0))::DOUBLE AS ar FROM p0 p JOIN p1 q ON p.img = q.img)
 SELECT img, a, b, round(iou, 9) AS iou, round(sqrt((px - qx) ** 2 + (py - qy) ** 2) / sqrt(((px1 - px0) ** 2 + (py1 - py0) ** 2)::DOUBLE), 9) AS distance, round(ar, 9) AS area_ratio FROM j WHERE qx BETWEEN px0 AND px1 AND qy BETWEEN py0 AND py1""",
     "nearest_candidate": FX.FX + f" SELECT g.img, g.gt_index, p.pred_index, round({iou_sql('g', 'p')}, 9) AS iou, p.conf FROM fx_gt g LEFT JOIN fx_pred p ON g.img = p.img QUALIFY row_number() OVER (PARTITION BY g.img, g.gt_index ORDER BY {iou_sql('g', 'p')} DESC, p.conf DESC, p.pred_index) = 1",
     "strategy_chain": match_sql() + f", s AS (SELECT {_STATUS(0.25)} AS base, {_STATUS(0.5)} AS strict, {_STATUS(0.1)} AS loose, {_STATUS(0.0)} AS floor_ FROM (SELECT *, unnest(gts) AS g FROM matched)) SELECT len(list_distinct([base, strict, loose, floor_]))::INT AS outcomes, base, count(*) AS n FROM s GROUP BY ALL",

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from veristrata.plans import analytics, detection, extended
+from veristrata.plans import analytics, audits, detection, extended
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (*detection.QUERIES, *analytics.QUERIES, *extended.QUERIES)}
+    return {f.__name__: f for f in (*detection.QUERIES, *analytics.QUERIES, *extended.QUERIES, *audits.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return detection.ORACLES | analytics.ORACLES | extended.ORACLES
+    return detection.ORACLES | analytics.ORACLES | extended.ORACLES | audits.ORACLES

@@ -112,3 +112,32 @@ def export_predictions(images: DataFrame, floor: float) -> DataFrame:
 def append_manifest(df: DataFrame, path: str) -> None:
     """One JSON row of a run's facts."""
     df.write.mode("append").json(path)
+
+
+def read_document(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A JSON document over several lines: one row for it, or one for each element if it is a list."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def write_document(df: DataFrame, path: str) -> None:
+    """One JSON object a line; refuses to overwrite."""
+    df.write.mode("errorifexists").json(path)
+
+
+def write_fold_lists(lists: DataFrame, path: str) -> None:
+    """(fold, partition, name): a text file with a name a line in fold=.../partition=..., names in order; refuses to overwrite."""
+    lists.select("fold", "partition", F.col("name").cast("string")).repartitionByRange("fold", "partition", "name").sortWithinPartitions("fold", "partition", "name").write.mode("errorifexists").partitionBy("fold", "partition").text(path)
+
+
+def fold_documents(folds: DataFrame, names: list[str]) -> DataFrame:
+    """One row for each fold with its dataset description as YAML: paths of the lists and the names of the classes."""
+    classes = "".join(f"\n  {k}: {n}" for k, n in enumerate(names))
+    text = F.format_string("train: fold=%s/partition=train\nval: fold=%s/partition=test\nnames:" + classes.replace("%", "%%"), "fold", "fold")
+    return folds.select("fold").distinct().withColumn("document", text)
+
+
+def write_manifest(df: DataFrame, path: str, key: str) -> None:
+    """A manifest of tiles or processed images: its key must be unique; refuses to overwrite."""
+    if df.groupBy(key).count().where("count > 1").take(1):
+        raise ValueError(f"{key} repeats in the manifest")
+    df.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
