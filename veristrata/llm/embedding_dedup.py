@@ -33,8 +33,9 @@ from pyspark.sql import types as T
 from .common import given_id, materialize, some_id
 from .components import components
 
-#: Mean number of filters of a vector: LIST, and MORE for each doubling above 1000 vectors; the least; unrelated vectors wanted in a filter.
-LIST, MORE, LEAST, IN_FILTER = 56, 4, 12, 0.2
+#: Mean number of filters of a vector: LIST, and MORE for each doubling above 1000 vectors, or WORK / vectors up to MOST where that is
+#: more; the least; unrelated vectors wanted in a filter, or ROOM / vectors where that is more.
+LIST, MORE, WORK, MOST, LEAST, IN_FILTER, ROOM = 72, 4, 2_000_000, 400, 48, 0.2, 10_000
 #: Vectors of a half tile; of a tile whose pairs are verified one by one; pairs in a block.
 TILE, SMALL, BLOCK = 512, 48, 1 << 16
 SEED = 20240229
@@ -43,12 +44,12 @@ DIM_BITS = 44
 
 
 def list_size(n: int) -> int:
-    return LIST + int(MORE * max(0.0, np.log2(max(n, 1) / 1000)))
+    return max(LIST + int(MORE * max(0.0, np.log2(max(n, 1) / 1000))), min(MOST, WORK // max(n, 1)))
 
 
 def code_words(n: int) -> int:
     """Codewords of each half for n vectors."""
-    return int(max(64, (n * list_size(n) / IN_FILTER) ** 0.5))
+    return int(max(64, (n * list_size(n) / max(IN_FILTER, ROOM / max(n, 1))) ** 0.5))
 
 
 class CapCode:
@@ -83,6 +84,8 @@ class CapCode:
         """Sorted filters of each vector."""
         rows = max(1, (1 << 21) // self.words)
         side = min(self.words, LEAST)
+        # the best sums are of codewords whose places multiply to no more than their number
+        p, q = np.nonzero((np.arange(side)[:, None] + 1) * (np.arange(side)[None, :] + 1) <= LEAST)
         for start in range(0, len(units), rows):
             one, two = self.products(units[start : start + rows])
             for a, b, top_a, top_b in zip(one, two, one.max(axis=1), two.max(axis=1), strict=True):
@@ -91,9 +94,9 @@ class CapCode:
                 i, j = np.nonzero(a[at_a][:, None] + b[at_b][None, :] >= self.threshold)
                 i, j = at_a[i], at_b[j]
                 if i.size < LEAST:  # its best ones, which lie among the best of both halves
-                    best_a, best_b = (np.argsort(-x, kind="stable")[:side] for x in (a, b))
-                    best = np.argsort(-(a[best_a][:, None] + b[best_b][None, :]).ravel(), kind="stable")[:LEAST]
-                    i, j = np.r_[i, best_a[best // side]], np.r_[j, best_b[best % side]]
+                    best_a, best_b = (top[np.argsort(-x[top], kind="stable")] for x in (a, b) for top in [np.argpartition(-x, side - 1)[:side]])
+                    best = np.argsort(-(a[best_a[p]] + b[best_b[q]]), kind="stable")[:LEAST]
+                    i, j = np.r_[i, best_a[p[best]]], np.r_[j, best_b[q[best]]]
                 yield np.unique(i.astype(np.int64) * self.words + j)
 
 

@@ -6,11 +6,12 @@ for one fold. A URL's score is the difference of its log-likelihoods under the t
 threshold is the cut of a histogram of scores on the fold left out that splits its two kinds best.
 
 Hosts and paths are scored once for each different string, with the number of URLs as a weight when they are
-counted, so that a host with a third of all URLs is one row; n-gram tables are pre-aggregated.
+counted, so that a host with a third of all URLs is one row; n-gram tables are pre-aggregated. Joins on n-grams, hosts and paths
+are salted.
 
 Cases: a null URL or one without '://' has an empty host and path, no rule, and the verdict of the model on two
 empty strings; repeated rows are judged each; URLs of any length are used whole; an empty table gives an empty
-result; where the rules decide no URL of one kind, the threshold is 0. Extra columns are ignored.
+result; a score that equals the cut is allowed, and of equally good cuts the one nearest 0 is taken; where the rules decide no URL of one kind, the threshold is 0. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, salted_join
 
 #: (host and path, verdict); the longest that fits wins.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -105,10 +106,10 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> Data
     parts = rows.select(F.explode(F.array(F.struct(F.lit("\x04").alias("kind"), F.col("host").alias("string")), F.struct(F.lit("\x05").alias("kind"), F.col("path").alias("string")))).alias("s"), "said", learn.alias("learn"))
     strings = parts.groupBy("s.kind", "s.string").agg(F.count_if(F.col("learn") & (F.col("said") == "allow")).alias("n_allow"), F.count_if(F.col("learn") & (F.col("said") == "block")).alias("n_block"))
     strings = materialize(strings, "url-strings")
-    sums = _grams(strings.select("kind", "string")).join(ratios(strings), "gram").groupBy("kind", "string").agg(F.sum("llr").alias("llr"))
+    sums = salted_join(_grams(strings.select("kind", "string")), ratios(strings), "gram", "string").groupBy("kind", "string").agg(F.sum("llr").alias("llr"))
     sums = materialize(sums, "url-sums")
     score_of = lambda kind, col: sums.where(F.col("kind") == kind).select(F.col("string").alias(col), F.col("llr").alias(f"llr_{col}"))
-    scored = rows.join(score_of("\x04", "host"), "host").join(score_of("\x05", "path"), "path")
+    scored = salted_join(salted_join(rows, score_of("\x04", "host"), "host", "page_id"), score_of("\x05", "path"), "path", "page_id")
     scored = scored.withColumn("score", (F.col("llr_host") + F.col("llr_path")) / (F.length("host") + F.length("path") + 2))
     cut = threshold(scored.where("fold and said is not null"))
     verdict = F.coalesce("said", F.when(F.col("score") >= cut, "allow").otherwise("block"))
