@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veristrata.functions.exprs import ratio
+from veristrata.operators import windows as N
 
 
 def quantile(value: str | Column, q: float, weight: Column | None = None) -> Column:
@@ -38,11 +39,9 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 
 def average_rank(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """Ranks with ties at their mean: counts per value are ranked, then joined back, so a group isn't one window over rows."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    below = F.coalesce(F.sum("_c").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(*by, value, (below + (F.col("_c") + 1) / 2).alias(out))
-    return df.join(counts, [*by, value])
+    """Ranks with ties at their mean: counts per value are summed over ranges of values, then joined back, so no group is one task."""
+    counts = N.running_sums(df.groupBy(*by, value).agg(F.count("*").alias("_c")), by, value, {"_c": "_upto"})
+    return df.join(counts.select(*by, value, (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2).alias(out)), [*by, value])
 
 
 def safe_corr(x: Column, y: Column) -> Column:
@@ -53,12 +52,20 @@ def safe_corr(x: Column, y: Column) -> Column:
 def ks_distance(df: DataFrame, group: str, a, b, value: str) -> DataFrame:
     """Largest gap between the two groups' distribution functions, at distinct values."""
     counts = df.where(F.col(group).isin(a, b)).groupBy(value).agg(F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) == b).alias("nb"))
-    total = counts.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
-    run = W.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    cum = counts.select(F.sum("na").over(run).alias("ca"), F.sum("nb").over(run).alias("cb")).crossJoin(F.broadcast(total))
+    cum = N.running_sums(counts.where(F.col(value).isNotNull()), [], value, {"na": "ca", "nb": "cb"}, {"na": "ta", "nb": "tb"})
     return cum.agg(F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("ks"))
 
 
+def ks_to_all(df: DataFrame, by: list[str], group: str, number: int, value: str) -> DataFrame:
+    """by, group (0 to number - 1), ks: largest gap between a group's distribution function and the one of all rows, at distinct values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("all_n"), *[F.count_if(F.col(group) == g).alias(f"n{g}") for g in range(number)])
+    names = ["all_n", *[f"n{g}" for g in range(number)]]
+    cum = N.running_sums(counts, by, value, {n: f"c_{n}" for n in names}, {n: f"t_{n}" for n in names})
+    share = lambda n: ratio(F.col(f"c_{n}"), F.col(f"t_{n}"), None)
+    per = cum.groupBy(*by).agg(*[F.max(F.abs(share(f"n{g}") - share("all_n"))).alias(f"ks{g}") for g in range(number)])
+    return per.select(*by, F.posexplode(F.array(*[f"ks{g}" for g in range(number)])).alias(group, "ks"))
+
+
 def total_variation(df: DataFrame, group: str, category: str) -> DataFrame:
     """Half the summed difference between each group's shares of the categories and the overall shares."""
     cells = df.groupBy(group, category).agg(F.count("*").alias("n"))
@@ -78,5 +85,15 @@ def mean_difference(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def quantile_cuts(df: DataFrame, value: str, qs: list[float]) -> DataFrame:
-    """One row: the distinct cuts in order."""
-    return df.agg(F.array_sort(F.array_distinct(F.percentile(value, F.array(*[F.lit(q) for q in qs])))).alias("cuts"))
+    """One row: the distinct cuts in order, type 7; `cuts` is empty if there are no values.
+
+    Values are counted and summed over ranges, so no task holds all distinct values; only those at the wanted places go on.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    run = N.running_sums(counts, [], "v", {"c": "upto"}, {"c": "n"})
+    place = lambda q: (F.col("n") - 1) * F.lit(float(q))
+    holds = lambda p: F.when((p < F.col("upto")) & (p >= F.col("upto") - F.col("c")), F.col("v"))
+    ends = run.agg(F.max("n").alias("n"), *[F.max(holds(f(place(q)))).alias(f"{e}{k}") for k, q in enumerate(qs) for e, f in (("lo", F.floor), ("hi", F.ceil))])
+    between = [(F.ceil(place(q)) - place(q)) * F.col(f"lo{k}") + (place(q) - F.floor(place(q))) * F.col(f"hi{k}") for k, q in enumerate(qs)]
+    cuts = [F.when(F.col(f"lo{k}") == F.col(f"hi{k}"), F.col(f"lo{k}")).otherwise(b) for k, b in enumerate(between)]
+    return ends.select(F.array_sort(F.array_distinct(F.array_compact(F.array(*cuts)))).alias("cuts"))

@@ -48,6 +48,25 @@ def numbered(df: DataFrame, by: list[str], order: list[Column], out: str, total:
     return rows.join(sizes, [*by, "_range"]).withColumn(out, F.col("_before") + inside).drop("_range", "_before")
 
 
+def running_sums(df: DataFrame, by: list[str], value: str, sums: dict[str, str], totals: dict[str, str] | None = None) -> DataFrame:
+    """df, which has one row for each value of a group, with sums over the group's values up to this one, and totals of the group.
+
+    As in `numbered`: sums run inside ranges of (group, value) and start behind earlier ranges, so no task holds a whole group.
+    """
+    from veristrata.operators.groups import _written
+
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _written(df.repartitionByRange(ranges, *[F.col(c) for c in by], F.col(value)).withColumn("_range", F.spark_partition_id()))
+    totals = totals or {}
+    held = rows.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_h{k}") for k, c in enumerate(sums)], *[F.sum(c).alias(f"_t{k}") for k, c in enumerate(totals)])
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))  # over one row for each range
+    before = [F.coalesce(F.sum(f"_h{k}").over(group.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"_b{k}") for k in range(len(sums))]
+    held = held.select(*by, "_range", *before, *[F.sum(f"_t{k}").over(group).alias(out) for k, out in enumerate(totals.values())])
+    inside = W.partitionBy(*by, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = rows.join(held, [*by, "_range"])
+    return out.select(*df.columns, *totals.values(), *[(F.col(f"_b{k}") + F.sum(c).over(inside)).alias(name) for k, (c, name) in enumerate(sums.items())])
+
+
 def risk_rank(df: DataFrame, by: list[str], value: str, tie: str, descending: bool = False) -> DataFrame:
     """1 for the first, falling evenly to 0 for the last; null values have no rank. With descending, ties are reversed too."""
     order = [F.desc(value), F.desc(tie)] if descending else [F.asc(value), F.asc(tie)]
