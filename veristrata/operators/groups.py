@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,3 +58,38 @@ def assign_folds(groups: DataFrame, folds: int = 4) -> DataFrame:
         return pd.DataFrame({"group_id": pdf["group_id"], "size": pdf["size"], "fold_id": out})
 
     return groups.select("group_id", "size", F.lit(1).alias("all")).groupBy("all").applyInPandas(task, "group_id long, size long, fold_id int")
+
+
+def assign_vector_folds(tokens: DataFrame, weights: dict[str, float], folds: int = 4) -> DataFrame:
+    """group_id, fold_id for groups given as counts of tokens (group_id, size, family, token, n).
+
+    Groups come by falling size, then by falling rarity (their largest share of a token's total), then by id. Each goes to the fold where the
+    weighted mean over families of squared deviations from an even split is least; ties to the smaller fold, then the first. Families
+    without a weight count 1. Each choice depends on those before, so it is one task over one row for each group and token.
+    """
+
+    def task(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = pdf["family"] + ":" + pdf["token"]
+        columns = {key: k for k, key in enumerate(sorted(set(keys)))}
+        family_of = dict(zip(keys, pdf["family"], strict=True))
+        families = [family_of[key] for key in columns]
+        held = pd.Series(families).value_counts()
+        vectors: dict[int, np.ndarray] = {}
+        for group, key, n in zip(pdf["group_id"], keys, pdf["n"], strict=True):
+            vectors.setdefault(group, np.zeros(len(columns)))[columns[key]] += n
+        totals = sum(vectors.values())
+        scale = np.array([weights.get(f, 1.0) / held[f] for f in families]) / np.maximum(1.0, totals / folds) ** 2
+        size = pdf.groupby("group_id")["size"].max().to_dict()
+        rarity = {g: round(float((v / np.maximum(1.0, totals)).max()), 12) for g, v in vectors.items()}
+        sums, sizes, out = np.zeros((folds, len(columns))), [0] * folds, []
+        for group in sorted(vectors, key=lambda g: (-size[g], -rarity[g], g)):
+            # only the chosen fold's own term changes, so the comparison needs that difference alone
+            change = (((sums + vectors[group] - totals / folds) ** 2 - (sums - totals / folds) ** 2) * scale).sum(axis=1)
+            best = min(range(folds), key=lambda f: (round(float(change[f]), 12), sizes[f], f))
+            sums[best] += vectors[group]
+            sizes[best] += int(size[group])
+            out.append((group, best + 1))
+        return pd.DataFrame(out, columns=["group_id", "fold_id"])
+
+    rows = tokens.select(F.col("group_id").cast("long").alias("group_id"), F.col("size").cast("long").alias("size"), "family", "token", F.col("n").cast("long").alias("n"))
+    return rows.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(task, "group_id long, fold_id int")

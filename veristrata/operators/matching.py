@@ -84,6 +84,23 @@ def union_nms(preds: Column, least: float, cap: int = 300, by_model: bool = True
     return F.slice(F.aggregate(F.array_sort(keyed), F.array().cast(KEPT), step), 1, cap)
 
 
+AUDIT = "struct<kept:array<struct<i:int,x0:double,y0:double,x1:double,y1:double>>,out:array<struct<i:int,conf:double,by:int>>>"
+
+
+def nms_audit(preds: Column, least: float) -> Column:
+    """(i, conf, by) for every prediction in falling confidence: `by` is the first kept one that overlaps it by at least `least`, null if it is kept."""
+    def step(acc: Column, p: Column) -> Column:
+        first = F.get(F.filter(acc["kept"], lambda k: iou(k, p) >= least), F.lit(0))["i"]
+
+        def take(by: Column) -> Column:
+            box = F.struct(*[p[c].alias(c) for c in ("i", "x0", "y0", "x1", "y1")])
+            return F.struct(F.when(by.isNull(), F.array_append(acc["kept"], box)).otherwise(acc["kept"]).alias("kept"), F.array_append(acc["out"], F.struct(p["i"].alias("i"), p["conf"].alias("conf"), by.alias("by"))).alias("out"))
+
+        return _let(first, take)
+
+    return F.aggregate(by_confidence(preds), F.struct(F.array().alias("kept"), F.array().alias("out")).cast(AUDIT), step, lambda acc: acc["out"])
+
+
 def matched(images: DataFrame, least: float = 0.5, **how) -> DataFrame:
     """images with `match`, the greedy matching at the confidence floor."""
     return images.withColumn("match", greedy_match(F.col("preds"), F.col("gts"), least, **how))
