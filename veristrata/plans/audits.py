@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from veristrata.functions.exprs import iou, ratio
 from veristrata.operators import checks as K
-from veristrata.operators import matching as M
 from veristrata.operators import metrics as X
 from veristrata.operators import stats as S
 from veristrata.operators import windows as N

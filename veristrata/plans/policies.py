@@ -7,13 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veristrata.functions.exprs import iou, ratio
+from veristrata.functions.exprs import iou
 from veristrata.operators import matching as M
 from veristrata.operators import metrics as X
-from veristrata.operators import resample as R
 from veristrata.operators import windows as N
 from veristrata.plans import fixtures as FX
-from veristrata.plans.detection import _NMS_FOLD, _OUTCOMES, _RATIOS, REPORT, _matched, _of_model, _strategies_sql, _strategy_hits, iou_sql, match_sql
+from veristrata.plans.detection import _RATIOS, REPORT, _of_model, _strategies_sql, iou_sql, match_sql
 
 SIDES = ("x0", "y0", "x1", "y1")
 SCALES = (0, 1, 2)
