@@ -127,26 +127,186 @@ def chromatic_mask(rgb: np.ndarray, least: int = 200) -> np.ndarray:
     return rgb.max(axis=2).astype(int) - rgb.min(axis=2) >= least
 
 
-def repair_median(image: np.ndarray, mask: np.ndarray, reach: int = 2) -> np.ndarray:
-    """Masked pixels become the median of unmasked ones within reach; those without any stay."""
+def marks(mask: np.ndarray) -> list[dict]:
+    """8-connected components of a mask, largest first: size, box (ends exclusive), shares of its pixels within one of the box's edge and of the box filled, and whether it looks like a drawn rectangle."""
+    left, out = mask.copy(), []
+    for start in zip(*np.nonzero(mask), strict=True):
+        if not left[start]:
+            continue
+        left[start], todo, held = False, [start], []
+        while todo:
+            y, x = todo.pop()
+            held.append((y, x))
+            part = left[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2]
+            near = np.argwhere(part) + (max(0, y - 1), max(0, x - 1))
+            part[:] = False
+            todo += [tuple(p) for p in near]
+        ys, xs = np.array(held).T
+        top, bottom, first, last = ys.min(), ys.max(), xs.min(), xs.max()
+        width, height = int(last - first + 1), int(bottom - top + 1)
+        edge = float(np.mean((xs - first <= 1) | (last - xs <= 1) | (ys - top <= 1) | (bottom - ys <= 1)))
+        fill = len(held) / (width * height)
+        out.append({"size": len(held), "box": (int(first), int(top), int(last) + 1, int(bottom) + 1), "edge_share": edge, "fill": fill, "rectangle": width >= 4 and height >= 4 and edge >= 0.75 and fill <= 0.65})
+    return sorted(out, key=lambda c: (-c["size"], c["box"]))
+
+
+def palette_statistics(palette_luma: np.ndarray, counts: np.ndarray, qs: tuple[float, ...] = (0.05, 0.5, 0.95)) -> dict[str, float]:
+    """Statistics of an indexed image from how often each palette entry occurs: mean, deviation and quantiles between order statistics."""
+    luma, order = palette_luma.astype(float), np.argsort(palette_luma, kind="stable")
+    total = counts.sum()
+    mean = float((luma * counts).sum() / total)
+    upto = counts[order].cumsum()
+
+    def at(place: float) -> float:
+        lo, hi = (luma[order][np.searchsorted(upto, f(place), side="right")] for f in (np.floor, np.ceil))
+        return float(lo + (hi - lo) * (place - np.floor(place)))
+
+    return {"mean": mean, "std": float(np.sqrt((counts * (luma - mean) ** 2).sum() / total)), **{f"q{round(q * 100)}": at(q * (total - 1)) for q in qs}}
+
+
+def sobel(image: np.ndarray) -> np.ndarray:
+    """Magnitude of the 3 by 3 gradient over 8; the border is mirrored without its own row."""
+    x = np.pad(image.astype(float), 1, mode="reflect")
+    smooth = lambda a, axis: a.take(range(a.shape[axis] - 2), axis) + 2 * a.take(range(1, a.shape[axis] - 1), axis) + a.take(range(2, a.shape[axis]), axis)
+    return np.hypot(smooth(x[:, 2:] - x[:, :-2], 0), smooth(x[2:, :] - x[:-2, :], 1)) / 8
+
+
+def grown(box: tuple[float, float, float, float], factor: float, shape: tuple[int, int]) -> tuple[int, int, int, int]:
+    """A box of `factor` times the sides about the same centre, on whole pixels, cut at the image."""
+    cx, cy, w, h = (box[0] + box[2]) / 2, (box[1] + box[3]) / 2, (box[2] - box[0]) * factor / 2, (box[3] - box[1]) * factor / 2
+    return max(0, int(np.floor(cx - w))), max(0, int(np.floor(cy - h))), min(shape[1], int(np.ceil(cx + w))), min(shape[0], int(np.ceil(cy + h)))
+
+
+def surroundings(shape: tuple[int, int], box: tuple[int, int, int, int], factor: float, mask: np.ndarray | None = None, others: list[tuple[int, int, int, int]] = ()) -> tuple[np.ndarray, dict[str, int]]:
+    """Pixels of the grown box outside the box, without masked ones and those of other boxes; and how many there were, were masked, and lay in others."""
+    inside = lambda b: (slice(max(0, b[1]), max(0, b[3])), slice(max(0, b[0]), max(0, b[2])))
+    out = np.zeros(shape, bool)
+    out[inside(grown(box, factor, shape))] = True
+    out[inside(box)] = False
+    counts = {"candidates": int(out.sum())}
+    if mask is not None:
+        counts["masked"] = int((out & mask).sum())
+        out &= ~mask
+    before = int(out.sum())
+    for other in others:
+        out[inside(other)] = False
+    return out, {"masked": 0, **counts, "in_others": before - int(out.sum())}
+
+
+def local_features(image: np.ndarray, box: tuple[int, int, int, int], factor: float = 2.0, mask: np.ndarray | None = None, others: list[tuple[int, int, int, int]] = (), eps: float = 1e-6) -> dict[str, float]:
+    """An object against its surroundings: differences, contrast to noise, spread and entropy of both sides, gradients and share of edges; nan where a side has no pixels."""
+    mask = np.zeros(image.shape, bool) if mask is None else mask
+    around, _ = surroundings(image.shape, box, factor, mask, others)
+    inner = np.zeros(image.shape, bool)
+    inner[box[1] : box[3], box[0] : box[2]] = True
+    inner &= ~mask
+    if not inner.any() or not around.any():
+        return dict.fromkeys(("signed_mean", "signed_median", "normalised", "cnr_mean", "cnr_robust", "object_iqr", "object_entropy", "object_range", "object_cv", "object_gradient", "background_iqr", "background_entropy", "background_gradient", "edge_density"), float("nan"))
+    a, b, grad = image[inner].astype(float), image[around].astype(float), gradient(image, ~mask)
+    spread = lambda v: float(np.median(np.abs(v - np.median(v))))
+    iqr = lambda v: float(np.subtract(*np.percentile(v, [75, 25])))
+    ga, gb = grad[inner], grad[around]
+    dm, dd = float(a.mean() - b.mean()), float(np.median(a) - np.median(b))
+    return {"signed_mean": dm, "signed_median": dd, "normalised": dd / max(abs(float(np.median(b))), eps), "cnr_mean": abs(dm) / (float(b.std()) + eps), "cnr_robust": abs(dd) / (1.4826 * spread(b) + eps),
+            "object_iqr": iqr(a), "object_entropy": entropy(a), "object_range": float(np.subtract(*np.percentile(a, [90, 10]))), "object_cv": float(a.std()) / max(abs(float(a.mean())), eps), "object_gradient": float(ga.mean()),
+            "background_iqr": iqr(b), "background_entropy": entropy(b), "background_gradient": float(gb.mean()), "edge_density": float((gb > np.median(gb) + 1.4826 * spread(gb)).mean())}
+
+
+def entropy(values: np.ndarray) -> float:
+    """Bits of the distribution of the distinct values."""
+    p = np.unique(values, return_counts=True)[1] / values.size
+    return float(-(p * np.log2(p)).sum())
+
+
+def box_visibility(image: np.ndarray, box: tuple[float, float, float, float], others: list[tuple[float, float, float, float]] = (), least: int = 50, eps: float = 1e-6) -> dict[str, float]:
+    """What can be told of a predicted box without the truth: contrast to the surroundings of twice its sides, and their Sobel gradient; valid with enough of them."""
+    whole = lambda b: (max(0, int(np.floor(b[0]))), max(0, int(np.floor(b[1]))), min(image.shape[1], int(np.ceil(b[2]))), min(image.shape[0], int(np.ceil(b[3]))))
+    x0, y0, x1, y1 = whole(box)
+    around, _ = surroundings(image.shape, (x0, y0, x1, y1), 2.0, None, [whole(b) for b in others])
+    inner, outer = image[y0:y1, x0:x1].astype(float), image[around].astype(float)
+    if not inner.size or not outer.size:
+        return {"contrast": float("nan"), "cnr": float("nan"), "gradient": float("nan"), "valid": False}
+    gx0, gy0, gx1, gy1 = grown((x0, y0, x1, y1), 2.0, image.shape)
+    middle = float(np.median(outer))
+    contrast_ = abs(float(np.median(inner)) - middle)
+    edges = sobel(image[gy0:gy1, gx0:gx1])[around[gy0:gy1, gx0:gx1]]
+    return {"contrast": contrast_, "cnr": contrast_ / (1.4826 * float(np.median(np.abs(outer - middle))) + eps), "gradient": float(edges.mean()), "valid": outer.size >= least}
+
+
+def close3(mask: np.ndarray) -> np.ndarray:
+    """Grown by one pixel in all eight directions, then shrunk again; the image's border stays empty."""
+    around = lambda m: np.lib.stride_tricks.sliding_window_view(m, (3, 3))
+    wide = around(np.pad(mask, 1)).any(axis=(2, 3))
+    out = np.zeros(mask.shape, bool)
+    out[1:-1, 1:-1] = around(wide).all(axis=(2, 3))
+    return out
+
+
+def dark_component(image: np.ndarray, mask: np.ndarray, closed: bool = False) -> tuple[np.ndarray, int]:
+    """The largest component of unmasked pixels at or under the Otsu threshold of the unmasked ones, and that threshold."""
+    at = otsu(image[~mask]) if (~mask).any() else 0
+    dark = ~mask & (image <= at)
+    return largest_component(close3(dark) if closed else dark), at
+
+
+def component_quality(component: np.ndarray) -> dict:
+    """Shares of area, extent and border contact of a component, and what speaks against it as a product's outline."""
+    if not component.any():
+        return {"area": 0.0, "width": 0.0, "height": 0.0, "border": 0.0, "failures": ["empty"]}
+    (h, w), (ys, xs) = component.shape, np.nonzero(component)
+    got = {"area": xs.size / (h * w), "width": int(np.ptp(xs) + 1) / w, "height": int(np.ptp(ys) + 1) / h, "border": float(np.mean((xs == 0) | (ys == 0) | (xs == w - 1) | (ys == h - 1)))}
+    centre = (xs.mean() / w, ys.mean() / h)
+    checks = {"area": 0.08 <= got["area"] <= 0.80, "extent": got["width"] >= 0.25 and got["height"] >= 0.20, "centre": all(0.10 <= c <= 0.90 for c in centre), "border": got["border"] <= 0.02}
+    return {**got, "failures": [name for name, ok in checks.items() if not ok]}
+
+
+def outline(component: np.ndarray) -> np.ndarray:
+    """Pixels of a component beside the image's end or background that reaches it; holes have no outline."""
+    free = np.pad(~component, 1, constant_values=True)
+    outside = np.zeros(free.shape, bool)
+    outside[0, :] = outside[-1, :] = outside[:, 0] = outside[:, -1] = True
+    while True:
+        wider = outside.copy()
+        wider[1:] |= outside[:-1]
+        wider[:-1] |= outside[1:]
+        wider[:, 1:] |= outside[:, :-1]
+        wider[:, :-1] |= outside[:, 1:]
+        wider &= free
+        if (wider == outside).all():
+            break
+        outside = wider
+    return component & (outside[:-2, 1:-1] | outside[2:, 1:-1] | outside[1:-1, :-2] | outside[1:-1, 2:])
+
+
+def component_overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Intersection over union of two masks; nan if both are empty."""
+    either = int((a | b).sum())
+    return int((a & b).sum()) / either if either else float("nan")
+
+
+def repair_median(image: np.ndarray, mask: np.ndarray, reaches: tuple[int, ...] = (2, 4)) -> np.ndarray:
+    """Masked pixels become the median of the unmasked ones within the first reach that has any; those without any stay."""
     out = image.copy()
     for y, x in zip(*np.nonzero(mask), strict=True):
-        part = (slice(max(0, y - reach), y + reach + 1), slice(max(0, x - reach), x + reach + 1))
-        near = image[part][~mask[part]]
-        if near.size:
-            out[y, x] = np.rint(np.median(near))
+        for reach in reaches:
+            part = (slice(max(0, y - reach), y + reach + 1), slice(max(0, x - reach), x + reach + 1))
+            near = image[part][~mask[part]]
+            if near.size:
+                out[y, x] = np.rint(np.median(near))
+                break
     return out
 
 
-def repair_directions(image: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Masked pixels become the mean of the nearest unmasked ones to the left, right, above and below."""
+def repair_directions(image: np.ndarray, mask: np.ndarray, steps: int = 5) -> np.ndarray:
+    """Masked pixels become the mean of the nearest unmasked ones to the left, right, above and below, each at most `steps` away; those without any stay."""
     out = image.copy()
     for y, x in zip(*np.nonzero(mask), strict=True):
+        lines = ((y, slice(None, x), -1), (y, slice(x + 1, None), 1), (slice(None, y), x, -1), (slice(y + 1, None), x, 1))
         found = []
-        for line, clear in ((image[y, :x][::-1], ~mask[y, :x][::-1]), (image[y, x + 1 :], ~mask[y, x + 1 :]), (image[:y, x][::-1], ~mask[:y, x][::-1]), (image[y + 1 :, x], ~mask[y + 1 :, x])):
-            at = np.flatnonzero(clear)
-            if at.size:
-                found.append(float(line[at[0]]))
+        for row, column, way in lines:
+            values, hidden = image[row, column][::way][:steps], mask[row, column][::way][:steps]
+            if (at := np.flatnonzero(~hidden)).size:
+                found.append(float(values[at[0]]))
         if found:
             out[y, x] = np.rint(np.mean(found))
     return out

@@ -53,8 +53,23 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     finite = F.lit(True)
     for n in names:
         finite = finite & F.coalesce(~F.isnan(n) & (F.abs(n) < float("inf")), F.lit(False))
+    ranges = F.coalesce(F.col("cx").between(0, 1) & F.col("cy").between(0, 1) & (F.col("w") > 0) & (F.col("w") <= 1) & (F.col("h") > 0) & (F.col("h") <= 1), F.lit(False))
     inside = F.coalesce((F.col("cx") - F.col("w") / 2 >= -1e-6) & (F.col("cx") + F.col("w") / 2 <= 1 + 1e-6) & (F.col("cy") - F.col("h") / 2 >= -1e-6) & (F.col("cy") + F.col("h") / 2 <= 1 + 1e-6), F.lit(False))
-    return out.withColumn("five_fields", F.col("fields") == 5).withColumn("finite", finite).withColumn("class_ok", F.coalesce(F.col("class_id") == 0, F.lit(False))).withColumn("inside", inside).drop("fields")
+    return out.withColumn("five_fields", F.col("fields") == 5).withColumn("finite", finite).withColumn("class_ok", F.coalesce(F.col("class_id") == 0, F.lit(False))).withColumn("ranges", ranges).withColumn("inside", inside).drop("fields")
+
+
+def label_status(labels: DataFrame) -> DataFrame:
+    """One row for each label file with lines: how many, its classes, whether any line is invalid or out of the image, and OK or REVIEW."""
+    valid = F.col("five_fields") & F.col("finite") & F.col("ranges")
+    per = labels.groupBy("stem").agg(F.count("*").alias("objects"), F.array_join(F.array_sort(F.collect_set(F.when(valid, F.col("class_id").cast("int").cast("string")))), ";").alias("classes"), F.max(~valid).alias("invalid"), F.max(valid & ~F.col("inside")).alias("out_of_bounds"))
+    return per.withColumn("status", F.when(F.col("invalid") | F.col("out_of_bounds"), "REVIEW").otherwise("OK"))
+
+
+def date_conflict(path: Column) -> Column:
+    """Whether the date in a folder's name (serial_date_...) differs from the one in the file's name; false where either lacks one."""
+    folder = F.nullif(F.regexp_extract(path, r"(?:^|/)SN[^_/]+_([0-9]{8})_[^/]*/", 1), F.lit(""))
+    own = file_name_parts(F.regexp_extract(path, r"([^/]*)$", 1))["date"]
+    return F.coalesce(folder != own, F.lit(False))
 
 
 def corners(labels: DataFrame, width: Column, height: Column) -> DataFrame:
