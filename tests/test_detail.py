@@ -2,12 +2,14 @@
 
 import math
 import statistics
+import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from veristrata.functions import pixels as P
+from veristrata.operators import checks as K
 from veristrata.operators import groups as G
 from veristrata.operators import windows as N
 from veristrata.operators import stats as S
@@ -100,6 +102,64 @@ def test_repairs_have_a_reach():
     assert P.repair_directions(image, mask)[7, 3] == image[7, 0]
 
 
+def test_shrunk_image_keeps_places():
+    image = RNG.integers(0, 256, (40, 60)).astype(np.uint8)
+    image[18:22, 28:32] = 255
+    got, left, top = P.shrunk(image)
+    assert got.shape == image.shape and (left, top) == (3, 2) and got[20, 30] == 255
+    assert (got[top : top + 36, left - 1] == got[top : top + 36, left + 1]).all()
+    flat, _, _ = P.shrunk(np.full((10, 10), 7, np.uint8))
+    assert (flat == 7).all()
+
+
+def test_ring_sensitivity_and_choice():
+    image = RNG.integers(98, 103, (60, 60))
+    image[25:35, 25:35] = 20
+    rows = P.ring_sensitivity(image, (25, 25, 35, 35), (1.2, 2.0, 3.0))
+    assert [r["valid"] for r in rows] == [12 * 12 - 100, 300, 800] and rows[1]["from_reference"] == 0 and [r["reliable"] for r in rows] == [False, True, True]
+    assert P.choose_ring(rows) == 2.0 and P.choose_ring(rows[:1]) == 1.2
+    assert P.ring_sensitivity(image, (0, 0, 10, 10), (2.0,))[0]["clipped"] > 0.4
+
+
+def test_repair_effects_and_changed_histograms():
+    image = RNG.integers(98, 103, (30, 30)).astype(np.uint8)
+    mask = np.zeros(image.shape, bool)
+    mask[10, 5:20] = True
+    marked = np.where(mask, 255, image).astype(np.uint8)
+    fixed = P.repair_median(marked, mask)
+    got = P.repair_effects(marked, fixed, mask)
+    assert got["changed_outside"] == 0 and got["leak_before"] == 1 and got["leak_after"] == 0 and got["gradient_shift"] > 10
+    region = np.zeros(image.shape, bool)
+    region[5:15, 8:30] = True
+    counts = P.updated_histogram(np.bincount(marked[region], minlength=256), marked, fixed, mask, region)
+    assert (counts == np.bincount(fixed[region], minlength=256)).all()
+
+
+def test_frozen_files(spark):
+    files = spark.createDataFrame([("a", "11"), ("b", "22")], "stem string, sha256 string")
+    K.frozen(files, {"a": "11"})
+    with pytest.raises(ValueError, match="b; c"):
+        K.frozen(files, {"a": "11", "b": "23", "c": "1"})
+
+
+def bmp(image):
+    h, w = image.shape
+    rows = b"".join(bytes(r) + b"\0" * (-w % 4) for r in image[::-1])
+    table = b"".join(bytes([k, k, k, 0]) for k in range(256))
+    head = 54 + len(table)
+    return b"BM" + struct.pack("<IHHI", head + len(rows), 0, 0, head) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 8, 0, len(rows), 0, 0, 256, 0) + table + rows
+
+
+def test_boundary_audit(spark):
+    good, bad = np.full((40, 40), 220, np.uint8), np.full((40, 40), 220, np.uint8)
+    good[8:32, 8:32] = 40
+    bad[0:4, 0:4] = 40
+    df = spark.createDataFrame([("good", bytearray(bmp(good))), ("bad", bytearray(bmp(bad)))], "path string, content binary")
+    got = {r.path: r for r in P.boundary_audit(df).collect()}
+    assert got["good"].passes and got["good"].overlap == 1.0 and got["good"].outline == 92
+    assert not got["bad"].passes and "area" in got["bad"].failures
+
+
 def test_label_status_and_date_conflicts(spark, tmp_path):
     (tmp_path / "a.txt").write_text("0 0.5 0.5 0.2 0.2\n0 0.9 0.5 0.4 0.2\n")
     (tmp_path / "b.txt").write_text("0 0.5 0.5 0.2 0.2\n")

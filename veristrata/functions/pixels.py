@@ -406,3 +406,82 @@ def usable(mask: np.ndarray, masked: np.ndarray, least: int = 30, most: float =
     inside = int(mask.sum())
     hidden = int((mask & masked).sum())
     return inside - hidden >= least and hidden <= most * inside
+
+
+def shrunk(image: np.ndarray, scale: float = 0.9) -> tuple[np.ndarray, int, int]:
+    """The image scaled down between pixel centres, in the middle of a canvas of its old size whose rest mirrors it; and the canvas's left and top margins."""
+    height, width = image.shape
+    h, w = max(1, round(height * scale)), max(1, round(width * scale))
+
+    def along(values: np.ndarray, size: int, axis: int) -> np.ndarray:
+        place = np.clip((np.arange(size) + 0.5) * values.shape[axis] / size - 0.5, 0, values.shape[axis] - 1)
+        low = np.floor(place).astype(int)
+        share = (place - low).reshape((-1, 1) if axis == 0 else (1, -1))
+        return values.take(low, axis) * (1 - share) + values.take(np.minimum(low + 1, values.shape[axis] - 1), axis) * share
+
+    small = along(along(image.astype(float), h, 0), w, 1)
+    left, top = (width - w) // 2, (height - h) // 2
+    canvas = np.pad(small, ((top, height - h - top), (left, width - w - left)), mode="reflect")
+    return np.rint(canvas).astype(image.dtype), left, top
+
+
+def ring_sensitivity(image: np.ndarray, box: tuple[int, int, int, int], factors: tuple[float, ...], mask: np.ndarray | None = None, others: list[tuple[int, int, int, int]] = (), reference: float = 2.0, least: int = 50) -> list[dict]:
+    """One row for each size of the surroundings: pixels, share cut off by the image, middle and its distance from the reference's, contrast, and whether there are enough."""
+    def row(factor: float) -> dict:
+        around, counts = surroundings(image.shape, box, factor, mask, others)
+        outer = image[around].astype(float)
+        middle = float(np.median(outer)) if outer.size else float("nan")
+        full = (box[2] - box[0]) * (box[3] - box[1]) * (factor**2 - 1)
+        inner = float(np.median(image[box[1] : box[3], box[0] : box[2]]))
+        return {"factor": factor, "valid": int(outer.size), **counts, "clipped": max(0.0, 1 - counts["candidates"] / full) if full > 0 else 0.0, "median": middle, "contrast": abs(inner - middle), "reliable": outer.size >= least}
+
+    rows = [row(f) for f in factors]
+    at = row(reference)["median"]
+    return [{**r, "from_reference": abs(r["median"] - at)} for r in rows]
+
+
+def choose_ring(rows: list[dict]) -> float:
+    """The smallest size that is reliable for 95 % of objects, has 100 pixels in the middle and stays within 2 of the reference; else the most reliable, least clipped, smallest one."""
+    sizes = sorted({r["factor"] for r in rows})
+    of = {f: [r for r in rows if r["factor"] == f] for f in sizes}
+    middle = lambda f, name: float(np.median([r[name] for r in of[f]]))
+    share = {f: float(np.mean([r["reliable"] for r in of[f]])) for f in sizes}
+    good = [f for f in sizes if share[f] >= 0.95 and middle(f, "valid") >= 100 and middle(f, "from_reference") <= 2.0]
+    return good[0] if good else max(sizes, key=lambda f: (share[f], -middle(f, "clipped"), -f))
+
+
+def repair_effects(image: np.ndarray, repaired: np.ndarray, mask: np.ndarray) -> dict[str, float]:
+    """What a repair did: pixels changed outside the mask, how far masked pixels still stand out from their neighbours before and after, and the change of gradients beside the mask."""
+    beside = np.lib.stride_tricks.sliding_window_view(np.pad(mask, 1), (3, 3)).any(axis=(2, 3)) & ~mask
+    kept = float((repaired[~mask] != image[~mask]).mean()) if (~mask).any() else 0.0
+    if not mask.any() or not beside.any():
+        return {"changed_outside": kept, "leak_before": 0.0, "leak_after": 0.0, "gradient_shift": 0.0}
+    near = image[beside].astype(float)
+    noise = max(1.0, 1.4826 * float(np.median(np.abs(near - np.median(near)))))
+    leak = lambda x: float((np.abs(x[mask].astype(float) - np.median(near)) > 3 * noise).mean())
+    return {"changed_outside": kept, "leak_before": leak(image), "leak_after": leak(repaired), "gradient_shift": float(np.abs(gradient(repaired)[beside] - gradient(image)[beside]).mean())}
+
+
+def updated_histogram(counts: np.ndarray, image: np.ndarray, changed: np.ndarray, mask: np.ndarray, region: np.ndarray) -> np.ndarray:
+    """Counts of a region's values in another representation that differs from the image under the mask alone: only those pixels are read."""
+    at = mask & region
+    return counts - np.bincount(image[at], minlength=256) + np.bincount(changed[at], minlength=256)
+
+
+def boundary_audit(files: DataFrame) -> DataFrame:
+    """For BMP files (path, content) the dark outline with and without closing: overlap of both, quality of each, and whether both pass and agree."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "overlap", "area", "border", "failures", "outline", "passes"]
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                image = decode_bmp(content)
+                none = np.zeros(image.shape, bool)
+                (raw, _), (closed, _) = dark_component(image, none), dark_component(image, none, closed=True)
+                quality = component_quality(closed)
+                overlap = component_overlap(raw, closed)
+                rows.append((path, overlap, quality["area"], quality["border"], ";".join(quality["failures"]), int(outline(closed).sum()), not quality["failures"] and not component_quality(raw)["failures"] and overlap >= 0.9))
+            yield pd.DataFrame(rows, columns=names)
+
+    return files.select("path", "content").mapInPandas(task, "path string, overlap double, area double, border double, failures string, outline int, passes boolean")

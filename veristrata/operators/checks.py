@@ -54,3 +54,11 @@ def reproduces(got: DataFrame, expected: DataFrame, key: str, value: str, rel: f
     both = expected.select(key, F.col(value).alias("expected")).join(got.select(key, F.col(value).alias("got")), key, "left")
     near = F.abs(F.col("got") - F.col("expected")) <= F.lit(rel) * F.greatest(F.abs("got"), F.abs("expected"), F.lit(1.0))
     return both.withColumn("ok", F.coalesce(near, F.lit(False)))
+
+
+def frozen(files: DataFrame, expected: dict[str, str]) -> None:
+    """Raises unless every named file (stem, sha256) is there with the hash it was frozen with; `expected` is a short list."""
+    got = {r.stem: r.sha256 for r in files.where(F.col("stem").isin(list(expected))).select("stem", "sha256").collect()}  # one row for each name
+    bad = sorted(name for name, digest in expected.items() if got.get(name) != digest)
+    if bad:
+        raise ValueError("changed or lacking: " + "; ".join(bad))

@@ -112,15 +112,6 @@ def tile_labels(spark, d):
     return g.where((cx1 > cx0) & (cy1 > cy0)).select("img", "gt_index", F.col("t.x").alias("tx"), F.col("t.y").alias("ty"), (cx0 - F.col("t.x")).alias("lx0"), (cy1 - F.col("t.y")).alias("ly1"), F.round(kept, 9).alias("retained"), (kept >= 1).alias("whole"))
 
 
-def patch_fusion(spark, d):
-    """Predictions cut out of two half images, moved back to the source and fused by suppression."""
-    images = FX.images(spark, d, 0)
-    local = F.transform("preds", lambda p: F.struct(p["i"].alias("i"), p["conf"].alias("conf"), F.when(p["x0"] >= 32, 1).otherwise(0).alias("model"), (p["x0"] - F.when(p["x0"] >= 32, 32.0).otherwise(0.0)).alias("x0"), p["y0"].alias("y0"), (p["x1"] - F.when(p["x0"] >= 32, 32.0).otherwise(0.0)).alias("x1"), p["y1"].alias("y1")))
-    source = F.transform("local", lambda p: F.struct(p["i"].alias("i"), p["conf"].alias("conf"), p["model"].alias("model"), (p["x0"] + p["model"] * 32.0).alias("x0"), p["y0"].alias("y0"), (p["x1"] + p["model"] * 32.0).alias("x1"), p["y1"].alias("y1")))
-    rows = images.withColumn("local", local).withColumn("kept", M.union_nms(source, 0.6, by_model=False))
-    return rows.select("img", F.size("preds").alias("before"), F.size("kept").alias("after"))
-
-
 def refine_policy(spark, d):
     """Model 0 candidates confirmed, refined or both by their best model 1 box."""
     rows = FX.images(spark, d).select("img", F.explode(F.filter("preds", lambda p: p["model"] == 0)).alias("p"), F.filter("preds", lambda q: q["model"] == 1).alias("local"))
@@ -253,7 +244,7 @@ def fitness_by_step(spark, d):
     return best_epoch(X.sweep(_matched(spark, d), STEPS), "precision", "recall", "threshold_id")
 
 
-QUERIES = [scheme_selection, fitness_by_step, geometry_columns, box_transforms, candidate_geometry, nearest_candidate, strategy_chain, quintile_bins, factor_table, outcome_quantiles, worst_patterns, fp_concentration, gt_count_distribution, tile_labels, patch_fusion,
+QUERIES = [scheme_selection, fitness_by_step, geometry_columns, box_transforms, candidate_geometry, nearest_candidate, strategy_chain, quintile_bins, factor_table, outcome_quantiles, worst_patterns, fp_concentration, gt_count_distribution, tile_labels,
            refine_policy, rescue_trajectory, routing_burden, composite_risk, instability, detect_reinspect_grid, policy_invariance, best_configuration, budget_reaches, case_table, duplicate_collapse, bootstrap_gap, bootstrap_median, stable_shift]
 
 _TOP = FX.FX + ", i AS (SELECT DISTINCT img FROM fx_obj), t AS (SELECT i.img, count(p.conf) AS cnt, max(p.conf) AS top FROM i LEFT JOIN fx_pred p ON p.img = i.img GROUP BY i.img)"
@@ -280,7 +271,6 @@ SELECT *, CASE WHEN bin = (SELECT bin FROM q ORDER BY rate DESC, n DESC, bin LIM
     "gt_count_distribution": FX.FX + ", c AS (SELECT o.img, (SELECT count(*) FROM fx_gt g WHERE g.img = o.img)::INT AS n_gt FROM (SELECT DISTINCT img FROM fx_obj) o) SELECT n_gt, count(*) AS images FROM c GROUP BY n_gt",
     "tile_labels": FX.FX + """, t AS (SELECT a.x AS tx, b.x AS ty FROM (VALUES (0), (24), (32)) a(x), (VALUES (0), (24), (32)) b(x)), c AS (SELECT img, gt_index, tx, ty, greatest(x0, tx) AS cx0, greatest(y0, ty) AS cy0, least(x1, tx + 32) AS cx1, least(y1, ty + 32) AS cy1, (x1 - x0) * (y1 - y0) AS area FROM fx_gt, t)
 SELECT img, gt_index, tx, ty, cx0 - tx AS lx0, cy1 - ty AS ly1, round((cx1 - cx0) * (cy1 - cy0) / area::DOUBLE, 9) AS retained, (cx1 - cx0) * (cy1 - cy0) / area::DOUBLE >= 1 AS whole FROM c WHERE cx1 > cx0 AND cy1 > cy0""",
-    "patch_fusion": FX.FX + f", pl AS (SELECT img, list(struct_pack(i := pred_index, conf := conf, model := model, x0 := x0::DOUBLE, y0 := y0::DOUBLE, x1 := x1::DOUBLE, y1 := y1::DOUBLE) ORDER BY conf DESC, pred_index) AS preds FROM fx_pred WHERE model = 0 GROUP BY img) SELECT img, len(preds)::INT AS \"before\", len({_NMS_FOLD.format(iou=iou_sql('acc[n]', 'p'), least='0.6')})::INT AS \"after\" FROM pl",
     "refine_policy": FX.FX + f""", b AS (SELECT p.img, p.pred_index, p.conf, max(struct_pack(iou := {iou_sql('p', 'q')}, conf := q.conf)) FILTER (WHERE q.conf IS NOT NULL) AS b FROM fx_pred p LEFT JOIN fx_pred q ON p.img = q.img AND q.model = 1 WHERE p.model = 0 GROUP BY ALL)
 SELECT CASE WHEN b.iou >= 0.3 AND b.conf > x.conf THEN 'BOTH' WHEN b.iou >= 0.3 THEN 'CONFIRM' WHEN b IS NULL THEN 'NO_LOCAL' ELSE 'KEEP' END AS action, count(*) AS n, round(avg(x.conf), 9) AS mean_conf FROM b x GROUP BY 1""",
     "rescue_trajectory": match_sql() + ", s AS (SELECT " + ", ".join(f"len(list_filter(m, lambda x: x.j = g.j AND x.conf >= {c})) > 0 AS at_{k}" for k, c in enumerate((0.5, 0.25, 0.1))) + " FROM (SELECT *, unnest(gts) AS g FROM matched)) SELECT CASE WHEN at_0 THEN 0 WHEN at_1 THEN 1 WHEN at_2 THEN 2 END AS \"first\", at_0 = at_1 AND at_1 = at_2 AS stable, count(*) AS n FROM s GROUP BY ALL",

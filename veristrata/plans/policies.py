@@ -291,5 +291,8 @@ sel AS MATERIALIZED (SELECT rule, budget, img, pred_index FROM ranked, (VALUES (
 per AS (SELECT rule, budget, img, count(*) AS n, list(pred_index) AS chosen FROM sel GROUP BY ALL)
 SELECT rule, budget, sum(n)::BIGINT AS routed, count(*) AS images, sum(covered)::BIGINT AS covered, sum(rescuable)::BIGINT AS rescuable, sum(direct)::BIGINT AS direct, sum(direct_rescuable)::BIGINT AS direct_rescuable FROM
  (SELECT rule, budget, img, n, count(m.img) AS covered, count_if(m.saved) AS rescuable, count_if(list_contains(chosen, m.own)) AS direct, count_if(m.saved AND list_contains(chosen, m.own)) AS direct_rescuable FROM per LEFT JOIN missed m USING (img) GROUP BY rule, budget, img, n) GROUP BY rule, budget""").replace("list_transform(m, lambda x: x.j)", f"list_transform(list_filter(m, lambda x: x.conf >= {REPORT}), lambda x: x.j)"),
+    # two queries of the detection plans that pair boxes one to one
+    "global_pairs": _VIEWS.replace("WHERE iou > 0 GROUP", "WHERE iou >= 0.5 GROUP") + " SELECT img, m.ai AS a, m.bi AS b, round(m.iou, 9) AS iou FROM gm WHERE k = 0",
+    "instability": _VIEWS + ", r AS (SELECT a.img, a.conf, coalesce(g.m.iou, 0) AS iou, coalesce(t.conf, 0) AS conf2 FROM a LEFT JOIN (SELECT * FROM gm WHERE k = 0) g ON g.img = a.img AND g.m.ai = a.pred_index LEFT JOIN t ON t.k = 0 AND t.img = a.img AND t.pred_index = g.m.bi) SELECT img % 10 AS shard, count(*) AS n, count_if(iou = 0)::BIGINT AS unmatched, round(avg(iou), 6) AS mean_iou, round(avg(abs(conf - conf2)), 6) AS mean_shift FROM r GROUP BY 1",
     "two_model_pairs": _VIEWS + " SELECT img, m.ai AS a, m.bi AS b, round(m.iou, 9) AS iou FROM gm WHERE k = 0",
 }
