@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from veristrata.functions import pixels as P
 from veristrata.operators import checks as K
 from veristrata.operators import groups as G
-from veristrata.operators import windows as N
+from veristrata.operators import resample as R
 from veristrata.operators import stats as S
+from veristrata.operators import windows as N
 from veristrata.sources import tables as T
 
 RNG = np.random.default_rng(4)
@@ -221,3 +222,30 @@ def test_running_sums_and_cuts_of_empty_and_tied_values(spark):
     values = spark.createDataFrame([(1.0,), (1.0,), (2.0,), (None,), (10.0,)], "v double")
     assert S.quantile_cuts(values, "v", [0.0, 0.25, 0.5, 0.9, 1.0]).first().cuts == pytest.approx([1.0, 1.5, 7.6, 10.0])
     assert S.quantile_cuts(values.limit(0), "v", [0.5]).first().cuts == []
+
+
+def test_logistic_stability_against_refits(spark):
+    rng = np.random.default_rng(2)
+    x, c = rng.normal(size=(240, 2)), rng.integers(0, 6, 240)
+    y = (rng.random(240) < 1 / (1 + np.exp(-(1.2 * x[:, 0] + 0.05 * x[:, 1])))).astype(int)
+    df = spark.createDataFrame([(float(a), float(b), int(k), int(g)) for (a, b), k, g in zip(x, y, c, strict=True)], "a double, b double, y int, c int")
+    got = {r.feature: (r.coefficient, r.same_sign) for r in R.logistic_stability(df, ["a", "b"], "y", "c", 6, 8).collect()}
+    z = np.c_[np.ones(240), (x - x.mean(0)) / x.std(0)]
+
+    def refit(w):
+        beta, ridge = np.zeros(3), np.diag([0.0, 1.0, 1.0])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-z @ beta))
+            beta = beta - np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (w * (p - y)) + ridge @ beta)
+        return beta
+
+    def drawn(rep, k):
+        v = (rep * 7919 + k * 104729 + 7) % R.LCG_M
+        for _ in range(2):
+            v = (v * R.LCG_A + R.LCG_C) % R.LCG_M
+        return v % 6
+
+    full = refit(np.ones(240))
+    each = [refit(np.bincount([drawn(rep, k) for k in range(6)], minlength=6)[c].astype(float)) for rep in range(8)]
+    for k, name in ((1, "a"), (2, "b")):
+        assert got[name] == pytest.approx((full[k], np.mean([np.sign(e[k]) == np.sign(full[k]) for e in each])), abs=1e-5)

@@ -146,6 +146,12 @@ def hash_conflicts(spark, d):
     return per.select("lang", "chars", "files", status.alias("status"), F.when(F.col("hashes") == 1, F.col("first")).alias("canonical"), F.when(F.col("hashes") > 1, F.col("hashes")).otherwise(1).alias("logical"))
 
 
+def logistic_stability(spark, d):
+    """Penalised logistic coefficients of three features, and how often their signs hold over resampled clusters."""
+    li = read(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("quantity"), F.col("l_discount").cast("double").alias("discount"), F.col("l_tax").cast("double").alias("tax"), (F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_orderkey") % 60).alias("cluster"))
+    return R.logistic_stability(li, ["quantity", "discount", "tax"], "y", "cluster", 60)
+
+
 FEATURES = ("l_quantity", "l_discount", "l_tax", "l_extendedprice")
 
 
@@ -268,7 +274,7 @@ def local_geometry(spark, d):
                        _q9(F.hypot(px - qx, py - qy) / F.hypot(F.col("p.x1") - F.col("p.x0"), F.col("p.y1") - F.col("p.y0"))).alias("distance"), _q9(size("q") / size("p")).alias("area_ratio"))
 
 
-QUERIES = [fusion_grid_paired, fused_contributors, nms_audit, capped_union, strategy_matrix, strategy_cells, bootstrap_effects, bootstrap_median_difference, outcome_differences, case_rows, isolated_sessions, hash_conflicts, object_balance, vector_folds,
+QUERIES = [fusion_grid_paired, fused_contributors, nms_audit, capped_union, strategy_matrix, strategy_cells, bootstrap_effects, bootstrap_median_difference, outcome_differences, case_rows, isolated_sessions, hash_conflicts, object_balance, vector_folds, logistic_stability,
            tile_audit, tile_checks, coverage_grid, tile_remap, letterbox, inverse_augments, edge_distances, local_geometry]
 
 _REST = match_sql()[match_sql().index(",\ngl AS"):]
