@@ -129,6 +129,11 @@ def case_rows(spark, d):
     return placed.select("img", "gt_index", "fold_id", "error_type", "area", F.when(F.col("count") == 0, "other").otherwise(F.array_join("held", "|")).alias("conditions"), "count", "place")
 
 
+def top_cases(spark, d):
+    """The twelve first misses: most conditions, then the smallest."""
+    return case_rows(spark, d).where("place <= 12")
+
+
 # ---------------------------------------------------------------- sessions, copies, folds
 def isolated_sessions(spark, d):
     """Gap sessions of a user's day; events without a usable time are sessions of their own."""
@@ -274,7 +279,7 @@ def local_geometry(spark, d):
                        _q9(F.hypot(px - qx, py - qy) / F.hypot(F.col("p.x1") - F.col("p.x0"), F.col("p.y1") - F.col("p.y0"))).alias("distance"), _q9(size("q") / size("p")).alias("area_ratio"))
 
 
-QUERIES = [fusion_grid_paired, fused_contributors, nms_audit, capped_union, strategy_matrix, strategy_cells, bootstrap_effects, bootstrap_median_difference, outcome_differences, case_rows, isolated_sessions, hash_conflicts, object_balance, vector_folds, logistic_stability,
+QUERIES = [fusion_grid_paired, fused_contributors, nms_audit, capped_union, strategy_matrix, strategy_cells, bootstrap_effects, bootstrap_median_difference, outcome_differences, case_rows, top_cases, isolated_sessions, hash_conflicts, object_balance, vector_folds, logistic_stability,
            tile_audit, tile_checks, coverage_grid, tile_remap, letterbox, inverse_augments, edge_distances, local_geometry]
 
 _REST = match_sql()[match_sql().index(",\ngl AS"):]
@@ -339,3 +344,4 @@ SELECT img, len(a)::INT AS found, len(list_filter(a, lambda x: x.w IS NULL))::IN
     "local_geometry": FX.FX + f""", j AS (SELECT p.img, p.pred_index AS a, q.pred_index AS b, {iou_sql('p', 'q')} AS iou, (p.x0 + p.x1) / 2.0::DOUBLE AS px, (p.y0 + p.y1) / 2.0::DOUBLE AS py, (q.x0 + q.x1) / 2.0::DOUBLE AS qx, (q.y0 + q.y1) / 2.0::DOUBLE AS qy, p, q FROM fx_pred p JOIN fx_pred q ON p.img = q.img AND p.model = 0 AND q.model = 1)
 SELECT img, a, b, round(iou, 9) AS iou, qx BETWEEN p.x0 AND p.x1 AND qy BETWEEN p.y0 AND p.y1 AS b_in_a, px BETWEEN q.x0 AND q.x1 AND py BETWEEN q.y0 AND q.y1 AS a_in_b, round(sqrt((px - qx) ** 2 + (py - qy) ** 2) / sqrt(((p.x1 - p.x0) ** 2 + (p.y1 - p.y0) ** 2)::DOUBLE), 9) AS distance, round((q.x1 - q.x0) * (q.y1 - q.y0) / ((p.x1 - p.x0) * (p.y1 - p.y0))::DOUBLE, 9) AS area_ratio FROM j WHERE iou > 0""",
 }
+ORACLES["top_cases"] = f"SELECT * FROM ({ORACLES['case_rows']}) WHERE place <= 12"
