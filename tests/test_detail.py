@@ -249,3 +249,15 @@ def test_logistic_stability_against_refits(spark):
     each = [refit(np.bincount([drawn(rep, k) for k in range(6)], minlength=6)[c].astype(float)) for rep in range(8)]
     for k, name in ((1, "a"), (2, "b")):
         assert got[name] == pytest.approx((full[k], np.mean([np.sign(e[k]) == np.sign(full[k]) for e in each])), abs=1e-5)
+
+
+def test_fold_assignment_against_a_plain_form(spark):
+    sizes = {g: int(n) for g, n in enumerate(np.random.default_rng(6).integers(1, 30, 25))}
+    held, want = [0, 0, 0, 0], {}
+    for g in sorted(sizes, key=lambda g: (-sizes[g], g)):
+        cost = [sum((held[k] + sizes[g] * (k == f) - sum(sizes.values()) / 4) ** 2 for k in range(4)) for f in range(4)]
+        best = min(range(4), key=lambda f: (cost[f], held[f], f))
+        held[best] += sizes[g]
+        want[g] = best + 1
+    df = spark.createDataFrame(list(sizes.items()), "group_id long, size long")
+    assert {r.group_id: r.fold_id for r in G.assign_folds(df).collect()} == want
