@@ -2,11 +2,14 @@
 
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veristrata.llm import exact_dedup, jaccard_join, mixing, token_counts
+from veristrata.llm import exact_dedup, jaccard_join, mixing, token_counts, wordhash
 from veristrata.llm.queries import tokenizer_path
 
 CLASH = "doc_id long, text string, lang string, source string, _vs_id string, _vs_digest long, _vs_row long, _vs_copies long, run string, digest string, node long"
@@ -90,3 +93,31 @@ def test_token_table_and_caches(spark):
         got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, path).collect()}
         assert got == {k: len(lib.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(texts)}
     assert token_counts.token_counts(docs.limit(0), path).collect() == []
+
+
+def test_heavy_shingles_are_the_most_frequent(spark):
+    """Of 70 shingles 30 stand in 40 texts each, the others in 8; however they fall on 16 shards, none of the 30 is lost."""
+    starts = [" ".join(f"w{k}x{j}" for j in range(5)) for k in range(70)]
+    rows = [(k, f"{t} end{k}x{n}") for k, t in enumerate(starts) for n in range(40 if k < 30 else 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    top = [int(x[0] >> np.uint64(24)) for x in jaccard_join.shingle_sets(*wordhash.buffers(pa.array(starts)))]
+
+    def got(most):
+        return jaccard_join._unpack(np.frombuffer(jaccard_join.heavy_shingles(docs, 5, 16, 3, most), np.uint8), 5).tolist()
+
+    assert got(1000) == sorted(top)
+    assert got(30) == sorted(top[:30])
+    assert set(top[:30]) <= set(got(50)) <= set(top) and len(got(50)) <= 50
+    assert jaccard_join.heavy_shingles(docs.limit(0), 5, 16, 3) == b""
+
+
+def test_heavy_shingles_on_the_driver(spark):
+    """The driver holds the 5 bytes of a heavy shingle, and no tables beside them."""
+    docs = spark.range(300).selectExpr("id AS doc_id", "array_join(transform(sequence(0, 1003), i -> concat(id, 'x', i)), ' ') AS text")
+    tracemalloc.start()
+    try:
+        found = jaccard_join.heavy_shingles(docs, 5, 16, 1, 1 << 20)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) == 5 * 300_000 and peak < 4 * len(found)

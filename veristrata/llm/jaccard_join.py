@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -103,10 +103,12 @@ def _by_shard(shard: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes]
         yield int(shard[a]), rows[a:b].tobytes()
 
 
-def heavy_shingles(docs: DataFrame, words: int, shards: int, long_list: int = LONG, most: int = LEAST_HEAVY) -> np.ndarray:
-    """The top 40 bits of shingles in about long_list different sets or more, the `most` most frequent of them, sorted.
+def heavy_shingles(docs: DataFrame, words: int, shards: int, long_list: int = LONG, most: int = LEAST_HEAVY) -> bytearray:
+    """The top 40 bits of shingles in about long_list different sets or more, the `most` most frequent of them, sorted, 5 bytes each.
 
-    Different sets are counted by a bitmap of 64 bits in which a set has one place, so that copies of one text count once.
+    Different sets are counted by a bitmap of 64 bits in which a set has one place, so that copies of one text count once. Shards are ranges
+    of hashes and stay in the shared folder. The driver reads how many shingles have each count, sets the cut, and then gets what is
+    above it in the order of shards, already sorted: it holds the 5 bytes of each and no more.
     """
     taken = round(64 * (1 - (63 / 64) ** long_list))  # places that so many sets are expected to take
 
@@ -122,7 +124,7 @@ def heavy_shingles(docs: DataFrame, words: int, shards: int, long_list: int = LO
                 at = np.flatnonzero((np.bitwise_count(bits) > 1) == many)
                 place = bits[at] if many else np.bitwise_count(bits[at] - np.uint64(1)).astype(np.uint64)
                 packed = np.concatenate([_pack(keys[at], 5), _pack(place, 8 if many else 1)], axis=1)
-                rows += [(s, many, blob) for s, blob in _by_shard((keys[at] % np.uint64(shards)).astype(np.int64), packed)]
+                rows += [(s, many, blob) for s, blob in _by_shard(((keys[at] * np.uint64(shards)) >> np.uint64(40)).astype(np.int64), packed)]
             held.clear()
             places.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "many", "blob"])
@@ -149,14 +151,39 @@ def heavy_shingles(docs: DataFrame, words: int, shards: int, long_list: int = LO
         found, bits = _merge_bits(np.concatenate(keys), np.concatenate(bits))
         n = np.bitwise_count(bits)
         keep = np.flatnonzero(n >= taken)
-        keep = keep[np.argsort(-n[keep].astype(np.int64), kind="stable")][: 2 * max(1, most // shards)]  # a shard may have twice its share
         packed = np.concatenate([_pack(found[keep], 5), n[keep].astype(np.uint8)[:, None]], axis=1)
-        return pa.Table.from_arrays([pa.array([packed.tobytes()], pa.binary())], names=["blob"])
+        return pa.Table.from_arrays([rows.column("shard")[:1], pa.array([packed.tobytes()], pa.binary())], names=["shard", "blob"])
 
-    parts = docs.select("doc_id", "text").mapInArrow(count, "shard int, many boolean, blob binary").groupBy("shard").applyInArrow(total, "blob binary").collect()
-    rows = np.concatenate([np.zeros((0, 6), np.uint8), *[np.frombuffer(r.blob, np.uint8).reshape(-1, 6) for r in parts]])
-    rows = rows[np.argsort(-rows[:, 5].astype(np.int64), kind="stable")[:most]]
-    return np.sort(_unpack(rows[:, :5].ravel(), 5))
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(65, np.int64)
+        for batch in batches:
+            for blob in batch.column(1):
+                held += np.bincount(np.frombuffer(blob.as_buffer(), np.uint8)[5::6], minlength=65)
+        yield pa.RecordBatch.from_arrays([pa.array(range(65), pa.int32()), pa.array(held, pa.int64())], names=["n", "k"])
+
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = []
+            for blob in batch.column(1):
+                raw = np.frombuffer(blob.as_buffer(), np.uint8).reshape(-1, 6)
+                keep, tied = raw[:, 5] > cut, np.flatnonzero(raw[:, 5] == cut)
+                keep[tied[: room * tied.size // ties]] = True
+                blobs.append(raw[keep, :5].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["shard", "blob"])
+
+    parts = docs.select("doc_id", "text").mapInArrow(count, "shard int, many boolean, blob binary").groupBy("shard").applyInArrow(total, "shard int, blob binary")
+    parts = materialize(parts, "jac-heavy")
+    cut, room, ties = 0, most, 1
+    for r in sorted(parts.mapInArrow(numbers, "n int, k long").groupBy("n").agg(F.sum("k").alias("k")).collect(), reverse=True):  # at most 65 rows
+        if r.k > room:  # of shingles at the cut, each shard gives its share
+            cut, ties = r.n, r.k
+            break
+        room -= r.k
+    packed = bytearray()
+    for r in parts.mapInArrow(above, "shard int, blob binary").orderBy("shard").toLocalIterator():
+        packed += r.blob
+    drop_tables(parts)
+    return packed
 
 
 def _merge_bits(keys: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,13 +212,12 @@ def node_of(s: np.ndarray, salt: int) -> tuple[int, int]:
     return int(H.mix(np.array([np.bitwise_xor.reduce(mixed) + np.uint64(s.size)]))[0].astype(np.int64)), int(np.sum(mixed).astype(np.int64))
 
 
-def _index(docs: DataFrame, heavy: np.ndarray, words: int, similarity: int, shards: int, salt: int, long_list: int, keyed: bool) -> DataFrame:
+def _index(docs: DataFrame, heavy: Broadcast, words: int, similarity: int, shards: int, salt: int, long_list: int, keyed: bool) -> DataFrame:
     """Rows of three kinds. 0: a document (a: doc_id, b: node, c: second hash of the set, d: size, e: heavy elements in the prefix, blob: digest of the text if keyed).
     1: a candidate list (a: node, blob: other nodes and occurrences). 2: a heavy posting (a: shingle, b: node)."""
-    shared = docs.sparkSession.sparkContext.broadcast(_pack(heavy, 5).tobytes())
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = _unpack(np.frombuffer(shared.value, np.uint8), 5)
+        last = _unpack(np.frombuffer(heavy.value, np.uint8), 5)
         grams: list[np.ndarray] = []
         nodes: list[np.ndarray] = []
         documents: list[tuple] = []
@@ -375,20 +401,29 @@ def _tidy(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def _sets_of(docs: DataFrame, chosen: DataFrame, words: int, salt: int) -> DataFrame:
-    """node, blob of the sets of chosen (doc_id, node); texts are found by a filter on ids before they are joined."""
+def _id_filter(chosen: DataFrame, slices: int = 8) -> np.ndarray:
+    """Filter on the doc_id of chosen; what tasks have found is merged by slices, so the driver gets one filter."""
     size = min(ID_FILTER_BITS, 1 << max(16, (12 * chosen.count()).bit_length()))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(size // 8, np.uint8)
         for batch in batches:
             held |= Bloom.build(id_keys(batch.column(0).to_numpy()).ravel(), size)
-        yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], names=["held"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([x.tobytes() for x in np.split(held, slices)], pa.binary())], names=["slice", "held"])
 
-    held = np.zeros(size // 8, np.uint8)
-    for r in chosen.select("doc_id").coalesce(8).mapInArrow(build, "held binary").collect():
-        held |= np.frombuffer(r.held, np.uint8)
-    wanted = docs.sparkSession.sparkContext.broadcast(held)
+    def merge(rows: pa.Table) -> pa.Table:
+        held = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("held")])
+        return pa.Table.from_arrays([rows.column("slice")[:1], pa.array([held.tobytes()], pa.binary())], names=["slice", "held"])
+
+    held = np.zeros((slices, size // 8 // slices), np.uint8)
+    for r in chosen.select("doc_id").coalesce(8).mapInArrow(build, "slice int, held binary").groupBy("slice").applyInArrow(merge, "slice int, held binary").collect():
+        held[r.slice] = np.frombuffer(r.held, np.uint8)
+    return held.ravel()
+
+
+def _sets_of(docs: DataFrame, chosen: DataFrame, words: int, salt: int) -> DataFrame:
+    """node, blob of the sets of chosen (doc_id, node); texts are found by a filter on ids before they are joined."""
+    wanted = docs.sparkSession.sparkContext.broadcast(_id_filter(chosen))
 
     def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -412,7 +447,7 @@ def _placed(docs: DataFrame, words: int, similarity: int, long_list: int = LONG,
     docs = docs.select(some_id("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES)
-    heavy = heavy_shingles(docs, words, shards, long_list, min(MOST_HEAVY, max(LEAST_HEAVY, size // HEAVY_BYTES)))
+    heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, words, shards, long_list, min(MOST_HEAVY, max(LEAST_HEAVY, size // HEAVY_BYTES))))
     _tidy(docs)
     salt, clash = 0, True
     while clash:  # two different sets with one 64-bit node: once more with another salt
@@ -422,6 +457,7 @@ def _placed(docs: DataFrame, words: int, similarity: int, long_list: int = LONG,
         classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("second").alias("c0"), F.max("second").alias("c1"), F.first("n").alias("n"), F.max("hot").alias("hot"))
         classes = materialize(classes, "jac-classes")
         clash = bool(classes.where("c0 <> c1").take(1))
+    heavy.destroy()
     _tidy(docs)
     hot = materialize(index.where("kind = 2").select(F.col("a").alias("g"), F.col("b").alias("node")).distinct(), "jac-hot")
     info = classes.select("node", "n")
