@@ -121,3 +121,12 @@ def test_heavy_shingles_on_the_driver(spark):
     finally:
         tracemalloc.stop()
     assert len(found) == 5 * 300_000 and peak < 4 * len(found)
+
+
+def test_id_filter_is_merged_before_the_driver(spark):
+    """All tasks' ids in one filter, put together by slices."""
+    chosen = spark.range(0, 40_000, 7).toDF("doc_id").repartition(9)
+    ids = np.arange(0, 40_000, 7)
+    held = jaccard_join._id_filter(chosen)
+    assert (held == exact_dedup.Bloom.build(exact_dedup.id_keys(ids).ravel(), held.size * 8)).all()
+    assert not jaccard_join._id_filter(chosen.limit(0)).any()
