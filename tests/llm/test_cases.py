@@ -3,6 +3,7 @@
 import hashlib
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -130,3 +131,19 @@ def test_id_filter_is_merged_before_the_driver(spark):
     held = jaccard_join._id_filter(chosen)
     assert (held == exact_dedup.Bloom.build(exact_dedup.id_keys(ids).ravel(), held.size * 8)).all()
     assert not jaccard_join._id_filter(chosen.limit(0)).any()
+
+
+def test_pre_tokens_of_all_documents_are_counted(spark, monkeypatch):
+    """One that is frequent only late in a partition is in the table; words are split as whole texts are."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    pre = token_counts.PreTokens(path)
+    r = random.Random(3)
+    marks = ["a", "Zß", "'s", "'", " ", "  ", "\n", "\t\n", "12", "日本", "!?", "\u3000", "\u00a0", "\x85", "\x1c", "<|endoftext|>", "e\u0301"]
+    texts = ["first words " * 3] * 300 + ["".join(r.choice(marks) for _ in range(40)) for _ in range(300)] + ["zzqlate"] * 3000 + [None, "", " \n "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = Counter(t for x in texts for t in pre.split(x or "")[0])
+    monkeypatch.setattr(token_counts, "HELD_WORDS", 50)
+    assert {x.t: x.n for x in token_counts.pre_token_counts(docs, path).collect()} == want
+    top = token_counts.frequent_lengths(docs, path, rows=6)
+    least = min(n for t, n in want.items() if t in top)
+    assert "zzqlate" in top and all(t in top for t, n in want.items() if n > least)

@@ -1,13 +1,13 @@
 """Token counts by a two-tier lookup of pre-tokens on the map side.
 
-Tier one is a broadcast table of frequent pre-tokens' lengths in tokens, at most TABLE_ROWS: the vocabulary's entries that are whole
-pre-tokens, and those that are frequent among the first TASK_DOCS documents of every input partition, counted by the tasks, so that all
-parts of the corpus have their share. Tier two is a cache that a worker keeps for its next tasks; what neither holds is encoded by the
-library in Arrow batches. Pre-tokens of documents are never shuffled. The table changes how fast a count comes, never what it is.
+Tier one is a broadcast table of frequent pre-tokens' lengths in tokens, at most TABLE_ROWS: the most frequent of all documents' pre-tokens,
+every one of which is counted, then the vocabulary's entries that are whole pre-tokens. Tasks count words, cut where white space begins, as no
+pre-token goes over such a place, and split each different word once; the sums are dealt by pre-token. Tier two is a cache that a worker
+keeps for its next tasks; what neither holds is encoded by the library in Arrow batches. The table changes how fast a count comes, never what it is.
 
 Cases: null counts as empty; an empty text has 0 bytes and 0 tokens; strings of special tokens inside a text are
-one token each, as the library's default has them; very long texts are counted whole; ties in the table's order go by the string; an
-empty table gives an empty result; repeated rows are counted each; extra columns are ignored.
+one token each, as the library's default has them; very long texts are counted whole; of equally frequent pre-tokens all or none are in the
+table; an empty table gives an empty result; repeated rows are counted each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,14 +21,19 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_tables, materialize
+
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
-#: Most rows of the broadcast table; documents that a task counts for it, and most strings that it says; most entries of a worker's cache.
+#: Most rows of the broadcast table; different words that a task holds before it writes their pre-tokens out; most entries of a worker's cache.
 TABLE_ROWS = 60_000
-TASK_DOCS, TASK_ROWS = 100, 10_000
+HELD_WORDS = 200_000
 CACHE = 400_000
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Words with the white space before them, or white space at the end.
+WORD = regex.compile(r"\s*\S+|\s+").findall
+
 
 class PreTokens:
     """Splits texts as the tokenizer does, and counts the tokens of single pre-tokens with the library."""
@@ -48,11 +53,13 @@ class PreTokens:
         self.find = regex.compile(PATTERN).findall
         self.alphabet = spec["model"]["vocab"]
 
+    def pieces(self, text: str) -> list[str]:
+        """What stands between special strings."""
+        return self.at_special.split(text) if any(s in text for s in self.special) else [text]
+
     def split(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens outside special strings, and the number of special strings."""
-        if not any(s in text for s in self.special):
-            return self.find(text), 0
-        pieces = self.at_special.split(text)
+        pieces = self.pieces(text)
         return [t for p in pieces for t in self.find(p)], len(pieces) - 1
 
     def lengths(self, pre_tokens: list[str]) -> list[int]:
@@ -80,22 +87,44 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-def frequent_lengths(docs: DataFrame, tokenizer_file: str, rows: int = TABLE_ROWS, task_docs: int = TASK_DOCS) -> dict[str, int]:
-    """The broadcast table: frequent pre-tokens of all partitions, then the vocabulary's, at most `rows` entries."""
+def pre_token_counts(docs: DataFrame, tokenizer_file: str) -> DataFrame:
+    """t, n: how often each pre-token stands in all texts of docs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre, seen, left = _worker(tokenizer_file)[0], Counter(), task_docs
+        pre, words, rest = _worker(tokenizer_file)[0], Counter(), Counter()
+
+        def flush() -> pa.RecordBatch:
+            for word, n in words.items():
+                for t in pre.find(word):
+                    rest[t] += n
+            out = pa.RecordBatch.from_arrays([pa.array(list(rest), pa.string()), pa.array(list(rest.values()), pa.int64())], names=["t", "n"])
+            words.clear()
+            rest.clear()
+            return out
+
         for batch in batches:
-            for text in batch.column(0).slice(0, left).to_pylist():
-                seen.update(pre.split(text or "")[0])
-            left -= batch.num_rows
-            if left <= 0:
-                break
-        top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:TASK_ROWS]
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["t", "n"])
-
-    said = docs.select("text").mapInArrow(count, "t string, n long").where(F.length("t") <= 64).groupBy("t").agg(F.sum("n").alias("n"))
-    names = [r.t for r in said.orderBy(F.desc("n"), "t").limit(rows).collect()]
+            for text in batch.column(0):
+                for piece in pre.pieces(text.as_py() or ""):
+                    words.update(WORD(piece))
+                if len(words) > HELD_WORDS:
+                    yield flush()
+        yield flush()
+
+    return docs.select("text").mapInArrow(count, "t string, n long").groupBy("t").agg(F.sum("n").alias("n"))
+
+
+def frequent_lengths(docs: DataFrame, tokenizer_file: str, rows: int = TABLE_ROWS) -> dict[str, int]:
+    """The broadcast table: the most frequent pre-tokens of docs, then the vocabulary's, at most `rows` entries."""
+    counts = materialize(pre_token_counts(docs, tokenizer_file).where(F.length("t") <= 64), "tokens-counts")
+    # how many pre-tokens have each count, from the largest on; at most `rows` of these numbers matter, as each is 1 at least
+    cut, left = None, rows
+    for r in counts.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(rows).collect():
+        left -= r.k
+        if left < 0:
+            break
+        cut = r.n
+    names = [] if cut is None else [r.t for r in sorted(counts.where(F.col("n") >= cut).collect(), key=lambda r: (-r.n, r.t))]
+    drop_tables(counts)
     pre = PreTokens(tokenizer_file)
     names = list(dict.fromkeys([*names, *pre.whole_entries()]))[:rows]
     return dict(zip(names, pre.lengths(names), strict=True))
