@@ -1,7 +1,9 @@
 """Cases of several operators: clashing names, unequal texts behind one digest, very long texts, empty tables, worker caches."""
 
 import hashlib
+import itertools
 import random
+import re
 import tracemalloc
 from collections import Counter
 
@@ -133,6 +135,40 @@ def test_id_filter_is_merged_before_the_driver(spark):
     assert not jaccard_join._id_filter(chosen.limit(0)).any()
 
 
+def _exploded_broadcasts(df):
+    """Broadcasts of a plan that have exploded rows below them."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [m.start() if (m := re.search("[A-Za-z]", x)) else 0 for x in lines]
+    below = {k: list(itertools.takewhile(lambda j: depth[j] > depth[k], range(k + 1, len(lines)))) for k, x in enumerate(lines) if "BroadcastExchange" in x}
+    return [lines[k] for k, js in below.items() if any("Generate explode" in lines[j] for j in js)]
+
+
+def test_rows_that_are_multiplied_are_not_broadcast(spark, monkeypatch):
+    """Spark does not count the copies of a salted row or of a tile's row, so a broadcast of them has no bound on the driver."""
+    plans, write = [], jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, tag: plans.append((tag, _exploded_broadcasts(df))) or write(df, tag))
+    node_sets = [np.arange(8, dtype=np.uint64) + np.uint64(k // 4) for k in range(12)]  # 4 nodes of each set; sets overlap by 7 of 9 or 6 of 10
+    sets = write(spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(node_sets)], "node long, blob binary"), "test")
+    hot = write(spark.createDataFrame([(5, k) for k in range(12)] + [(6, k) for k in range(3, 9)], "g long, node long"), "test")
+    groups = write(spark.createDataFrame([(k, k // 4 * 4) for k in range(12)], "node long, component long"), "test")
+    links = jaccard_join._rest(hot, groups, sets, 75, 3).collect()
+    assert {tuple(sorted((x.a // 4, x.b // 4))) for x in links} == {(0, 1), (1, 2)}
+    assert {"jac-open", "jac-rest"} <= {tag for tag, _ in plans}
+    assert _exploded_broadcasts(jaccard_join._probes(hot, groups, 2)) == []
+    assert [x for x in plans if x[1]] == []
+
+
+def test_id_filter_leaves_the_driver(spark, monkeypatch):
+    """The filter on wanted ids is destroyed once the sets are written."""
+    held, send = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: held.append(send(value)) or held[-1])
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "g h")], "doc_id long, text string")
+    nodes = [(i, jaccard_join.node_of(s, 1)[0]) for i, s in zip((1, 2), jaccard_join.shingle_sets(*wordhash.buffers(pa.array(["a b c d e f", "g h"]))), strict=True)]
+    sets = jaccard_join._sets_of(docs, spark.createDataFrame(nodes, "doc_id long, node long"), 5, 1)
+    assert {x.node for x in sets.collect()} == {n for _, n in nodes}
+    assert len(held) == 1 and not held[0]._jbroadcast.isValid()
+
+
 def test_pre_tokens_of_all_documents_are_counted(spark, monkeypatch):
     """One that is frequent only late in a partition is in the table; words are split as whole texts are."""
     path = tokenizer_path("byte_bpe_50k.json")

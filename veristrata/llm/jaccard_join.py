@@ -16,7 +16,7 @@ smaller of the two LEVELs), so only those prefixes are indexed.
    probes from its largest component, and at last with every node of another component, in tiles (an exact end that is
    small because near copies have been linked by then).
 
-Joins on a list's name are salted, as one passage may stand in a third of all documents.
+Joins on a list's name are salted, as one passage may stand in a third of all documents, and never broadcast; nor are rows that are dealt to tiles.
 
 Links are verified on the 64-bit hashes of whole sets. Only links that join components are sought: the result is
 one component per document, and no pairs within it are listed.
@@ -395,6 +395,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: int, tag: str) -> Dat
     return materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(probe, "a long, b long"), tag)
 
 
+def _dealt_join(df: DataFrame, other: DataFrame, key: str, by: str) -> DataFrame:
+    """A salted join that is never broadcast: Spark estimates other as it is before each row is taken SALTS times, and would send all of that through the driver."""
+    return salted_join(df, other.hint("merge"), key, by)
+
+
 def _tidy(df: DataFrame) -> None:
     """Lets Spark drop the shuffle files of finished steps."""
     gc.collect()
@@ -434,7 +439,9 @@ def _sets_of(docs: DataFrame, chosen: DataFrame, words: int, salt: int) -> DataF
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([b for _, b in got], pa.binary())], names=["doc_id", "node", "blob"])
 
     found = docs.select("doc_id", "text").mapInArrow(hash_sets, "doc_id long, node long, blob binary")
-    return materialize(found.join(chosen, ["doc_id", "node"]).dropDuplicates(["node"]).select("node", "blob"), "jac-sets")
+    found = materialize(found.join(chosen, ["doc_id", "node"]).dropDuplicates(["node"]).select("node", "blob"), "jac-sets")
+    wanted.destroy()
+    return found
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, long_list: int = LONG, tile: int = TILE) -> DataFrame:
@@ -471,7 +478,7 @@ def _placed(docs: DataFrame, words: int, similarity: int, long_list: int = LONG,
     # first turn: each node with its best partner, and with the leader of most of its long lists
     sides = short.unionByName(short.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     best = sides.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
-    leaders = salted_join(hot, hot.groupBy("g").agg(F.min_by("node", F.xxhash64("node")).alias("lead")), "g", "node").where("lead <> node")
+    leaders = _dealt_join(hot, hot.groupBy("g").agg(F.min_by("node", F.xxhash64("node")).alias("lead")), "g", "node").where("lead <> node")
     leaders = leaders.groupBy("node", "lead").agg(F.count("*").alias("n")).groupBy(F.col("node").alias("a")).agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("b"))
     pairs = best.unionByName(leaders).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = _verify(pairs, sets, similarity, "jac-1")
@@ -566,11 +573,11 @@ def _open_lists(hot: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame
 def _probes(hot: DataFrame, groups: DataFrame, turn: int, ways: int = 4) -> DataFrame:
     """Nodes outside the largest component of their list, each with at most `ways` of its nodes."""
     placed, largest = _open_lists(hot, groups)
-    placed = salted_join(placed, largest, "g", "node")
+    placed = _dealt_join(placed, largest, "g", "node")
     way = F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(ways))
     reps = placed.where("c = big").groupBy("g", way.alias("way")).agg(F.min_by("node", F.xxhash64(F.lit(turn + 10), "node")).alias("rep"))
     reps = reps.groupBy("g").agg(F.collect_list("rep").alias("reps"))  # at most `ways`
-    rest = salted_join(placed.where("c <> big"), reps, "g", "node").withColumn("rep", F.explode("reps")).groupBy("node", "rep").agg(F.count("*").alias("n"))
+    rest = _dealt_join(placed.where("c <> big"), reps, "g", "node").withColumn("rep", F.explode("reps")).groupBy("node", "rep").agg(F.count("*").alias("n"))
     rank = F.row_number().over(W.partitionBy("node").orderBy(F.desc("n"), "rep"))
     rest = rest.withColumn("rank", rank).where(F.col("rank") <= ways)
     return rest.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"))
@@ -584,18 +591,18 @@ def _rest(hot: DataFrame, groups: DataFrame, sets: DataFrame, similarity: int, t
     are looked for in the inverted lists of a tile, and a tile returns a forest of links, never pairs.
     """
     placed, largest = _open_lists(hot, groups)
-    placed = materialize(salted_join(placed, largest, "g", "node"), "jac-open")
+    placed = materialize(_dealt_join(placed, largest, "g", "node"), "jac-open")
     if not placed.take(1):
         return None
     leaders = placed.groupBy("g").agg(F.min("node").alias("lead"))
-    clusters = components(salted_join(placed, leaders, "g", "node").select(F.col("node").alias("a"), F.col("lead").alias("b")), "jac-clusters")
+    clusters = components(_dealt_join(placed, leaders, "g", "node").select(F.col("node").alias("a"), F.col("lead").alias("b")), "jac-clusters")
     nodes = placed.groupBy("node").agg(F.first("c").alias("c"), F.max(F.col("c") != F.col("big")).alias("open")).join(clusters.withColumnRenamed("component", "cluster"), "node")
     sizes = nodes.groupBy("cluster").agg(F.ceil(F.count("*") / tile).alias("blocks"), F.greatest(F.lit(1), F.ceil(F.count_if("open") / tile)).alias("open_blocks"))
     nodes = materialize(nodes.join(sizes, "cluster"), "jac-dealt")
     spot = F.xxhash64("node")
     others = nodes.select("cluster", "node", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("open_blocks") - 1)).alias("i"), F.pmod(spot, "blocks").alias("j"), F.lit(0).alias("side"))
     seekers = nodes.where("open").select("cluster", "node", "c", F.pmod(spot, "open_blocks").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), F.lit(1).alias("side"))
-    dealt = others.unionByName(seekers).join(sets, "node").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side")
+    dealt = others.unionByName(seekers).join(sets.hint("merge"), "node").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side")
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
