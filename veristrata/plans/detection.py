@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veristrata.functions.exprs import iou, labels_that_hold, ratio, tile_starts
+from veristrata.functions.exprs import iou, labels_that_hold, ratio, tiles_along
+from veristrata.operators import kernels as K
 from veristrata.operators import matching as M
 from veristrata.operators import metrics as X
 from veristrata.plans import fixtures as FX
@@ -99,13 +100,10 @@ def det_union_nms(spark, d):
 
 
 def det_fusion_grid(spark, d):
-    images = FX.images(spark, d)
-    members = F.array(*[F.struct(F.lit(k).alias("combination"), F.lit(t).alias("nms")) for k in range(3) for t in (0.5, 0.6, 0.7)])
-    rows = images.withColumn("c", F.explode(members)).withColumn("chosen", F.filter("preds", lambda p: (F.col("c.combination") == 2) | (p["model"] == F.col("c.combination"))))
-    rows = rows.withColumn("preds", M.union_nms(F.col("chosen"), F.col("c.nms"))).withColumn("match", M.greedy_match(F.col("preds"), F.col("gts")))
-    tp = F.size(F.filter("match", lambda m: m["j"].isNotNull()))
-    out = rows.groupBy("c.combination", "c.nms").agg(F.sum(tp).alias("tp"), F.sum(F.size("match") - tp).alias("fp"), F.sum(F.size("gts") - tp).alias("fn"))
-    return X.with_ratios(out)
+    names = [(k, t) for k in range(3) for t in (0.5, 0.6, 0.7)]
+    settings = [((0, 1) if k == 2 else (k,), t) for k, t in names]
+    out = M.counted(FX.images(spark, d), ["preds", "gts"], names, "combination int, nms double", lambda p, g: K.fusion_counts(p, g, settings, float("-inf"), 0, False))
+    return X.with_ratios(out.select("combination", "nms", "tp", "fp", "fn"))
 
 
 def det_image_safety(spark, d):
@@ -163,7 +161,7 @@ def _strategy_hits(spark, d):
     images = FX.images(spark, d)
     for k in (0, 1):
         images = images.withColumn(f"m{k}", M.greedy_match(F.filter("preds", _of_model(k)), F.col("gts")))
-    images = images.withColumn("m2", M.greedy_match(M.union_nms(F.col("preds"), 0.5), F.col("gts")))
+    images = images.withColumn("m2", M.union_match(F.col("preds"), 0.5, F.col("gts")))
     rows = images.select("img", "fold_id", F.explode("gts").alias("g"), "m0", "m1", "m2")
     return rows.select("img", "fold_id", F.col("g.j").alias("gt_index"), *[F.exists(f"m{k}", lambda m: m["j"].eqNullSafe(F.col("g.j"))).alias(f"s{k}") for k in range(3)])
 
