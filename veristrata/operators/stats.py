@@ -45,8 +45,10 @@ def average_rank(df: DataFrame, by: list[str], value: str, out: str) -> DataFram
 
 
 def safe_corr(x: Column, y: Column) -> Column:
-    """Pearson correlation; null where a side is constant."""
-    return F.when((F.stddev_pop(x) == 0) | (F.stddev_pop(y) == 0), None).otherwise(F.covar_pop(x, y) / (F.nullif(F.stddev_pop(x), F.lit(0.0)) * F.nullif(F.stddev_pop(y), F.lit(0.0))))
+    """Pearson correlation; null where a side is constant, which its least and largest value tell: the deviation of a constant is not exactly 0 once partial sums are merged."""
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)  # rows that have both
+    constant = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
+    return F.when(constant, None).otherwise(F.covar_pop(x, y) / (F.nullif(F.stddev_pop(x), F.lit(0.0)) * F.nullif(F.stddev_pop(y), F.lit(0.0))))
 
 
 def ks_distance(df: DataFrame, group: str, a, b, value: str) -> DataFrame:
