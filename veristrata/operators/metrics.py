@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,17 +38,20 @@ def with_ratios(df: DataFrame) -> DataFrame:
     return df.withColumns({"precision": F.round(precision(tp, fp), 9), "recall": F.round(recall(tp, fn), 9), "f1": F.round(f1(tp, fp, fn), 9)})
 
 
-def object_outcomes(images: DataFrame, report: float) -> DataFrame:
-    """One row per true box: TP, or the kind of miss from the best of all predictions at the report threshold."""
+def object_outcomes(images: DataFrame, report: float, sized: str | None = None) -> DataFrame:
+    """One row per true box: TP, or the kind of miss from the best of all predictions at the report threshold; with `sized` its area under that name."""
+    from veristrata.operators.matching import nearest
+
+    side = lambda a, b: F.col(f"x.gts.{b}") - F.col(f"x.gts.{a}")
+    extra = [(side("x0", "x1") * side("y0", "y1")).alias(sized)] if sized else []
     hits = F.map_from_entries(F.transform(F.filter("match", lambda m: m["j"].isNotNull() & (m["conf"] >= report)), lambda m: F.struct(m["j"], F.struct(m["conf"].alias("conf"), m["iou"].alias("iou")))))
-    rows = images.select("img", "fold_id", "preds", hits.alias("hits"), F.explode("gts").alias("g"))
-    best = F.array_max(F.transform("preds", lambda p: F.struct(iou(F.col("g"), p).alias("iou"), p["conf"].alias("conf"))))
-    rows = rows.select("img", "fold_id", F.col("g.j").alias("gt_index"), F.try_element_at("hits", F.col("g.j")).alias("hit"), best.alias("best"))
+    each = images.select("img", "fold_id", hits.alias("hits"), F.explode(F.arrays_zip("gts", nearest(F.col("gts"), F.col("preds")).alias("best"))).alias("x"))
+    rows = each.select("img", "fold_id", F.col("x.gts.j").alias("gt_index"), F.try_element_at("hits", F.col("x.gts.j")).alias("hit"), F.col("x.best").alias("best"), *extra)
     none = F.col("best").isNull()
     kind = (F.when(F.col("hit").isNotNull(), "MATCHED").when(none, "NO_DETECTION").when((F.col("best.iou") >= 0.5) & (F.col("best.conf") < report), "LOW_CONFIDENCE")
             .when((F.col("best.conf") >= report) & (F.col("best.iou") >= 0.1), "LOCALIZATION_FAILURE").otherwise("NO_DETECTION"))
     return rows.select("img", "fold_id", "gt_index", F.when(F.col("hit").isNotNull(), "TP").otherwise("FN").alias("status"), kind.alias("error_type"),
-                       F.coalesce("hit.conf", "best.conf").alias("confidence"), F.round(F.coalesce("hit.iou", "best.iou"), 9).alias("iou"))
+                       F.coalesce("hit.conf", "best.conf").alias("confidence"), F.round(F.coalesce("hit.iou", "best.iou"), 9).alias("iou"), *([sized] if sized else []))
 
 
 def false_positives(images: DataFrame, report: float) -> DataFrame:
@@ -58,39 +67,53 @@ def false_positives(images: DataFrame, report: float) -> DataFrame:
 def average_precision(images: DataFrame, overlaps: list[float]) -> DataFrame:
     """101-point interpolated average precision per overlap threshold.
 
-    Predictions of all images are ranked by (confidence, image, index), all falling. The order is over all rows, so it is built from
-    (confidence) buckets: sums per confidence value first, then running sums over those, then inside a value.
+    Predictions of all images are ranked by (confidence, image, index), all falling. Each is one row with a bit for each overlap, dealt once by
+    ranges of that order; running sums go over a range and start behind the sums of earlier ranges. Of rows with the same number of hits the
+    first is the most precise, so only rows that hit go on.
     """
-    from veristrata.operators.matching import by_confidence
-
-    # overlaps are computed once for an image: each prediction keeps the true boxes that it may match at all, best first
-    least = min(overlaps)
-    near = lambda p: F.reverse(F.array_sort(F.filter(F.transform("gts", lambda g: F.struct(iou(g, p).alias("iou"), g["j"].alias("j"))), lambda x: x["iou"] >= least)))
-    ready = images.select("img", F.transform(by_confidence(F.col("preds"), True), lambda p: F.struct(p["i"].alias("i"), p["conf"].alias("conf"), near(p).alias("near"))).alias("p"))
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("overlap_id"), F.lit(t).alias("overlap")) for k, t in enumerate(overlaps)]))
-    per = ready.select("img", "p", each.alias("x")).select("img", "p", "x.*")
-
-    def step(acc: Column, p: Column) -> Column:
-        free = F.filter(p["near"], lambda g: (g["iou"] >= F.col("overlap")) & ~F.array_contains(acc["used"], g["j"]))
-        used = F.when(F.size(free) > 0, F.array_append(acc["used"], F.get(free, F.lit(0))["j"])).otherwise(acc["used"])
-        return F.struct(used.alias("used"), F.array_append(acc["out"], F.struct(p["i"].alias("i"), p["conf"].alias("conf"), F.size(free).alias("free"))).alias("out"))
-
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<i:int,conf:double,free:int>>").alias("out"))
-    per = per.select("overlap_id", "overlap", "img", F.aggregate("p", start, step, lambda acc: acc["out"]).alias("m"))
-    total = images.agg(F.sum(F.size("gts")).alias("n_gt"))
-    # both uses of the rows share this exchange, so matching runs once
-    rows = per.select("overlap_id", "overlap", "img", F.explode("m").alias("m")).select("overlap_id", "overlap", "img", F.col("m.i").alias("i"), F.col("m.conf").alias("conf"), (F.col("m.free") > 0).cast("long").alias("hit")).repartition("overlap_id", "conf")
-    values = rows.groupBy("overlap_id", "conf").agg(F.sum("hit").alias("hits"), F.count("*").alias("n"))
-    above = W.partitionBy("overlap_id").orderBy(F.desc("conf")).rowsBetween(W.unboundedPreceding, -1)
-    values = values.select("overlap_id", "conf", F.coalesce(F.sum("hits").over(above), F.lit(0)).alias("hits_before"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_before"))
-    inside = W.partitionBy("overlap_id", "conf").orderBy(F.desc("img"), F.desc("i")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = rows.join(values, ["overlap_id", "conf"]).withColumn("tp", F.col("hits_before") + F.sum("hit").over(inside)).withColumn("n", F.col("n_before") + F.count("*").over(inside))
-    ranked = ranked.crossJoin(F.broadcast(total)).withColumn("precision", F.col("tp") / F.col("n")).withColumn("recall", ratio(F.col("tp"), F.col("n_gt")))
+    from veristrata.operators.groups import _written
+    from veristrata.operators.matching import hits
+
+    many = len(overlaps)
+    ready = images.select("img", F.size("gts").alias("n_gt"), hits(F.col("preds"), F.col("gts"), overlaps).alias("m"))
+    rows = ready.select("img", "n_gt", F.posexplode_outer("m").alias("at", "m"))
+    rows = rows.select("img", F.col("m.i").alias("i"), F.col("m.conf").alias("conf"), F.col("m.hits").alias("hits"), F.when(F.coalesce("at", F.lit(0)) == 0, F.col("n_gt")).otherwise(0).alias("n_gt"))
+    order = [F.desc("conf"), F.desc("img"), F.desc("i")]
+    rows = rows.repartitionByRange(int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).select("hits", "n_gt")
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spot, held, total, true = TaskContext.get().partitionId(), np.zeros(many, np.int64), 0, 0
+
+        def out(number: np.ndarray, bits: np.ndarray, upto: np.ndarray, true: int) -> pa.RecordBatch:
+            size = number.size
+            columns = [pa.array(np.full(size, spot), pa.int32()), pa.array(number), pa.array(bits), pa.array(np.full(size, true)), *[pa.array(upto[:, k]) for k in range(many)]]
+            return pa.RecordBatch.from_arrays(columns, names=["range", "n", "hits", "n_gt", *[f"c{k}" for k in range(many)]])
+
+        for batch in batches:
+            true += int(batch.column(1).to_numpy().sum())
+            bits = pc.drop_null(batch.column(0)).to_numpy()  # images without predictions
+            upto = held + np.cumsum((bits[:, None] >> np.arange(many)) & 1, axis=0)
+            at = np.flatnonzero(bits)
+            yield out(total + 1 + at, bits[at], upto[at], 0)
+            total += bits.size
+            held = upto[-1] if bits.size else held
+        yield out(np.array([total]), np.array([0]), held[None, :], true)  # the range's sums
+
+    names = [f"c{k}" for k in range(many)]
+    found = _written(rows.mapInArrow(summed, "range int, n long, hits long, n_gt long, " + ", ".join(f"{c} long" for c in names)))
+    earlier = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # over one row for each range
+    before = found.where("hits = 0").select(F.col("range"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in ("n", *names)], F.sum("n_gt").over(W.partitionBy(F.lit(1))).alias("_n_gt"))
+    rows = found.where("hits <> 0").drop("n_gt").join(F.broadcast(before), "range")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("overlap_id"), F.when(F.col("hits").bitwiseAND(1 << k) != 0, F.col(c) + F.col(f"_{c}")).alias("tp")) for k, c in enumerate(names)]))
+    rows = rows.select((F.col("n") + F.col("_n")).alias("n"), "_n_gt", each.alias("x")).select("n", "_n_gt", "x.*").where("tp is not null")
     # the best precision at or right of each of 101 recalls: a row counts for all points up to its own
-    points = ranked.groupBy("overlap_id", "overlap", F.floor(F.col("recall") * 100 + 1e-9).cast("int").alias("point")).agg(F.max("precision").alias("p"))
+    points = rows.groupBy("overlap_id", F.floor(ratio(F.col("tp"), F.col("_n_gt")) * 100 + 1e-9).cast("int").alias("point")).agg(F.max(F.col("tp") / F.col("n")).alias("p"))
     right = W.partitionBy("overlap_id").orderBy("point").rowsBetween(W.currentRow, W.unboundedFollowing)
     points = points.withColumn("p", F.max("p").over(right)).withColumn("before", F.lag("point", 1, -1).over(W.partitionBy("overlap_id").orderBy("point")))
-    return points.groupBy("overlap_id", "overlap").agg((F.sum(F.col("p") * (F.col("point") - F.col("before"))) / 101.0).alias("ap"))
+    points = points.groupBy("overlap_id").agg((F.sum(F.col("p") * (F.col("point") - F.col("before"))) / 101.0).alias("ap"))
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("overlap_id"), F.lit(float(t)).alias("overlap")) for k, t in enumerate(overlaps)]))
+    asked = before.agg(F.sum("_n").alias("some"), F.max("_n_gt").alias("_n_gt")).where("_n_gt is not null").select(asked.alias("x")).select("x.*")
+    return asked.join(points, "overlap_id", "left").select("overlap_id", "overlap", F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
 def image_safety(images: DataFrame, thresholds: list[float]) -> DataFrame:
