@@ -220,25 +220,13 @@ def tile_grid(spark, d):
 
 
 def tile_coverage(spark, d):
-    """Objects contained whole in, or cut by, tiles of two sizes, and in several tiles."""
-    gt = FX.ground_truth(spark, d)
-    tiles = []
+    """Objects contained whole in, or cut by, tiles of two sizes, and in several tiles. Tiles are counted along each side, so an object stays one row."""
+    each = []
     for patch, stride in ((24, 18), (32, 24)):
-        starts = tile_starts(F.lit(64), patch, stride)
-        tiles.append(F.transform(F.flatten(F.transform(starts, _row_of(starts))), _tile_of(patch)))
-    rows = gt.select("img", "gt_index", "x0", "y0", "x1", "y1", F.explode(F.concat(*tiles)).alias("t"))
-    inside = (F.col("x0") >= F.col("t.x")) & (F.col("y0") >= F.col("t.y")) & (F.col("x1") <= F.col("t.x") + F.col("t.patch")) & (F.col("y1") <= F.col("t.y") + F.col("t.patch"))
-    meets = (F.col("x0") < F.col("t.x") + F.col("t.patch")) & (F.col("x1") > F.col("t.x")) & (F.col("y0") < F.col("t.y") + F.col("t.patch")) & (F.col("y1") > F.col("t.y"))
-    per = rows.where(meets).groupBy("img", "gt_index", "t.patch").agg(F.count_if(inside).alias("whole"), F.count_if(~inside).alias("cut"))
-    return per.groupBy("patch").agg(F.count("*").alias("objects"), F.count_if(F.col("whole") > 0).alias("contained"), F.count_if((F.col("whole") == 0) & (F.col("cut") > 0)).alias("crossing"), F.count_if(F.col("whole") > 1).alias("duplicated"))
-
-
-def _row_of(starts):
-    return lambda x: F.transform(starts, lambda y: F.struct(x.alias("x"), y.alias("y")))
-
-
-def _tile_of(patch: int):
-    return lambda t: F.struct(t["x"].alias("x"), t["y"].alias("y"), F.lit(patch).alias("patch"))
+        (wx, mx, _), (wy, my, _) = tiles_along(F.col("x0"), F.col("x1"), patch, stride), tiles_along(F.col("y0"), F.col("y1"), patch, stride)
+        each.append(F.struct(F.lit(patch).alias("patch"), (wx * wy).alias("whole"), (mx * my).alias("met")))
+    per = FX.ground_truth(spark, d).select(F.explode(F.array(*each)).alias("t")).select("t.*").where("met > 0")
+    return per.groupBy("patch").agg(F.count("*").alias("objects"), F.count_if(F.col("whole") > 0).alias("contained"), F.count_if(F.col("whole") == 0).alias("crossing"), F.count_if(F.col("whole") > 1).alias("duplicated"))
 
 
 def consensus_boxes(spark, d):
