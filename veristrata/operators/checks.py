@@ -35,11 +35,17 @@ def require(checks: DataFrame) -> None:
 
 def same_keys(base: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """base joined with other, one row of each for a key; raises where a side lacks a key or repeats one."""
-    a, b = base.groupBy(*keys).agg(F.count("*").alias("_a")), other.groupBy(*keys).agg(F.count("*").alias("_b"))
-    bad = a.join(b, keys, "full").where("_a is null or _b is null or _a > 1 or _b > 1")
+    from veristrata.operators.groups import _written
+
+    mine, its = [c for c in base.columns if c not in keys], [c for c in other.columns if c not in keys]
+    blank = lambda df, names: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in names]
+    both = base.select(*keys, *mine, *blank(other, its), F.lit(0).alias("_side")).unionByName(other.select(*keys, *blank(base, mine), *its, F.lit(1).alias("_side")))
+    of = lambda side, names: [F.max_by(c, F.when(F.col("_side") == side, 0).otherwise(-1)).alias(c) for c in names]
+    both = _written(both.groupBy(*keys).agg(F.count_if(F.col("_side") == 0).alias("_a"), F.count_if(F.col("_side") == 1).alias("_b"), *of(0, mine), *of(1, its)))
+    bad = both.where(" or ".join(["_a <> 1", "_b <> 1", *[f"{k} is null" for k in keys]]))
     if bad.take(1):
-        raise ValueError(f"keys {keys} that one side lacks or repeats: {[r.asDict() for r in bad.limit(3).collect()]}")
-    return base.join(other, keys)
+        raise ValueError(f"keys {keys} that one side lacks or repeats: {[r.asDict() for r in bad.select(*keys, '_a', '_b').limit(3).collect()]}")
+    return both.select(*keys, *mine, *its)
 
 
 def coverage(parts: DataFrame, whole: DataFrame, key: str) -> DataFrame:

@@ -58,14 +58,27 @@ def ks_distance(df: DataFrame, group: str, a, b, value: str) -> DataFrame:
     return cum.agg(F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("ks"))
 
 
-def ks_to_all(df: DataFrame, by: list[str], group: str, number: int, value: str) -> DataFrame:
-    """by, group (0 to number - 1), ks: largest gap between a group's distribution function and the one of all rows, at distinct values."""
+def ks_to_all(df: DataFrame, by: list[str], group: str, number: int, value: str, qs: list[float] | None = None) -> DataFrame:
+    """by, group (0 to number - 1), ks: largest gap between a group's distribution function and the one of all rows, at distinct values.
+
+    With qs also `quantiles` of each group (type 7), from the same counts summed over ranges, so no task holds a group's values.
+    """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("all_n"), *[F.count_if(F.col(group) == g).alias(f"n{g}") for g in range(number)])
     names = ["all_n", *[f"n{g}" for g in range(number)]]
     cum = N.running_sums(counts, by, value, {n: f"c_{n}" for n in names}, {n: f"t_{n}" for n in names})
     share = lambda n: ratio(F.col(f"c_{n}"), F.col(f"t_{n}"), None)
-    per = cum.groupBy(*by).agg(*[F.max(F.abs(share(f"n{g}") - share("all_n"))).alias(f"ks{g}") for g in range(number)])
-    return per.select(*by, F.posexplode(F.array(*[f"ks{g}" for g in range(number)])).alias(group, "ks"))
+    at = lambda g, q: (F.col(f"t_n{g}") - 1) * F.lit(float(q))
+    holds = lambda g, p: F.max(F.when((p < F.col(f"c_n{g}")) & (p >= F.col(f"c_n{g}") - F.col(f"n{g}")), F.col(value)))
+    wanted = [(g, k, q) for g in range(number) for k, q in enumerate(qs or [])]
+    ends = [holds(g, f(at(g, q))).alias(f"{e}{g}_{k}") for g, k, q in wanted for e, f in (("lo", F.floor), ("hi", F.ceil))]
+    per = cum.groupBy(*by).agg(*[F.max(F.abs(share(f"n{g}") - share("all_n"))).alias(f"ks{g}") for g in range(number)], *[F.max(f"t_n{g}").alias(f"t_n{g}") for g in range(number)], *ends)
+
+    def quantile_of(g: int, k: int, q: float) -> Column:
+        lo, hi, p = F.col(f"lo{g}_{k}"), F.col(f"hi{g}_{k}"), at(g, q)
+        return F.when(lo == hi, lo).otherwise((F.ceil(p) - p) * lo + (p - F.floor(p)) * hi)
+
+    rows = [F.struct(F.col(f"ks{g}").alias("ks"), *([F.array(*[quantile_of(g, k, q) for k, q in enumerate(qs)]).alias("quantiles")] if qs else [])) for g in range(number)]
+    return per.select(*by, F.posexplode(F.array(*rows)).alias(group, "_x")).select(*by, group, "_x.*")
 
 
 def total_variation(df: DataFrame, group: str, category: str) -> DataFrame:
@@ -86,12 +99,12 @@ def mean_difference(df: DataFrame, group: str, value: str) -> DataFrame:
     return per.crossJoin(F.broadcast(overall)).select(group, ratio(F.col("gm") - F.col("m"), F.col("s"), None).alias("smd"))
 
 
-def quantile_cuts(df: DataFrame, value: str, qs: list[float]) -> DataFrame:
-    """One row: the distinct cuts in order, type 7; `cuts` is empty if there are no values.
+def quantile_cuts(df: DataFrame, value: str, qs: list[float], many: str | None = None) -> DataFrame:
+    """One row: the distinct cuts in order, type 7; `cuts` is empty if there are no values. A row counts `many` times, if that is given.
 
     Values are counted and summed over ranges, so no task holds all distinct values; only those at the wanted places go on.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg((F.sum(many) if many else F.count("*")).alias("c"))
     run = N.running_sums(counts, [], "v", {"c": "upto"}, {"c": "n"})
     place = lambda q: (F.col("n") - 1) * F.lit(float(q))
     holds = lambda p: F.when((p < F.col("upto")) & (p >= F.col("upto") - F.col("c")), F.col("v"))

@@ -34,18 +34,26 @@ def gap_sessions(df: DataFrame, by: list[str], ts: str, tie: str, limits: list[i
 def numbered(df: DataFrame, by: list[str], order: list[Column], out: str, total: str) -> DataFrame:
     """df with the place (from 1) of a row in its group's order, and the group's size; no task holds a whole group.
 
-    Rows are dealt by ranges of (group, order) and written once, as ranges are drawn from samples; places are counted inside a range
-    and start behind the rows of the group's earlier ranges.
+    Rows are dealt by ranges of (group, order), sorted there, and written once with their place in the range, as ranges are drawn from samples; a
+    group's places start behind its rows of earlier ranges. Nothing is dealt a second time.
     """
     from veristrata.operators.groups import _written
 
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _written(df.repartitionByRange(ranges, *[F.col(c) for c in by], *order).withColumn("_range", F.spark_partition_id()))
-    sizes = rows.groupBy(*by, "_range").agg(F.count("*").alias("_held"))
+    rows = df.repartitionByRange(ranges, *[F.col(c) for c in by], *order).sortWithinPartitions(*[F.col(c) for c in by], *order)
+    at = F.monotonically_increasing_id()  # the partition's number, then the row's in 33 bits
+    rows = _written(rows.withColumn("_at", at))
+    rows = rows.withColumns({"_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    sizes = rows.groupBy(*by, "_range").agg(F.count("*").alias("_held"), F.min("_at").alias("_first"))
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))  # over one row for each range
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_held").over(group.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn(total, F.sum("_held").over(group)).drop("_held")
-    inside = F.row_number().over(W.partitionBy(*by, "_range").orderBy(*order))
-    return rows.join(sizes, [*by, "_range"]).withColumn(out, F.col("_before") + inside).drop("_range", "_before")
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_held").over(group.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) - F.col("_first")).withColumn(total, F.sum("_held").over(group)).drop("_held", "_first")
+    same = F.col("_range") == F.col("_r")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    sizes = sizes.select(F.col("_range").alias("_r"), *[F.col(c).alias(f"_by_{c}") for c in by], "_before", total)
+    sizes = _written(sizes)  # a row for each range that a group lies in
+    joined = rows.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, same)
+    return joined.select(*df.columns, total, (F.col("_before") + F.col("_at") + 1).alias(out))
 
 
 def running_sums(df: DataFrame, by: list[str], value: str, sums: dict[str, str], totals: dict[str, str] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veristrata.functions.exprs import iou, labels_that_hold, ratio, tile_starts
 from veristrata.operators import checks as K
 from veristrata.operators import groups as G
+from veristrata.operators import kernels as B
 from veristrata.operators import matching as M
 from veristrata.operators import metrics as X
 from veristrata.operators import resample as R
@@ -16,7 +17,7 @@ from veristrata.plans import fixtures as FX
 from veristrata.plans.detection import _NMS_FOLD, _OUTCOMES, _RATIOS, REPORT, _matched, _of_model, _strategies_sql, _strategy_hits, iou_sql, match_sql
 from veristrata.plans.extended import _DRAW
 from veristrata.plans.fixtures import read
-from veristrata.plans.policies import _BASE, _VALUES, COMBINATIONS, SIDES, _evaluated, _found, _q9, _settled_sql
+from veristrata.plans.policies import _BASE, _VALUES, COMBINATIONS, SIDES, _q9, _settled_sql
 
 OVERLAPS = (0.5, 0.6, 0.7)
 FUSIONS = [(name, least) for least in OVERLAPS for name in COMBINATIONS]
@@ -26,12 +27,9 @@ LIMITS = (600, 3600, 21600)
 # ---------------------------------------------------------------- fusion
 def fusion_grid_paired(spark, d):
     """Six combinations of three models at three overlaps: metrics, and objects gained and lost against the first model alone at 0.7."""
-    images = FX.images(spark, d).withColumn("preds", F.transform("preds", lambda p: p.withField("model", F.when((p["model"] == 1) & (p["i"] % 2 == 1), 2).otherwise(p["model"]))))
-    images = images.withColumn("base", _found(M.greedy_match(M.union_nms(F.filter("preds", _of_model(0)), 0.7), F.col("gts"))))
-    g = F.explode(F.array(*[F.struct(F.lit(n).alias("combination"), F.array(*[F.lit(m) for m in COMBINATIONS[n]]).alias("members"), F.lit(least).alias("nms")) for n, least in FUSIONS]))
-    rows = images.select("gts", "base", "preds", g.alias("g"))
-    rows = rows.withColumn("preds", M.union_nms(F.filter("preds", lambda p: F.array_contains("g.members", p["model"])), F.col("g.nms")))
-    return _evaluated(rows, ["g.combination", "g.nms"])
+    settings = [(COMBINATIONS[n], least) for n, least in FUSIONS]
+    base = FUSIONS.index(("A", 0.7))
+    return X.with_ratios(M.counted(FX.images(spark, d), ["preds", "gts"], FUSIONS, "combination string, nms double", lambda p, g: B.fusion_counts(p, g, settings, REPORT, base, True)))
 
 
 def fused_contributors(spark, d):

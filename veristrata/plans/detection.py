@@ -157,13 +157,13 @@ def det_candidates(spark, d):
 
 
 def _strategy_hits(spark, d):
-    """Per object: matched by model 0 alone, by model 1 alone, by both after union suppression."""
+    """Per object, with its area: matched by model 0 alone, by model 1 alone, by both after union suppression."""
     images = FX.images(spark, d)
     for k in (0, 1):
         images = images.withColumn(f"m{k}", M.greedy_match(F.filter("preds", _of_model(k)), F.col("gts")))
     images = images.withColumn("m2", M.union_match(F.col("preds"), 0.5, F.col("gts")))
     rows = images.select("img", "fold_id", F.explode("gts").alias("g"), "m0", "m1", "m2")
-    return rows.select("img", "fold_id", F.col("g.j").alias("gt_index"), *[F.exists(f"m{k}", lambda m: m["j"].eqNullSafe(F.col("g.j"))).alias(f"s{k}") for k in range(3)])
+    return rows.select("img", "fold_id", F.col("g.j").alias("gt_index"), ((F.col("g.x1") - F.col("g.x0")) * (F.col("g.y1") - F.col("g.y0"))).alias("area"), *[F.exists(f"m{k}", lambda m: m["j"].eqNullSafe(F.col("g.j"))).alias(f"s{k}") for k in range(3)])
 
 
 def _of_model(k: int):
