@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veristrata.functions.exprs import iou, labels_that_hold, ratio, tile_starts
+from veristrata.functions.exprs import iou, labels_that_hold, ratio, tile_starts, tiles_along
 from veristrata.operators import checks as K
 from veristrata.operators import groups as G
 from veristrata.operators import kernels as B
@@ -64,8 +64,7 @@ def strategy_matrix(spark, d):
 
 def strategy_cells(spark, d):
     """Strategies by two bands of objects: counts, rates, differences, rescues, the best with ties, objects gained, and how far the evidence goes."""
-    area = FX.ground_truth(spark, d).select("img", "gt_index", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))
-    h = _strategy_hits(spark, d).join(area, ["img", "gt_index"])
+    h = _strategy_hits(spark, d).where("img is not null")
     cell = F.concat_ws(" | ", F.when(F.col("area") <= 56, "small").otherwise("not_small"), F.when(F.col("gt_index") < 2, "first").otherwise("later"))
     out = h.groupBy("fold_id", cell.alias("cell")).agg(F.count("*").alias("n"), *[F.count_if(F.col(f"s{k}")).alias(f"tp_{k}") for k in range(3)], *[F.count_if(~F.col("s0") & F.col(f"s{k}")).alias(f"rescue_{k}") for k in (1, 2)])
     out = out.select("*", *[_q9(F.col(f"tp_{k}") / F.col("n")).alias(f"rate_{k}") for k in range(3)])
@@ -107,8 +106,7 @@ def bootstrap_median_difference(spark, d):
 
 def outcome_differences(spark, d):
     """Sizes of objects by outcome, all misses as one more group: quantiles, and the middle's distance from that of found ones."""
-    area = FX.ground_truth(spark, d).select("img", "gt_index", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).cast("double").alias("area"))
-    rows = X.object_outcomes(_matched(spark, d), REPORT).join(area, ["img", "gt_index"])
+    rows = X.object_outcomes(_matched(spark, d), REPORT, "area").where("img is not null")
     named = F.when(F.col("status") == "TP", "TP").when(F.col("error_type") == "LOCALIZATION_FAILURE", F.col("error_type")).otherwise(F.concat(F.col("error_type"), F.lit("_FN")))
     groups = F.array_compact(F.array(named, F.when(F.col("status") == "FN", "FN_ALL")))
     per = rows.select("area", F.explode(groups).alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"), *[_q9(S.quantile("area", q)).alias(n) for n, q in (("q05", 0.05), ("q25", 0.25), ("median", 0.5), ("q75", 0.75), ("q95", 0.95))])
@@ -118,8 +116,7 @@ def outcome_differences(spark, d):
 
 def case_rows(spark, d):
     """Each miss with all conditions that hold for it and how many; an easy one holds none and is large."""
-    area = FX.ground_truth(spark, d).select("img", "gt_index", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))
-    rows = X.object_outcomes(_matched(spark, d), REPORT).where("status = 'FN'").join(area, ["img", "gt_index"])
+    rows = X.object_outcomes(_matched(spark, d), REPORT, "area").where("status = 'FN' and img is not null").withColumn("area", F.col("area").cast("int"))
     flags = {"small": F.col("area") <= 49, "later": F.col("gt_index") > 1, "weak": F.coalesce(F.col("confidence") < 0.1, F.lit(False)), "far": F.coalesce(F.col("iou") < 0.1, F.lit(False))}
     rows = rows.withColumn("held", F.array_compact(F.array(*[F.when(c, n) for n, c in flags.items()])))
     rows = rows.withColumn("held", F.when((F.size("held") == 0) & (F.col("area") > 64), F.array(F.lit("easy"))).otherwise(F.col("held")))
@@ -163,8 +160,10 @@ def object_balance(spark, d):
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in FEATURES]))
     long = read(spark, d, "lineitem").select((F.col("l_orderkey") % 4).cast("int").alias("fold"), each.alias("x")).select("fold", "x.*")
     whole = long.groupBy("feature").agg(F.avg("v").alias("overall_mean"), F.stddev_pop("v").alias("overall_std"))
-    per = long.groupBy("feature", "fold").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), *[F.round(S.quantile("v", q), 6).alias(n) for n, q in (("q10", 0.1), ("q25", 0.25), ("median", 0.5), ("q75", 0.75), ("q90", 0.9))])
-    ks = S.ks_to_all(long, ["feature"], "fold", 4, "v")
+    per = long.groupBy("feature", "fold").agg(F.count("v").alias("n"), F.avg("v").alias("mean"))
+    places = {"q10": 0.1, "q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9}
+    ks = S.ks_to_all(long, ["feature"], "fold", 4, "v", list(places.values()))
+    ks = ks.select("feature", "fold", "ks", *[F.round(F.col("quantiles")[k], 6).alias(n) for k, n in enumerate(places)])
     out = per.join(F.broadcast(whole), "feature").join(F.broadcast(ks), ["feature", "fold"])  # a row for each feature, and for each of its folds
     return out.select("feature", "fold", "n", F.round("mean", 5).alias("mean"), "q10", "q25", "median", "q75", "q90", F.round(ratio(F.col("mean") - F.col("overall_mean"), F.col("overall_std")), 6).alias("smd"), _q9("ks").alias("ks"))
 
@@ -200,27 +199,28 @@ def tile_audit(spark, d):
     return rows.drop("area")
 
 
+def _held(p: int, s: int):
+    """How many tiles hold a box whole, and how many there are."""
+    (x, _, n), (y, _, m) = tiles_along(F.col("x0"), F.col("x1"), p, s), tiles_along(F.col("y0"), F.col("y1"), p, s)
+    return x * y, n * m
+
+
 def tile_checks(spark, d):
     """Objects that no tile of three sizes holds whole: a set of tiles passes if there are none."""
-    gt = FX.ground_truth(spark, d)
-    whole = lambda p, s: F.exists(_tiles(p, s), lambda t: (F.col("x0") >= t["x"]) & (F.col("y0") >= t["y"]) & (F.col("x1") <= t["x"] + p) & (F.col("y1") <= t["y"] + p))
-    flags = gt.select(*[whole(p, s).alias(f"tiles_{p}_{s}") for p, s in ((24, 12), (32, 24), (12, 12))])
+    flags = FX.ground_truth(spark, d).select(*[(_held(p, s)[0] > 0).alias(f"tiles_{p}_{s}") for p, s in ((24, 12), (32, 24), (12, 12))])
     return K.status(*[K.holds(flags, c, c) for c in flags.columns])
 
 
 def coverage_grid(spark, d):
     """Tile size, overlap and subgroup: share of objects held whole, by none and by several tiles, mean number of such tiles, tiles of an image."""
-    gt = FX.ground_truth(spark, d)
-    settings = [(p, o, max(1, round(p * (1 - o)))) for p in (16, 24, 32) for o in (0.0, 0.25, 0.5)]
-    held = [F.struct(F.lit(p).alias("patch"), F.lit(o).alias("overlap"), F.size(_tiles(p, s)).alias("tiles"), F.size(F.filter(_tiles(p, s), _holds(p))).alias("held")) for p, o, s in settings]
-    groups = F.array_compact(F.array(F.lit("ALL"), F.when((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) <= 56, "SMALL"), F.when(F.col("gt_index") > 1, "LATER")))
-    rows = gt.select(groups.alias("groups"), F.explode(F.array(*held)).alias("h")).select(F.explode("groups").alias("subgroup"), "h.*")
-    share = lambda c: _q9(F.avg(c.cast("int")))
-    return rows.groupBy("patch", "overlap", "subgroup").agg(F.count("*").alias("objects"), share(F.col("held") >= 1).alias("contained"), share(F.col("held") == 0).alias("crossing"), share(F.col("held") >= 2).alias("duplicate"), _q9(F.avg("held")).alias("mean_held"), F.max("tiles").alias("tiles"))
-
-
-def _holds(p: int):
-    return lambda t: (F.col("x0") >= t["x"]) & (F.col("y0") >= t["y"]) & (F.col("x1") <= t["x"] + p) & (F.col("y1") <= t["y"] + p)
+    later = (F.col("gt_index") > 1).alias("later")
+    gt = FX.ground_truth(spark, d).groupBy(*SIDES, later).agg(F.count("*").alias("many"))  # equal boxes are one row
+    settings = [(p, o, *_held(p, max(1, round(p * (1 - o))))) for p in (16, 24, 32) for o in (0.0, 0.25, 0.5)]
+    held = [F.struct(F.lit(p).alias("patch"), F.lit(o).alias("overlap"), F.lit(n).alias("tiles"), h.alias("held")) for p, o, h, n in settings]
+    groups = F.array_compact(F.array(F.lit("ALL"), F.when((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) <= 56, "SMALL"), F.when(F.col("later"), "LATER")))
+    rows = gt.select("many", groups.alias("groups"), F.explode(F.array(*held)).alias("h")).select("many", F.explode("groups").alias("subgroup"), "h.*")
+    share = lambda c: _q9(F.sum(c.cast("int") * F.col("many")) / F.sum("many"))
+    return rows.groupBy("patch", "overlap", "subgroup").agg(F.sum("many").alias("objects"), share(F.col("held") >= 1).alias("contained"), share(F.col("held") == 0).alias("crossing"), share(F.col("held") >= 2).alias("duplicate"), share(F.col("held")).alias("mean_held"), F.max("tiles").alias("tiles"))
 
 
 def tile_remap(spark, d):
@@ -231,7 +231,7 @@ def tile_remap(spark, d):
     local = F.flatten(F.transform("tiles", lambda t: F.transform(inside(t), lambda p: F.struct((t["k"] * 1000 + p["i"]).cast("int").alias("i"), p["conf"].alias("conf"), t["x"].alias("tx"), t["y"].alias("ty"), (p["x0"] - t["x"] - F.when(t["x"] > 0, 1).otherwise(0)).alias("x0"), (p["y0"] - t["y"]).alias("y0"), (p["x1"] - t["x"] - F.when(t["x"] > 0, 1).otherwise(0)).alias("x1"), (p["y1"] - t["y"]).alias("y1")))))
     rows = rows.withColumn("local", local)
     source = F.transform("local", lambda p: F.struct(p["i"].alias("i"), p["conf"].alias("conf"), cut(p["x0"] + p["tx"]).alias("x0"), cut(p["y0"] + p["ty"]).alias("y0"), cut(p["x1"] + p["tx"]).alias("x1"), cut(p["y1"] + p["ty"]).alias("y1")))
-    rows = rows.withColumn("audit", M.nms_audit(source, 0.6)).where(F.size("audit") > 0)
+    rows = rows.withColumn("audit", M.nms_audit(source, 0.6)).select("img", F.explode(F.filter(F.array("audit"), lambda a: F.size(a) > 0)).alias("audit"))
     kept = F.filter("audit", lambda a: a["by"].isNull())
     return rows.select("img", F.size("audit").alias("found"), F.size(kept).alias("kept"), F.array_join(F.transform(kept, lambda a: a["i"].cast("string")), ";").alias("indices"))
 
