@@ -10,6 +10,7 @@ from veristrata.operators import checks as K
 from veristrata.operators import metrics as X
 from veristrata.operators import stats as S
 from veristrata.operators import windows as N
+from veristrata.operators.groups import _written
 from veristrata.plans import fixtures as FX
 from veristrata.plans.detection import _OUTCOMES, OVERLAPS, REPORT, STEPS, _ap_sql, _matched, _strategies_sql, _strategy_hits, grid_sql, iou_sql, match_sql, sweep_sql
 from veristrata.plans.fixtures import read
@@ -43,7 +44,7 @@ def size_band_recall(spark, d):
 
 def pareto_steps(spark, d):
     """Steps of the sweep in order of misses, then false positives, then threshold, and whether another step is no worse in both and better in one."""
-    s = X.sweep(_matched(spark, d), STEPS).select("threshold_id", "fn", "fp")
+    s = _written(X.sweep(_matched(spark, d), STEPS).select("threshold_id", "fn", "fp"))  # both sides of the join read it
     a, b = s.alias("a"), s.alias("b")  # one row for each step
     better = (F.col("b.fn") <= F.col("a.fn")) & (F.col("b.fp") <= F.col("a.fp")) & ((F.col("b.fn") < F.col("a.fn")) | (F.col("b.fp") < F.col("a.fp")))
     out = a.join(b, better, "left").groupBy("a.threshold_id", "a.fn", "a.fp").agg((F.count("b.fn") > 0).alias("dominated"))
@@ -81,8 +82,8 @@ def paired_subgroups(spark, d):
 # ---------------------------------------------------------------- case tables
 def localisation_failures(spark, d):
     """Misses that a prediction touches at the report threshold, with their boxes' areas, worst overlap first."""
-    rows = X.object_outcomes(_matched(spark, d), REPORT).where("error_type = 'LOCALIZATION_FAILURE'")
-    return rows.join(_gt_area(spark, d).drop("fold_id"), ["img", "gt_index"]).select("img", "gt_index", "fold_id", "confidence", "iou", "area")
+    rows = X.object_outcomes(_matched(spark, d), REPORT, "area").where("error_type = 'LOCALIZATION_FAILURE' and img is not null")
+    return rows.select("img", "gt_index", "fold_id", "confidence", "iou", F.col("area").cast("int").alias("area"))
 
 
 def final_association(spark, d):
@@ -104,11 +105,12 @@ def nearest_by_confidence(spark, d):
 
 def residual_cases(spark, d):
     """Misses at the least threshold with their boxes, smallest first; one row each is asserted."""
-    per = _matched(spark, d).select("img", F.explode("gts").alias("g"), "match")
-    miss = per.where(~F.exists("match", lambda m: m["j"].eqNullSafe(F.col("g.j")))).select("img", F.col("g.j").alias("gt_index"))
-    area = _gt_area(spark, d)
-    both = K.same_keys(miss, area.join(miss, ["img", "gt_index"], "left_semi"), ["img", "gt_index"])
-    return N.numbered(both.select("img", "gt_index", "fold_id", "area"), [], [F.asc("area"), F.asc("img"), F.asc("gt_index")], "place", "of")
+    rows = _matched(spark, d).where("img is not null")  # one row for each image: its boxes are all there, so an index can repeat only here
+    once = F.when(F.size("gts") == F.size(F.array_distinct(F.transform("gts", lambda g: g["j"]))), F.col("gts")).otherwise(F.raise_error(F.format_string("image %d repeats a box", "img")))
+    miss = F.filter(once, lambda g: ~F.exists("match", lambda m: m["j"].eqNullSafe(g["j"])))
+    rows = rows.select("img", "fold_id", F.explode(miss).alias("g"))
+    area = ((F.col("g.x1") - F.col("g.x0")) * (F.col("g.y1") - F.col("g.y0"))).cast("int")
+    return N.numbered(rows.select("img", F.col("g.j").alias("gt_index"), "fold_id", area.alias("area")), [], [F.asc("area"), F.asc("img"), F.asc("gt_index")], "place", "of")
 
 
 def before_after(spark, d):

@@ -11,6 +11,7 @@ from veristrata.operators import metrics as X
 from veristrata.operators import resample as R
 from veristrata.operators import stats as S
 from veristrata.operators import windows as N
+from veristrata.operators.groups import _written
 from veristrata.operators.selection import best_epoch, gated_choice
 from veristrata.plans import fixtures as FX
 from veristrata.plans.detection import _NMS_FOLD, _OUTCOMES, _RATIOS, HIGH, REPORT, STEPS, _matched, iou_sql, match_sql, sweep_sql
@@ -57,9 +58,9 @@ def nearest_candidate(spark, d):
 
 def strategy_chain(spark, d):
     """Four strategies of one key joined one to one, with the number of different outcomes."""
-    s = X.object_outcomes(_matched(spark, d), REPORT).select("img", "gt_index", F.col("status").alias("base"))
-    for name, cut in (("strict", 0.5), ("loose", 0.1), ("floor", 0.0)):
-        s = s.join(X.object_outcomes(_matched(spark, d), cut).select("img", "gt_index", F.col("status").alias(name)), ["img", "gt_index"])
+    images = _matched(spark, d).where("img is not null").select("match", F.explode("gts").alias("g"))
+    hit = F.get(F.filter("match", lambda m: m["j"] == F.col("g.j")), F.lit(0))["conf"]  # one matching at the floor serves all of them
+    s = images.select(hit.alias("conf")).select(*[F.when(F.col("conf") >= cut, "TP").otherwise("FN").alias(name) for name, cut in (("base", REPORT), ("strict", 0.5), ("loose", 0.1), ("floor", 0.0))])
     return s.groupBy(F.size(F.array_distinct(F.array("base", "strict", "loose", "floor"))).alias("outcomes"), "base").agg(F.count("*").alias("n"))
 
 
@@ -72,9 +73,10 @@ def quintile_bins(spark, d):
 
 def factor_table(spark, d):
     """Miss rates of quartile bins of a factor, with the bins of highest and lowest risk."""
-    rows = X.object_outcomes(_matched(spark, d), REPORT).join(FX.ground_truth(spark, d).select("img", "gt_index", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).cast("double").alias("area")), ["img", "gt_index"])
-    cuts = S.quantile_cuts(rows, "area", [0.25, 0.5, 0.75])
-    per = rows.crossJoin(F.broadcast(cuts)).groupBy(F.size(F.filter("cuts", lambda c: F.col("area") > c)).alias("bin")).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "FN").alias("misses"), F.min("area").alias("lo"), F.max("area").alias("hi"), F.count_distinct("fold_id").alias("folds"))
+    rows = X.object_outcomes(_matched(spark, d), REPORT, "area").where("img is not null").groupBy("area", "status", "fold_id").agg(F.count("*").alias("many"))
+    rows = _written(rows)  # a row for each area, outcome and fold
+    cuts = S.quantile_cuts(rows, "area", [0.25, 0.5, 0.75], "many")
+    per = rows.crossJoin(F.broadcast(cuts)).groupBy(F.size(F.filter("cuts", lambda c: F.col("area") > c)).alias("bin")).agg(F.sum("many").alias("n"), F.sum(F.when(F.col("status") == "FN", F.col("many")).otherwise(0)).alias("misses"), F.min("area").alias("lo"), F.max("area").alias("hi"), F.count_distinct("fold_id").alias("folds"))
     per = per.withColumn("rate", F.round(ratio(F.col("misses"), F.col("n")), 9))
     top = per.agg(F.max_by("bin", F.struct("rate", "n", -F.col("bin"))).alias("high"), F.min_by("bin", F.struct("rate", -F.col("n"), F.col("bin"))).alias("low"))
     return per.crossJoin(F.broadcast(top)).withColumn("role", F.when(F.col("bin") == F.col("high"), "HIGH").when(F.col("bin") == F.col("low"), "LOW").otherwise("")).drop("high", "low")
