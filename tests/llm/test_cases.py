@@ -183,3 +183,34 @@ def test_pre_tokens_of_all_documents_are_counted(spark, monkeypatch):
     top = token_counts.frequent_lengths(docs, path, rows=6)
     least = min(n for t, n in want.items() if t in top)
     assert "zzqlate" in top and all(t in top for t, n in want.items() if n > least)
+
+
+def test_sketches_never_lose_a_pair():
+    """Similar pairs pass the sieve whatever their sizes; pairs of unrelated sets do not, so their sets are not sent."""
+    rng = np.random.default_rng(7)
+    passed = 0
+    for n in (1, 3, 40, 700):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            b = np.unique(np.r_[a[: int(n * rng.uniform(0.5, 1))], rng.integers(0, 1 << 63, rng.integers(0, n // 3 + 1)).astype(np.uint64)])
+            far = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            look = lambda s: np.frombuffer(jaccard_join.sketch(s), np.uint8)
+            both = jaccard_join.most_overlap(look(a), a.size, look(b), b.size)
+            assert jaccard_join.overlap(a, b) <= both <= min(a.size, b.size)
+            most = jaccard_join.most_overlap(look(a), a.size, look(far), far.size)
+            passed += n >= 40 and 100 * most >= 75 * (a.size + far.size - most)
+    assert passed == 0
+
+
+def test_a_set_is_not_sent_for_every_256_others(spark, monkeypatch):
+    """Tiles hold bytes, not a fixed number of sets: the sets of a cluster were sent once for each 256 others, with the square of its size."""
+    rng = np.random.default_rng(3)
+    sent = []
+    frame = type(spark.range(0))
+    plain = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda df, *a: (sent.append(df.count()) if "side" in df.columns else None, plain(df, *a))[1])
+    hot = spark.createDataFrame([(1, n) for n in range(600)], "g long, node long")
+    groups = spark.createDataFrame([], "node long, component long")
+    sets = spark.createDataFrame([(n, np.sort(rng.integers(0, 1 << 62, 4).astype(np.uint64)).tobytes()) for n in range(600)], "node long, blob binary")
+    jaccard_join._rest(hot, groups, sets, 75, None)
+    assert sent and sent[0] <= 2 * 600

@@ -55,8 +55,8 @@ LONG, HEAVY_BYTES, LEAST_HEAVY, MOST_HEAVY = 32, 1 << 10, 1 << 19, 1 << 23
 SHARD_BYTES = 64 << 20
 #: Postings that a task gathers before it writes them out.
 BUFFER = 1 << 20
-#: Sets of either side of a tile in the last turn.
-TILE = 256
+#: Bytes of sets of either side of a tile in the last turn. A set is sent once for each block of the other side, so tiles are as large as a task's memory lets them be.
+TILE_BYTES = 32 << 20
 INDEX = ["kind", "a", "b", "c", "d", "e", "blob"]
 #: A document's row in packed form: id, node, second hash, size, heavy elements of the prefix, whether it has words, digest.
 PACKED = np.dtype([("a", "<i8"), ("b", "<i8"), ("c", "<i8"), ("d", "<i8"), ("e", "<i8"), ("ok", "u1"), ("digest", "V32")])
@@ -375,8 +375,32 @@ def overlap(small: np.ndarray, large: np.ndarray) -> int:
     return int((large[np.minimum(at, large.size - 1)] == small).sum()) if large.size else 0
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A bitmap of a set: four bits or more for each element, a power of two in all."""
+    bits = np.zeros(1 << max(6, (4 * s.size - 1).bit_length()), bool)
+    bits[(H.mix(s) & np.uint64(bits.size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_overlap(x: np.ndarray, n: int, y: np.ndarray, m: int) -> int:
+    """No less than the overlap of two sets of n and m elements, by their sketches: a bit that only one has is an element that the other lacks."""
+    while x.size > y.size:
+        x = x[: x.size // 2] | x[x.size // 2 :]
+    while y.size > x.size:
+        y = y[: y.size // 2] | y[y.size // 2 :]
+    return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, similarity: int, tag: str) -> DataFrame | None:
-    """Those of pairs (a, b) whose sets are similar; None without pairs."""
+    """Those of pairs (a, b) whose sets are similar; None without pairs. Sketches, a sixteenth of the sets or so, leave out most others before sets are sent."""
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, n, y, m in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5).to_pylist(), strict=True):
+                both = most_overlap(np.frombuffer(x.as_buffer(), np.uint8), n, np.frombuffer(y.as_buffer(), np.uint8), m)
+                keep.append(100 * both >= similarity * (n + m - both))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -390,9 +414,15 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: int, tag: str) -> Dat
     pairs = materialize(pairs.select("a", "b").distinct(), tag)
     if not pairs.take(1):
         return None
+    small = sets.select("node", "sketch", "n")
+    near = pairs.join(small.toDF("a", "x", "n"), "a").join(small.toDF("b", "y", "m"), "b").select("a", "b", "x", "n", "y", "m").mapInArrow(sieve, "a long, b long")
+    near = materialize(near, tag)
     one = sets.select(F.col("node").alias("a"), F.col("blob").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("blob").alias("y"))
-    return materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(probe, "a long, b long"), tag)
+    links = materialize(near.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(probe, "a long, b long"), tag)
+    drop_tables(pairs, near)
+    _tidy(sets)
+    return links
 
 
 def _dealt_join(df: DataFrame, other: DataFrame, key: str, by: str) -> DataFrame:
@@ -427,7 +457,7 @@ def _id_filter(chosen: DataFrame, slices: int = 8) -> np.ndarray:
 
 
 def _sets_of(docs: DataFrame, chosen: DataFrame, words: int, salt: int) -> DataFrame:
-    """node, blob of the sets of chosen (doc_id, node); texts are found by a filter on ids before they are joined."""
+    """node, blob, sketch and n of the sets of chosen (doc_id, node); texts are found by a filter on ids before they are joined."""
     wanted = docs.sparkSession.sparkContext.broadcast(_id_filter(chosen))
 
     def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,21 +465,25 @@ def _sets_of(docs: DataFrame, chosen: DataFrame, words: int, salt: int) -> DataF
             if not batch.num_rows:
                 continue
             part = batch.filter(pa.array(Bloom.test(wanted.value, id_keys(batch.column(0).to_numpy()).ravel())))
-            got = [(node_of(s, salt)[0] if s.size else None, s.tobytes()) for _, s in _sets(part, words)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([b for _, b in got], pa.binary())], names=["doc_id", "node", "blob"])
-
-    found = docs.select("doc_id", "text").mapInArrow(hash_sets, "doc_id long, node long, blob binary")
-    found = materialize(found.join(chosen, ["doc_id", "node"]).dropDuplicates(["node"]).select("node", "blob"), "jac-sets")
+            got = [(node_of(s, salt)[0] if s.size else None, s.tobytes(), sketch(s), s.size) for _, s in _sets(part, words)]
+            columns = zip(*got, strict=True) if got else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.int64()), strict=True)]], names=["doc_id", "node", "blob", "sketch", "n"])
+
+    found = docs.select("doc_id", "text").mapInArrow(hash_sets, "doc_id long, node long, blob binary, sketch binary, n long")
+    # dealt by node alone, for the join and for repeated rows of a document, so that a set is dealt once
+    found = found.join(chosen.select("node", F.col("doc_id").alias("own")).hint("merge"), "node").where("doc_id = own")
+    found = materialize(found.dropDuplicates(["node"]).select("node", "blob", "sketch", "n"), "jac-sets")
     wanted.destroy()
+    _tidy(docs)
     return found
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, long_list: int = LONG, tile: int = TILE) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, long_list: int = LONG, tile: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id long, text string)."""
     return _result(*_placed(docs, words, similarity, long_list, tile))
 
 
-def _placed(docs: DataFrame, words: int, similarity: int, long_list: int = LONG, tile: int = TILE, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
+def _placed(docs: DataFrame, words: int, similarity: int, long_list: int = LONG, tile: int | None = None, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
     """A row (doc_id, node, n, digest of the text if keyed) for every row of docs; node, component, component_id for every class."""
     docs = docs.select(some_id("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -464,6 +498,8 @@ def _placed(docs: DataFrame, words: int, similarity: int, long_list: int = LONG,
         classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("second").alias("c0"), F.max("second").alias("c1"), F.first("n").alias("n"), F.max("hot").alias("hot"))
         classes = materialize(classes, "jac-classes")
         clash = bool(classes.where("c0 <> c1").take(1))
+        if clash:
+            drop_tables(index, classes)
     heavy.destroy()
     _tidy(docs)
     hot = materialize(index.where("kind = 2").select(F.col("a").alias("g"), F.col("b").alias("node")).distinct(), "jac-hot")
@@ -471,8 +507,12 @@ def _placed(docs: DataFrame, words: int, similarity: int, long_list: int = LONG,
     merged = index.where("kind = 1").select("a", "blob").repartition("a").sortWithinPartitions("a").mapInArrow(_merged, "a long, b long, n long")
     merged = merged.join(info.toDF("a", "na"), "a").join(info.toDF("b", "nb"), "b").where(100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
     merged = materialize(merged.withColumn("least", F.least(level_of("na"), level_of("nb"))).select("a", "b", "n", "least"), "jac-merged")
+    rows = materialize(rows, "jac-rows")  # all that is read of the index from here on
+    drop_tables(index)
+    _tidy(docs)
     short = materialize(merged.where("n >= least").select("a", "b", "n").unionByName(_probed(merged.where("n < least"), hot)), "jac-short")
     drop_tables(merged)
+    _tidy(docs)
     found = materialize(short.select(F.col("a").alias("node")).unionByName(short.select(F.col("b").alias("node"))).unionByName(hot.select("node")).distinct(), "jac-nodes")
     sets = _sets_of(docs, classes.join(found, "node").select("doc_id", "node"), words, salt)
     # first turn: each node with its best partner, and with the leader of most of its long lists
@@ -583,11 +623,11 @@ def _probes(hot: DataFrame, groups: DataFrame, turn: int, ways: int = 4) -> Data
     return rest.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"))
 
 
-def _rest(hot: DataFrame, groups: DataFrame, sets: DataFrame, similarity: int, tile: int) -> DataFrame | None:
+def _rest(hot: DataFrame, groups: DataFrame, sets: DataFrame, similarity: int, tile: int | None) -> DataFrame | None:
     """Links between components that share a long list; None if no long list holds several.
 
     The lists that do are joined into clusters by their leaders. In a cluster, each node that is outside the largest component of some
-    list is compared with all nodes of other components, in tiles of about `tile` by `tile`: the elements of one set
+    list is compared with all nodes of other components, in tiles of `tile` sets or TILE_BYTES on either side: the elements of one set
     are looked for in the inverted lists of a tile, and a tile returns a forest of links, never pairs.
     """
     placed, largest = _open_lists(hot, groups)
@@ -597,12 +637,14 @@ def _rest(hot: DataFrame, groups: DataFrame, sets: DataFrame, similarity: int, t
     leaders = placed.groupBy("g").agg(F.min("node").alias("lead"))
     clusters = components(_dealt_join(placed, leaders, "g", "node").select(F.col("node").alias("a"), F.col("lead").alias("b")), "jac-clusters")
     nodes = placed.groupBy("node").agg(F.first("c").alias("c"), F.max(F.col("c") != F.col("big")).alias("open")).join(clusters.withColumnRenamed("component", "cluster"), "node")
-    sizes = nodes.groupBy("cluster").agg(F.ceil(F.count("*") / tile).alias("blocks"), F.greatest(F.lit(1), F.ceil(F.count_if("open") / tile)).alias("open_blocks"))
-    nodes = materialize(nodes.join(sizes, "cluster"), "jac-dealt")
+    nodes = nodes.join(sets.select("node", F.octet_length("blob").alias("bytes")), "node")
+    of = lambda c: F.greatest(F.lit(1), F.ceil(F.count_if(c) / tile if tile else F.sum(F.when(c, F.col("bytes")).otherwise(0)) / TILE_BYTES))
+    sizes = nodes.groupBy("cluster").agg(of(F.lit(True)).alias("blocks"), of(F.col("open")).alias("open_blocks"))
+    nodes = materialize(nodes.join(sizes, "cluster").drop("bytes"), "jac-dealt")
     spot = F.xxhash64("node")
     others = nodes.select("cluster", "node", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("open_blocks") - 1)).alias("i"), F.pmod(spot, "blocks").alias("j"), F.lit(0).alias("side"))
     seekers = nodes.where("open").select("cluster", "node", "c", F.pmod(spot, "open_blocks").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), F.lit(1).alias("side"))
-    dealt = others.unionByName(seekers).join(sets.hint("merge"), "node").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side")
+    dealt = others.unionByName(seekers).join(sets.select("node", "blob").hint("merge"), "node").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side")
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -625,7 +667,7 @@ def tile_links(rows: list[dict], similarity: int) -> Iterator[pa.RecordBatch]:
         return
     sets = [np.frombuffer(r["blob"], np.uint64) for r in index]
     sizes = np.array([s.size for s in sets])
-    owners = np.repeat(np.arange(len(sets)), sizes)
+    owners = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
     elements = np.concatenate(sets)
     order = np.argsort(elements, kind="stable")
     elements, owners = elements[order], owners[order]
