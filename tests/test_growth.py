@@ -91,3 +91,20 @@ def test_numbered_rows_are_dealt_once(spark):
     df = spark.range(1000).select("id", (F.col("id") % 3).alias("g"))
     text = plan(N.numbered(df, ["g"], [F.desc("id")], "place", "of"))
     assert "Window" not in text.split("BroadcastExchange")[0]
+
+
+def test_keys_at_places_are_those_of_the_whole_order(spark, monkeypatch):
+    """Only rows of the bins that hold a place are put in order; all rows were."""
+    rng = random.Random(6)
+    rows = [(g, rng.choice([None, 0.0, 0.5, rng.random()]), rng.randint(0, 9), k) for k in range(900) for g in (rng.choice("ab"),)] + [("c", 1.0, 1, 5), ("d", None, 1, 6)]
+    df = spark.createDataFrame(rows, "g string, v double, img int, i int").repartition(4)
+    put, numbered = [], N.numbered
+    monkeypatch.setattr(N, "numbered", lambda rows, *a: put.append(rows.count()) or numbered(rows, *a))
+    for descending in (False, True):
+        got = sorted(N.keys_at(df, "g", "v", ["img", "i"], [0.1, 0.6, 0.95], descending, least=1), key=repr)
+        want = []
+        for g in "abcd":
+            mine = sorted((r for r in rows if r[0] == g), key=lambda r: ((r[1] is None, -(r[1] or 0)) if descending else (r[1] is not None, r[1] or 0), r[2], r[3]))
+            want += [(g, s, *mine[max(1, -int(-len(mine) * s // 1)) - 1][1:]) for s in (0.1, 0.6, 0.95)]
+        assert got == sorted(want, key=repr)
+    assert max(put) < len(rows) and N.keys_at(df.limit(0), "g", "v", ["img", "i"], [0.5]) == []
