@@ -35,7 +35,7 @@ def fusion_grid_paired(spark, d):
 def fused_contributors(spark, d):
     """For each true box the models behind the fused prediction that finds it, with confidence and overlap; empty and 0 where none does."""
     rows = FX.images(spark, d).withColumn("fused", M.union_nms(F.col("preds"), 0.5))
-    rows = rows.withColumn("match", M.greedy_match(F.col("fused"), F.col("gts"))).select("img", F.explode("gts").alias("g"), "fused", "match")
+    rows = rows.withColumn("match", M.union_match(F.col("preds"), 0.5, F.col("gts"))).select("img", F.explode("gts").alias("g"), "fused", "match")
     rows = rows.withColumn("m", F.get(F.filter("match", lambda m: (m["j"] == F.col("g.j")) & (m["conf"] >= REPORT)), F.lit(0)))
     models = F.get(F.filter("fused", lambda k: k["i"] == F.col("m.i")), F.lit(0))["models"]
     return rows.select("img", F.col("g.j").alias("gt_index"), F.coalesce(F.array_join(F.transform(models, lambda m: m.cast("string")), ";"), F.lit("")).alias("contributors"), F.coalesce("m.conf", F.lit(0.0)).alias("confidence"), _q9(F.coalesce("m.iou", F.lit(0.0))).alias("iou"))
